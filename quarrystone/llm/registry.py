@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import line_dedup
+from quarrystone.llm import line_dedup, packing
 
-QUERIES = {"op10_line_dedup": line_dedup.op10_line_dedup}
+QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
 ORACLES = {"op10_line_dedup": line_dedup.ORACLE}
