@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import line_dedup, packing
+from quarrystone.llm import decontaminate, line_dedup, packing
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_winnowing": decontaminate.op4_winnowing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op10_line_dedup": line_dedup.ORACLE}
+ORACLES = {"op4_winnowing": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
