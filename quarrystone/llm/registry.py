@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, line_dedup, packing
+from quarrystone.llm import decontaminate, line_dedup, packing, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_winnowing": decontaminate.op4_winnowing,
+    "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
-ORACLES = {"op4_winnowing": decontaminate.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+ORACLES = {
+    "op4_winnowing": decontaminate.ORACLE,
+    "op9_warc": warc.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
