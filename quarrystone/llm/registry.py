@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, line_dedup, packing, warc
+from quarrystone.llm import decontaminate, line_dedup, packing, topk, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_winnowing": decontaminate.op4_winnowing,
+    "op7_ball_tree": topk.op7_ball_tree,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op4_winnowing": decontaminate.ORACLE,
+    "op7_ball_tree": topk.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
