@@ -10,16 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrystone.llm.shared import saved
 from quarrystone.sources.tables import table
 
 #: ASCII white space, as [\x20\x09-\x0D].
-SPACE = "\\x20\\x09-\\x0D"
+SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def line_key(line: Column) -> Column:
-    """A line without outer ASCII white space, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, f"^[{SPACE}]+|[{SPACE}]+$", ""), UPPER, LOWER)
+    """A line without outer ASCII white space, A-Z in lower case.
+
+    lower() is the quick form for lines of ASCII alone, where both agree.
+    """
+    cut = F.btrim(line, F.lit(SPACE))
+    return F.when(F.octet_length(cut) == F.char_length(cut), F.lower(cut)).otherwise(F.translate(cut, UPPER, LOWER))
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,13 +46,14 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     # Rows of one id with unlike texts are told apart by the text's hash.
     rows = rows.select(*kept, F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__of"), F.split(text, "\n", -1).alias("__lines"))
 
-    lines = (
+    lines = saved(
         rows.where(F.col("__id").isNotNull())
         .select("__id", "__of", F.posexplode("__lines").alias("__at", "line"))
         .where(F.char_length("line") >= min_chars)
         .select("__id", "__of", "__at", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("__id", "__of", "__at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"))
+        .select("__id", "__of", "__at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")),
+        "lines",
     )
     common = (
         lines.groupBy("h1", "h2")
