@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, line_dedup, packing, topk, warc
+from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, topk, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_winnowing": decontaminate.op4_winnowing,
     "op7_ball_tree": topk.op7_ball_tree,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
     "op4_winnowing": decontaminate.ORACLE,
     "op7_ball_tree": topk.ORACLE,
+    "op8_ngram_jaccard": jaccard.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
 }
