@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, topk, warc
+from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, quality, topk, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_winnowing": decontaminate.op4_winnowing,
+    "op5_ftrl_quality": quality.op5_ftrl_quality,
     "op7_ball_tree": topk.op7_ball_tree,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_warc": warc.op9_warc,
