@@ -55,11 +55,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .select("__id", "__of", "__at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")),
         "lines",
     )
-    common = (
+    # Written, so that the join below has a shuffle on either side, and Spark can split hot lines.
+    common = saved(
         lines.groupBy("h1", "h2")
         .agg(F.countDistinct("__id").alias("n"), F.max("__id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "common-lines",
     )
     drops = (
         lines.join(common, ["h1", "h2"])
