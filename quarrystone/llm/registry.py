@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, quality, topk, warc
+from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, quality, topk, toxicity, warc
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_winnowing": decontaminate.op4_winnowing,
     "op5_ftrl_quality": quality.op5_ftrl_quality,
+    "op6_crf_toxicity": toxicity.op6_crf_toxicity,
     "op7_ball_tree": topk.op7_ball_tree,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_warc": warc.op9_warc,
