@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, quality, topk, toxicity, warc
+from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
 
 QUERIES = {
+    "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op4_winnowing": decontaminate.op4_winnowing,
     "op5_ftrl_quality": quality.op5_ftrl_quality,
