@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, jaccard, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
+from quarrystone.llm import decontaminate, jaccard, licences, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_licences": licences.op3_licences,
     "op4_winnowing": decontaminate.op4_winnowing,
     "op5_ftrl_quality": quality.op5_ftrl_quality,
     "op6_crf_toxicity": toxicity.op6_crf_toxicity,
