@@ -7,10 +7,11 @@ their prefixes in that order meet. Pairs that meet must pass the length and the
 positional filter, and a suffix filter before the one full comparison.
 
 Groups are wanted, not all pairs: first each member of a prefix bucket is held
-against the bucket's first member, and what links is joined; then only pairs
-that meet and are still in unlike groups are compared, all of them. No link
-between groups is lost, and a large group of near copies costs a comparison or
-so per member instead of one per pair.
+against the bucket's first member, then, in buckets that still hold unlike
+groups, against one member drawn per bucket, and what links is joined. After
+that all pairs that meet and are still in unlike groups are compared. No link
+between groups is lost, and a large group of near copies costs some comparisons
+per member instead of one per pair.
 """
 
 from __future__ import annotations
@@ -66,13 +67,13 @@ def counts_of(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n (of its set), k1 and k2 (its class), prefix (rare first)."""
+    """doc_id, n (of its set), k1 and k2 (its class), prefix (rare first), bits (of all its shingles)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = shared.value
         for batch in batches:
-            n, k1, k2, parts = [], [], [], []
+            n, k1, k2, parts, bits = [], [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 k1.append(int(mixed(s).sum(dtype=np.uint64)))
@@ -80,34 +81,67 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> Da
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 rare = total[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
                 parts.append(s[np.lexsort((s, rare))[:keep]].view(np.int64))
+                bits.append(bitmap(s))
             ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
             long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (n, k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], names=["doc_id", "n", "k1", "k2", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
 
 
 def may_link(n: Column, at: Column, m: Column, bt: Column, percent: int) -> Column:
-    """Length and positional filter of two sets that meet at these places of their orders."""
-    least, most = F.least(n, m), F.greatest(n, m)
-    bound = F.least(at, bt) + 1 + F.least(n - at, m - bt) - 1
-    return (100 * least >= percent * most) & ((100 + percent) * bound >= percent * (n + m))
+    """Length and positional filter of two sets that meet at these places of their orders.
+
+    The place where a pair meets first passes if the pair has the similarity:
+    before it nothing is shared, and after it no more than what is left.
+    """
+    left = F.least(n - at, m - bt)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * left >= percent * (n + m))
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle's last bits; four or more times as many bits as shingles."""
+    size = max(64, 1 << (4 * len(s) - 1).bit_length()) if len(s) else 64
+    marks = np.zeros(size, dtype=bool)
+    marks[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def may_reach(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    """Suffix filter: shingles in common are bits in common, but for those that share a bit."""
+    a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    double = min(n - int(np.bitwise_count(a).sum()), m - int(np.bitwise_count(b).sum()))
+    return (100 + percent) * (int(np.bitwise_count(a & b).sum()) + double) >= percent * (n + m)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Whether two sorted sets have the Jaccard similarity; the suffix filter goes first."""
-    edges = (np.arange(1, 16, dtype=np.uint64) << np.uint64(60)).astype(np.uint64)
-    parts = [np.diff(np.concatenate([[0], np.searchsorted(s, edges), [len(s)]])) for s in (x, y)]
-    both = len(x) + len(y)
-    if (100 + percent) * int(np.minimum(*parts).sum()) < percent * both:
-        return False
-    shared = both - len(np.union1d(x, y))
-    return 100 * shared >= percent * (both - shared)
+    """Whether two sets have the Jaccard similarity."""
+    shared = len(x) + len(y) - len(np.union1d(x, y))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
 
+def suffix_filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of ids whose bits do not rule the similarity out."""
+    side = sets.where("doc_id IS NOT NULL AND n > 0")
 
-def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, a, m, b = (batch.column(i).to_pylist() for i in range(2, 6))
+            yield batch.filter(pa.array([may_reach(a[i], n[i], b[i], m[i], percent) for i in range(len(n))], pa.bool_())).select([0, 1])
+
+    left = pairs.join(side.select(F.col("doc_id").alias("u"), "n", F.col("bits").alias("a")), "u")
+    both = left.join(side.select(F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b")), "v")
+    return both.select("u", "v", "n", "a", "m", "b").mapInArrow(keep, "u long, v long").distinct()
+
+
+def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (u, v) of ids whose documents have the similarity."""
+    pairs = saved(suffix_filtered(pairs, sets, percent), "close-pairs")
     marks = (
         pairs.select(F.explode(F.array("u", "v")).alias("id"))
         .select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("bit"))
@@ -141,6 +175,14 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
+def unlike(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of buckets that hold unlike groups, with their group: h, id, n, at, root."""
+    rows = met.select("h", "id", "n", "at").join(groups.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rows = saved(rows, "labelled")
+    several = saved(rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "unlike")
+    return saved(rows.join(several, "h", "left_semi"), "open")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -173,21 +215,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     same = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
     edges = same.select(F.explode("all").alias("u"), "v")
 
-    star = met.where((F.col("id") != F.col("cid")) & may_link(F.col("n"), F.col("at"), F.col("cn"), F.col("cat"), percent))
-    pairs = saved(star.select(F.col("id").alias("u"), F.col("cid").alias("v")).distinct(), "pairs")
-    edges = saved(edges.unionByName(linked(pairs, docs, size, percent)), "links")
-    groups = components(edges)
+    for turn in range(2):
+        if turn:
+            now = unlike(met, groups)
+            if now.isEmpty():
+                break
+            drawn = Window.partitionBy("h").orderBy(F.xxhash64("id", "h", F.lit(turn)), "id", "at")
+            star = now.withColumn("c", F.first(F.struct("id", "n", "at", "root")).over(drawn)).where("root <> c.root")
+        else:
+            star = met.withColumn("c", F.struct(F.col("cid").alias("id"), F.col("cn").alias("n"), F.col("cat").alias("at"))).where("id <> c.id")
+        pairs = star.where(may_link(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent)).select(F.col("id").alias("u"), F.col("c.id").alias("v")).distinct()
+        found = saved(edges.unionByName(linked(pairs, docs, sets, size, percent)), "links")
+        groups = components(found)
+        edges = groups
 
     # All pairs that meet and are in unlike groups.
-    labelled = met.join(groups.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("h", "id", "n", "at", F.coalesce("root", "id").alias("root"))
-    labelled = saved(labelled, "labelled")
-    mixed_up = saved(labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "unlike")
-    open_rows = saved(labelled.join(mixed_up, "h", "left_semi"), "open")
-    other = open_rows.select("h", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "at", "root")])
-    rest = open_rows.join(other, "h").where((F.col("root") < F.col("root_2")) & may_link(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent))
-    again = rest.select(F.greatest("id", "id_2").alias("u"), F.least("id", "id_2").alias("v")).distinct()
-    again = saved(again.join(pairs, ["u", "v"], "left_anti"), "more-pairs")
-    more = saved(linked(again, docs, size, percent), "more-links")
+    now = unlike(met, groups)
+    other = now.select("h", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "at", "root")])
+    meet = now.join(other, "h").where((F.col("root") < F.col("root_2")) & may_link(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent))
+    pairs = meet.select(F.col("id").alias("u"), F.col("id_2").alias("v")).distinct()
+    more = saved(linked(pairs, docs, sets, size, percent), "more-links")
     if not more.isEmpty():
         groups = components(groups.unionByName(more))
 
