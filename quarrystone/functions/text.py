@@ -32,11 +32,15 @@ def cache_key(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Pairs of successive characters; one character is itself, none gives none."""
-    line = F.replace(text, F.lit("\n"), F.lit(" "))
-    n = F.char_length(line)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substr(line, i, F.lit(2)))
-    return F.when(n > 0, pairs).otherwise(F.array().cast("array<string>"))
+    """Pairs of successive characters; one character is itself, none gives none.
+
+    From an array of characters: a place in a string is only found by reading
+    it from its start.
+    """
+    chars = F.filter(F.split(F.replace(text, F.lit("\n"), F.lit(" ")), ""), lambda c: c != "")
+    n = F.size(chars)
+    pairs = F.zip_with(F.slice(chars, F.lit(1), n - 1), F.slice(chars, F.lit(2), n - 1), lambda a, b: F.concat(a, b))
+    return F.when(n > 1, pairs).otherwise(chars)
 
 
 def bucket(token: Column, buckets: int) -> Column:

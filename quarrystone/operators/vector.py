@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +19,9 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hashed_counts(docs: DataFrame, buckets: int = 128) -> DataFrame:
-    """Counts of hashed character pairs per document: doc_id, bucket, n."""
-    return docs.select("doc_id", F.explode(bigrams(F.col("text"))).alias("t")).groupBy("doc_id", bucket(F.col("t"), buckets).alias("bucket")).agg(F.count("*").alias("n"))
+    """Counts of hashed character pairs per document: doc_id, bucket, n. Pairs are counted before they are hashed."""
+    pairs = docs.select("doc_id", F.explode(bigrams(F.col("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
+    return pairs.groupBy("doc_id", bucket(F.col("t"), buckets).alias("bucket")).agg(F.sum("n").alias("n"))
 
 
 def hashed_embedding(docs: DataFrame, buckets: int = 128) -> DataFrame:
@@ -26,18 +31,42 @@ def hashed_embedding(docs: DataFrame, buckets: int = 128) -> DataFrame:
     return counts.select("doc_id", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, subject: str | None = None) -> DataFrame:
-    """The k vectors with the greatest inner product for each query of a bounded, stated set.
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = (), shard_rows: int = 16_384, block_rows: int = 4_096) -> DataFrame:
+    """The k vectors with the greatest inner product (to six places) for each query of a stated set.
 
-    ``queries``: query_id, q. ``vectors``: vec_id, v. With ``subject`` only
-    vectors of the query's subject are looked at. Partial ranks are taken
-    before the shuffle.
+    ``queries``: query_id, q. ``vectors``: vec_id, v, and the columns ``by``,
+    each combination of which is ranked on its own. Shards of vectors meet
+    blocks of queries, a task scores one such cell as a product of matrices,
+    and only its best k go on to the ranking. Ties go to the smaller id.
+    Columns: query_id, vec_id, ``by``, score, rank.
     """
-    q = F.broadcast(queries)
-    paired = vectors.join(q, subject) if subject else vectors.crossJoin(q)
-    scored = paired.withColumn("score", F.round(dot(F.col("q"), F.col("v")), 6))
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    shards = max(1, -(-vectors.count() // shard_rows))
+    blocks = max(1, -(-queries.count() // block_rows))
+    left = queries.select("query_id", "q").withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    right = vectors.select("vec_id", "v", *by).withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    kinds = dict(vectors.dtypes)
+
+    def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in ("query_id", "vec_id", "score", *by)}
+        if a.num_rows and b.num_rows:
+            rows = b.to_pandas()
+            asked = np.stack([np.asarray(x, dtype=np.float64) for x in a.column("q").to_pylist()])
+            for key, part in rows.groupby(list(by)) if by else [((), rows)]:
+                ids = part["vec_id"].to_numpy()
+                scores = np.round(asked @ np.stack([np.asarray(x, dtype=np.float64) for x in part["v"]]).T, 6)
+                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                out["query_id"] += np.repeat(a.column("query_id").to_numpy(), best.shape[1]).tolist()
+                out["vec_id"] += ids[best].ravel().tolist()
+                out["score"] += np.take_along_axis(scores, best, 1).ravel().tolist()
+                for c, value in zip(by, key, strict=True):
+                    out[c] += [value] * best.size
+        types = [pa.int64(), pa.int64(), pa.float64(), *(b.schema.field(c).type for c in by)]
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
+
+    schema = "query_id long, vec_id long, score double" + "".join(f", {c} {kinds[c]}" for c in by)
+    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(cell, schema)
+    best = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def decayed(distance: Column, rank: Column) -> Column:
@@ -52,18 +81,19 @@ def reranked(hits: DataFrame, bonus: Column, k: int, disabled: Column) -> DataFr
     return scored.withColumn("place", F.row_number().over(best)).where((F.col("place") <= k) & ~disabled)
 
 
-def recommended(scored: DataFrame, preferred: Column, tiers: tuple[tuple[float, float], tuple[float, float]], k: int) -> DataFrame:
-    """Two tiers: preferred rows near their best, then others from groups without a preferred one.
+def recommended(queries: DataFrame, vectors: DataFrame, preferred: Column, group: str, tiers: tuple[tuple[float, float], tuple[float, float]], k: int) -> DataFrame:
+    """Two tiers: preferred rows near their best, then others of groups without a preferred one.
 
-    ``scored``: query_id, vec_id, label, score. A tier is its floor and how far
-    below its own best a row may be.
+    A tier is its floor and how far below its own best a row may be; the best
+    ``k`` of each tier are enough to tell.
     """
-    rows = scored.withColumn("tier", F.when(preferred, 1).otherwise(2))
-    has = rows.where("tier = 1").select("query_id", "label").distinct()
-    rows = rows.where("tier = 1").unionByName(rows.where("tier = 2").join(has, ["query_id", "label"], "left_anti").select(rows.columns))
+    rows = vectors.withColumn("tier", F.when(preferred, 1).otherwise(2))
+    has = rows.where("tier = 1").select(group).distinct()
+    rows = rows.where("tier = 1").unionByName(rows.where("tier = 2").join(has, group, "left_anti").select(rows.columns))
+    found = nearest(queries, rows, k, by=["tier"])
     best = F.max("score").over(Window.partitionBy("query_id", "tier"))
     near = F.lit(False)
     for tier, (floor, delta) in enumerate(tiers, 1):
         near = near | ((F.col("tier") == tier) & (F.col("score") >= floor) & (F.col("score") >= F.col("best") - delta))
     order = Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "vec_id")
-    return rows.withColumn("best", best).where(near).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("best")
+    return found.withColumn("best", best).where(near).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("best", "rank")

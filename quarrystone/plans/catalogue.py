@@ -415,8 +415,8 @@ def token_estimate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""WITH b AS (SELECT doc_id, substr(replace(text, chr(10), ' '), i, 2) AS t FROM documents, unnest(range(1, greatest(length(text) - 1, 1) + 1)) r(i) WHERE doc_id % 10 = doc_id % 10)
-SELECT doc_id, CAST(CAST('0x' || substr(sha256(t), 1, 8) AS BIGINT) % 128 AS INT) AS bucket, count(*) AS n FROM b GROUP BY 1, 2""".replace(" WHERE doc_id % 10 = doc_id % 10", ""))
+@query("""WITH b AS (SELECT doc_id, substr(replace(text, chr(10), ' '), i, 2) AS t FROM documents, unnest(range(1, greatest(length(text) - 1, 1) + 1)) r(i))
+SELECT doc_id, CAST(CAST('0x' || substr(sha256(t), 1, 8) AS BIGINT) % 128 AS INT) AS bucket, count(*) AS n FROM b GROUP BY 1, 2""")
 def hash_tf_buckets(spark, d):
     """H08 H10 D19."""
     return V.hashed_counts(table(spark, d, "documents"))
@@ -485,38 +485,50 @@ def grade_promotion(spark, d):
 # ---------------------------------------------------------------- vectors
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10),
-s AS (SELECT query_id, vec_id, label, round(list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM embeddings, q)
-SELECT query_id, vec_id, label, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM embeddings, q)
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 10""")
 def knn_exact(spark, d):
-    """Ten stated queries against all vectors."""
-    e = table(spark, d, "embeddings")
-    return V.nearest(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.withColumnRenamed("embedding", "v"), 10).select("query_id", "vec_id", "label", "score", "rank")
+    """Every twentieth vector asks, all are searched."""
+    queries, vectors = _asked(spark, d)
+    return V.nearest(queries, vectors, 10)
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding AS q FROM embeddings WHERE vec_id < 10),
+def _asked(spark, d):
+    vectors = table(spark, d, "embeddings").withColumnRenamed("embedding", "v")
+    return vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").alias("own")), vectors
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, label, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, vec_id, round(list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM embeddings JOIN q USING (label))
+SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 4""")
+def knn_by_subject(spark, d):
+    """Nearest of the query's own label."""
+    queries, vectors = _asked(spark, d)
+    found = V.nearest(queries, vectors, 4, by=["label"])
+    return found.join(queries.select("query_id", F.col("own").alias("label")), ["query_id", "label"]).select("query_id", "vec_id", "score", "rank")
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, ql, vec_id, label, round(list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM embeddings, q),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 16),
 f AS (SELECT *, round(greatest(0, 1.1 - (1 - score)) + greatest(0, 0.12 - 0.01 * (rank - 1)) + CASE WHEN ql = label THEN 0.34 ELSE -0.1 END, 6) AS final FROM h),
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, rank) AS INT) AS place FROM f)
 SELECT query_id, vec_id, final, place FROM p WHERE place <= 4 AND vec_id % 7 <> 0""")
 def hybrid_rerank(spark, d):
-    """J03 H51 H54 E01 F02 B14."""
-    e = table(spark, d, "embeddings")
-    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("own"))
-    hits = V.nearest(queries, e.withColumnRenamed("embedding", "v"), 16)
+    """Ids divisible by seven stand for disabled rows."""
+    queries, vectors = _asked(spark, d)
+    hits = V.nearest(queries, vectors, 16).join(vectors.select("vec_id", "label"), "vec_id").join(queries.select("query_id", "own"), "query_id")
     return V.reranked(hits, F.when(F.col("own") == F.col("label"), 0.34).otherwise(-0.1), 4, F.col("vec_id") % 7 == 0).select("query_id", "vec_id", "final", "place")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 10),
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id, label, round(list_inner_product(CAST(q AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score, CASE WHEN label % 2 = 0 THEN 1 ELSE 2 END AS tier FROM embeddings, q),
-k AS (SELECT * FROM s WHERE tier = 1 UNION ALL SELECT * FROM s WHERE tier = 2 AND NOT EXISTS (SELECT 1 FROM s AS o WHERE o.tier = 1 AND o.query_id = s.query_id AND o.label = s.label)),
+k AS (SELECT * FROM s WHERE tier = 1 UNION ALL SELECT * FROM s WHERE tier = 2 AND NOT EXISTS (SELECT 1 FROM embeddings AS o WHERE o.label % 2 = 0 AND o.label = s.label)),
 b AS (SELECT *, max(score) OVER (PARTITION BY query_id, tier) AS best FROM k),
 g AS (SELECT * FROM b WHERE (tier = 1 AND score >= 0.1 AND score >= best - 0.7) OR (tier = 2 AND score >= 0.15 AND score >= best - 0.1))
-SELECT query_id, vec_id, label, score, tier, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, vec_id) AS INT) AS place FROM g QUALIFY place <= 5""")
+SELECT query_id, vec_id, score, tier, CAST(row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, vec_id) AS INT) AS place FROM g QUALIFY place <= 5""")
 def recommend_two_tier(spark, d):
-    """J05 C07 F07 B13."""
-    e = table(spark, d, "embeddings")
-    queries = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = e.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", "label", F.round(V.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return V.recommended(scored, F.col("label") % 2 == 0, ((0.1, 0.7), (0.15, 0.1)), 5).select("query_id", "vec_id", "label", "score", "tier", "place")
+    """Even labels are preferred."""
+    queries, vectors = _asked(spark, d)
+    return V.recommended(queries, vectors, F.col("label") % 2 == 0, "label", ((0.1, 0.7), (0.15, 0.1)), 5).select("query_id", "vec_id", "score", "tier", "place")
