@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions import metadata as M
 from quarrystone.operators import documents as D
+from quarrystone.operators import lifecycle as Y
 from quarrystone.plans.catalogue import ORACLES, QUERIES, query
 from quarrystone.sources.tables import table
 from quarrystone.streaming import folds as L
@@ -160,3 +162,97 @@ def request_replays(spark, d):
     out = L.fold_table(rows, "key", ["at", "seq"], L.replay(10**9))
     split = F.split("key", "[|]")
     return out.select("seq", split[0].cast("long").alias("key"), split[1].alias("event_type"), F.when(F.col("outcome") == "first", "first").otherwise("later").alias("outcome"))
+
+
+# ---------------------------------------------------------------- lifecycle and metadata
+
+
+@query("""WITH n AS (SELECT l_orderkey, l_partkey, l_linenumber FROM lineitem WHERE l_linenumber <= 2), old AS (SELECT * FROM n WHERE l_linenumber = 1),
+new AS (SELECT * FROM n WHERE l_linenumber = 2 QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey) = 1)
+SELECT * FROM old UNION ALL SELECT * FROM new WHERE l_partkey NOT IN (SELECT l_partkey FROM old)""")
+def idempotent_insert(spark, d):
+    """Second lines come in where no first line has their part."""
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return Y.inserted_once(items.where("l_linenumber = 1"), items.where("l_linenumber = 2"), "l_partkey", "l_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def cascade_delete(spark, d):
+    """Lines of orders that stay."""
+    gone = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return Y.without_children(table(spark, d, "lineitem"), gone, "l_orderkey").select("l_orderkey", "l_linenumber")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders""")
+def orphan_repair(spark, d):
+    """Open orders without a returned line fail."""
+    lines = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return Y.repaired(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), lines, "o_orderkey", "o_orderstatus", "O", "X")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_custkey % 50 AS lane, o_orderdate, CASE WHEN o_totalprice > 300000 AND o_custkey % 50 < 10 THEN 'running' WHEN o_orderstatus = 'O' THEN 'waiting' ELSE 'done' END AS status FROM orders)
+SELECT o_orderkey, lane FROM t WHERE status = 'waiting' AND lane NOT IN (SELECT lane FROM t WHERE status = 'running')
+QUALIFY row_number() OVER (PARTITION BY lane ORDER BY o_orderdate, o_orderkey) = 1""")
+def queue_heads(spark, d):
+    """One task at a time in each lane."""
+    status = F.when((F.col("o_totalprice") > 300000) & (F.col("o_custkey") % 50 < 10), "running").when(F.col("o_orderstatus") == "O", "waiting").otherwise("done")
+    tasks = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("lane"), "o_orderdate", status.alias("status"))
+    return Y.queue_heads(tasks, "lane", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "lane")
+
+
+@query("SELECT o_orderkey, TIMESTAMP '1998-08-02 00:00:30' - o_orderdate >= INTERVAL 3000 SECOND AS stale FROM orders")
+def stale_tasks(spark, d):
+    """B24."""
+    return table(spark, d, "orders").select("o_orderkey", Y.stale(F.col("o_orderdate"), F.lit("1998-08-02 00:00:30").cast("timestamp_ntz"), 300.0).alias("stale"))
+
+
+@query("""SELECT p_partkey AS model_id, s_suppkey AS account_id, p_size AS rank, p_partkey % 40 = 0 AS is_primary, p_retailprice AS daily,
+CAST(row_number() OVER (ORDER BY p_partkey % 40 = 0 DESC, p_size, p_partkey) AS INT) AS place
+FROM part JOIN supplier ON s_suppkey = p_partkey % 7 LEFT JOIN (SELECT p_partkey AS m, p_retailprice FROM part WHERE p_size > 25) ON m = p_partkey WHERE s_acctbal > 0""".replace("p_retailprice AS daily", "x.p_retailprice AS daily").replace("ON m = p_partkey", "AS x ON m = p_partkey"))
+def model_fallbacks(spark, d):
+    """Parts as models, suppliers as accounts; a ranking of the whole list, which is a catalogue's size."""
+    part = table(spark, d, "part")
+    models = part.select(F.col("p_partkey").alias("model_id"), (F.col("p_partkey") % 7).alias("account_id"), F.col("p_size").alias("rank"), (F.col("p_partkey") % 40 == 0).alias("is_primary"))
+    policies = part.where("p_size > 25").select(F.col("p_partkey").alias("model_id"), F.col("p_retailprice").alias("daily"))
+    accounts = table(spark, d, "supplier").select(F.col("s_suppkey").alias("account_id"), (F.col("s_acctbal") > 0).alias("enabled"))
+    return Y.fallbacks(models, policies, accounts)
+
+
+@query("SELECT o_orderkey, isoyear(o_orderdate) || '-W' || weekofyear(o_orderdate) AS week FROM orders")
+def iso_week_keys(spark, d):
+    """H47."""
+    return table(spark, d, "orders").select("o_orderkey", M.week_key(F.col("o_orderdate")).alias("week"))
+
+
+@query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS prompt, CAST(event_id % 5 AS BIGINT) AS completion,
+CAST(CASE WHEN event_id % 2 = 0 THEN 7 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) + event_id % 5 END AS BIGINT) AS total FROM events""")
+def usage_reports(spark, d):
+    """H70."""
+    k, e = F.get_json_object("props", "$.k"), F.col("event_id")
+    report = F.when(e % 2 == 0, F.format_string('{"prompt_tokens":%s,"completion_tokens":%d,"total_tokens":7}', k, e % 5)).otherwise(F.format_string('{"input_tokens":%s,"output_tokens":%d}', k, e % 5))
+    return table(spark, d, "events").select("event_id", M.usage_tokens(report).alias("u")).select("event_id", "u.*")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 25 THEN '{"retrieval":{"chapter":"' || p_brand || '","section":"' || p_type || '"},"ingestion":{"size":' || p_size || '}}'
+ELSE '{"retrieval":{"chapter":"' || p_brand || '"}}' END AS metadata FROM part""")
+def metadata_layers(spark, d):
+    """Nulls and empty layers are left out."""
+    big = F.col("p_size") > 25
+    layers = {"retrieval": {"chapter": F.col("p_brand"), "section": F.when(big, F.col("p_type")).otherwise("")}, "ingestion": {"size": F.when(big, F.col("p_size"))}}
+    return table(spark, d, "part").select("p_partkey", M.layered(layers).alias("metadata"))
+
+
+@query("SELECT c_custkey, c_name AS title, CASE WHEN length(c_name) >= 2 THEN [substr(c_name, 1, 32)] ELSE [] END AS tags FROM customer")
+def title_cleaning(spark, d):
+    """Names dressed as files lose their dress."""
+    file = F.concat(F.lit("第三章 "), "c_name", F.lit("_v2 (1).pdf"))
+    return table(spark, d, "customer").select("c_custkey", M.clean_title(file).alias("title")).select("c_custkey", "title", M.title_tags(F.col("title")).alias("tags"))
+
+
+@query("""SELECT 'd:' || p_partkey || '/g:' || p_size || '/q:1' || CASE WHEN p_size % 2 = 0 THEN '/v:1' ELSE '' END AS locator, list_filter([CASE WHEN p_size % 3 = 0 THEN 'missing_required_image' END, CASE WHEN p_size % 5 = 0 THEN 'answer_pairing_suspected' END], lambda x: x IS NOT NULL) AS flags FROM part""")
+def question_metadata(spark, d):
+    """H68 H69."""
+    size = F.col("p_size")
+    where = M.locator(F.col("p_partkey"), size, F.lit(1), F.when(size % 2 == 0, "v:1").otherwise(""))
+    found = M.question_flags(F.col("p_name"), F.when(size % 5 == 0, "").otherwise("x"), F.when(size % 3 == 0, 0).otherwise(1), F.lit(True))
+    return table(spark, d, "part").select(where.alias("locator"), found.alias("flags"))
