@@ -175,6 +175,17 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percen
     return both.select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups (u, root v) after more links: only roots that links join are looked at again."""
+    roots = groups.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    ends = links
+    for side in ("u", "v"):
+        ends = ends.join(roots.withColumnRenamed("id", side), side, "left").withColumn(side, F.coalesce("root", side)).drop("root")
+    changed = saved(components(ends.select("u", "v")), "changed-roots")
+    moved = groups.join(changed.select(F.col("u").alias("v"), F.col("v").alias("to")), "v", "left").select("u", F.coalesce("to", "v").alias("v"))
+    return saved(moved.unionByName(changed), "groups")
+
+
 def unlike(met: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of buckets that hold unlike groups, with their group: h, id, n, at, root."""
     rows = met.select("h", "id", "n", "at").join(groups.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -225,9 +236,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
         else:
             star = met.withColumn("c", F.struct(F.col("cid").alias("id"), F.col("cn").alias("n"), F.col("cat").alias("at"))).where("id <> c.id")
         pairs = star.where(may_link(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent)).select(F.col("id").alias("u"), F.col("c.id").alias("v")).distinct()
-        found = saved(edges.unionByName(linked(pairs, docs, sets, size, percent)), "links")
-        groups = components(found)
-        edges = groups
+        found = linked(pairs, docs, sets, size, percent)
+        groups = merged(groups, saved(found, "links")) if turn else components(saved(edges.unionByName(found), "links"))
 
     # All pairs that meet and are in unlike groups.
     now = unlike(met, groups)
@@ -236,7 +246,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     pairs = meet.select(F.col("id").alias("u"), F.col("id_2").alias("v")).distinct()
     more = saved(linked(pairs, docs, sets, size, percent), "more-links")
     if not more.isEmpty():
-        groups = components(groups.unionByName(more))
+        groups = merged(groups, more)
 
     roots = saved(classes.join(groups.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("n", "k1", "k2", F.coalesce("root", "rep").alias("root")), "roots")
     rows = sets.select("doc_id", "n", "k1", "k2")
