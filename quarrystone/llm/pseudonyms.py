@@ -97,11 +97,9 @@ def card(m: re.Match, f: Feistel) -> str | None:
 
 
 def american(m: re.Match, f: Feistel) -> str | None:
+    """Ten digits in the North American form; whatever the area, as people also write numbers no plan has."""
     d = only_digits(m[0])
-    front, d = d[:-10], d[-10:]
-    number = ((int(d[0]) - 2) * 100 + int(d[1:3])) * 800 * 10_000 + ((int(d[3]) - 2) * 100 + int(d[4:6])) * 10_000 + int(d[6:])
-    area, rest = divmod(f.permute("phone", number, 800 * 800 * 10_000), 800 * 10_000)
-    return filled(m[0], front + str(area + 200) + str(rest // 10_000 + 200) + str(rest % 10_000).zfill(4))
+    return filled(m[0], d[:-10] + str(f.permute("phone", int(d[-10:]), 10**10)).zfill(10))
 
 
 def foreign(m: re.Match, f: Feistel) -> str | None:
@@ -122,9 +120,9 @@ def security(m: re.Match, f: Feistel) -> str | None:
 
 def address(m: re.Match, f: Feistel) -> str | None:
     parts = m[0].split(".")
-    if any(int(p) > 255 or str(int(p)) != p for p in parts) or not 0 < int(parts[0]) < 224 or parts[0] == "127":
+    if any(int(p) > 255 or str(int(p)) != p for p in parts) or parts[0] == "0":
         return None
-    x = f.permute("address", int.from_bytes(bytes(map(int, parts)), "big"), 224 << 24, lambda x: x >> 24 not in (0, 127))
+    x = f.permute("address", int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, lambda x: x >> 24 > 0)
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
@@ -205,7 +203,7 @@ KINDS: list[tuple[str, str, re.Pattern, Callable[[re.Match, Feistel], str | None
     ("date", "0", re.compile(r"(?<![\w/.-])(\d{1,2})([/.])(\d{1,2})\2(\d{4})(?!\w|[/.]\d)", re.ASCII), other_date),
     ("address", "0", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", re.ASCII), address),
     ("security", "0", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)", re.ASCII), security),
-    ("phone", "0", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?!\w)", re.ASCII), american),
+    ("phone", "0", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", re.ASCII), american),
     ("phone", "+", re.compile(r"(?<![\w+])\+(?!1[ .(-])[1-9]\d(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)", re.ASCII), foreign),
     ("card", "0", re.compile(r"(?<![\w+])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w)", re.ASCII), card),
 ]
