@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.shared import partitions, saved
-from quarrystone.llm.words import text_array
+from quarrystone.llm.words import VALUES, mixed, powers, text_array
+from quarrystone.llm.words import pieces as pieces_of
 from quarrystone.sources.tables import table
 
 # ---------------------------------------------------------------- tokens
 
 #: Texts of these characters alone are split by the pattern below as the
-#: tokenizer splits them; all others go to the tokenizer whole.
+#: tokenizer splits them; all others go to the tokenizer whole. Most need not
+#: even that: see KIND.
 PLAIN = re.compile("[\t-\r -~\xa0-\xff]*")
 LETTERS, NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
@@ -42,46 +44,150 @@ class Ids(dict):
     """Token ids (little-endian, unsigned 32 bits) of single words, for one tokenizer file.
 
     The tokenizer merges within words only, so a word's ids hold wherever it
-    stands. A full table starts anew.
+    stands. New words of a batch are encoded together, with spaces between;
+    a token that ends a word tells so by its suffix. A full table starts anew.
     """
 
-    MOST = 400_000
+    MOST = 1_200_000
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.raw(word)
-        return found
-
-    def of(self, text: str) -> bytes:
-        """The ids of a whole text."""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return self.raw(text)
+    def learn(self, words: list[str]) -> None:
+        for k in range(0, len(words), 500):
+            part = words[k : k + 500]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1]).tolist()
+            if len(cuts) == len(part) + 1 and cuts[-1] == len(ids):
+                raw = ids.tobytes()
+                self.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, cuts, cuts[1:], strict=False))
+            else:  # a tokenizer without such suffixes
+                self.update((w, self.raw(w)) for w in part)
+
+    def of(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of whole texts."""
+        words = [None if "<|" in t or not PLAIN.fullmatch(t) else WORD.findall(t.lower()) for t in texts]
         if len(self) > self.MOST:
             self.clear()
-        return b"".join(map(self.__getitem__, WORD.findall(text.lower())))
+        self.learn(list(set().union(*(w for w in words if w)) - self.keys()))
+        for text, own in zip(texts, words, strict=True):
+            yield self.raw(text) if own is None else b"".join(map(self.__getitem__, own))
+
+
+#: Kinds of bytes in texts of ASCII and of the letters from U+00C0 to U+00FF:
+#: 0 white space, 1 letter, 2 digit, 3 other, 9 not of such a text.
+KIND = np.full(256, 9, dtype=np.uint8)
+KIND[list(b" \t\n\x0b\x0c\r")] = 0
+KIND[33:127] = 3
+KIND[48:58] = 2
+KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
+
+
+class Table:
+    """Ids of words by the words' hashes, so that whole buffers are looked up at once."""
+
+    def __init__(self, path: str):
+        self.words = Ids(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[int, int] = {}
+        self.flat, self.start, self.size = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.used = 0
+
+    def learn(self, hashes: list[int], words: list[str]) -> None:
+        self.words.clear()
+        self.words.learn(words)
+        raw = [np.frombuffer(self.words[w], dtype="<u4") for w in words]
+        n, m = len(self.places), sum(map(len, raw))
+        while n + len(raw) > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+        while self.used + m > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        sizes = np.array([len(r) for r in raw], dtype=np.int64)
+        self.size[n : n + len(raw)] = sizes
+        self.start[n : n + len(raw)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + m] = np.concatenate(raw)
+        self.used += m
+        self.places.update(zip(hashes, range(n, n + len(raw)), strict=True))
+
+    def of(self, column: pa.Array) -> Iterator[bytes]:
+        """The ids of whole texts."""
+        for lo, hi, raw, at in pieces_of(column):
+            kind = KIND[raw]
+            after = np.concatenate([[0], raw[:-1]]) == 0xC3 if len(raw) else np.zeros(0, dtype=bool)
+            # Other characters, signs among the letters, or what may be a contraction or a special token.
+            odd = (kind == 9) | ((raw >= 0x80) & (raw != 0xC3) & ~after) | (after & ((raw == 0x97) | (raw == 0xB7)))
+            if len(raw) > 1:
+                odd[:-1] |= (raw[:-1] == 39) & (kind[1:] == 1) | (raw[:-1] == 60) & (raw[1:] == 124)
+            odd = np.concatenate([[0], np.cumsum(odd)])
+            odd = odd[at[1:]] > odd[at[:-1]]
+            low = np.where((raw >= 65) & (raw <= 90) | after & (raw >= 0x80) & (raw <= 0x9E), raw + 32, raw).astype(np.uint8)
+            bounds, ids = self.looked_up(low, kind, at)
+            for i, plain in enumerate((~odd).tolist()):
+                yield ids[bounds[i] : bounds[i + 1]].tobytes() if plain else next(self.words.of([column[lo + i].as_py()]))
+
+    def looked_up(self, low: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of each text's ids, and the ids of all."""
+        n = len(low)
+        inside = (kind > 0) & (kind < 9)
+        cut = np.zeros(n + 1, dtype=bool)
+        cut[at] = True
+        other = np.ones(n + 1, dtype=bool)
+        other[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        other |= cut
+        starts, ends = np.flatnonzero(inside & other[:-1]), np.flatnonzero(inside & other[1:]) + 1
+        up, down = powers(n + 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(VALUES[low] * up[:n], out=sums[1:])
+        hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        keys, first, where = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.places) > Ids.MOST:
+            self.clear()
+        keys = keys.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.places]
+        if new:
+            raw = low.tobytes()
+            at_first = first[new]
+            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at_first].tolist(), ends[at_first].tolist(), strict=True)]
+            self.learn([keys[i] for i in new], words)
+        place = np.array([self.places[k] for k in keys], dtype=np.int64)[where]
+        size = self.size[place]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        ids = self.flat[np.arange(total) + np.repeat(self.start[place] - stop + size, size)]
+        return np.concatenate([[0], stop])[np.searchsorted(starts, at)], ids
+
+
+_ids: dict[str, Table] = {}
 
 
-_ids: dict[str, Ids] = {}
+def ids_of(path: str) -> Table:
+    """One table per tokenizer and Python worker."""
+    if path not in _ids:
+        _ids[path] = Table(path)
+    return _ids[path]
 
 
 def pieces(docs: DataFrame, tokenizer: str, cap: int, end_id: int, with_ids: bool) -> DataFrame:
     """Each document's pieces: doc_id, piece, start, length, ids_crc32 (and ids)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _ids.setdefault(tokenizer, None) or _ids.__setitem__(tokenizer, Ids(tokenizer)) or _ids[tokenizer]
+        ids = ids_of(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), text_array(batch.column(1)), strict=True):
-                raw = ids.of(text.as_py()) + end
+            for doc, raw in zip(batch.column(0).to_pylist(), ids.of(text_array(batch.column(1))), strict=True):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * cap)):
                     part = raw[at : at + 4 * cap]
                     row = (doc, k, at // 4, len(part) // 4, zlib.crc32(part))
