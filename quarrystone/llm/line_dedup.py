@@ -15,6 +15,8 @@ from quarrystone.sources.tables import table
 
 #: ASCII white space, as [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
+#: Tasks, or more, over which the rows of one common line are spread.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,16 +57,17 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .select("__id", "__of", "__at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")),
         "lines",
     )
-    # Written, so that the join below has a shuffle on either side, and Spark can split hot lines.
-    common = saved(
+    common = (
         lines.groupBy("h1", "h2")
         .agg(F.countDistinct("__id").alias("n"), F.max("__id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper"),
-        "common-lines",
+        .select("h1", "h2", "keeper")
     )
+    # A line that most documents share has as many rows: salted, they are joined in several tasks.
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     drops = (
-        lines.join(common, ["h1", "h2"])
+        lines.withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
+        .join(salted, ["h1", "h2", "salt"])
         .where(F.col("__id") != F.col("keeper"))
         .groupBy("__id", "__of")
         .agg(F.collect_set("__at").alias("__drop"))

@@ -66,9 +66,8 @@ def trend(activity: DataFrame, unit: str, start: str, end: str, subjects: Sequen
     day = F.col("ts").cast("date")
     inside = activity.where(day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select(bucket(day, unit).alias("period"), "subject")
     counts = inside.groupBy("period", "subject").agg(F.count("*").alias("n"))
-    series = counts.groupBy("period").agg(F.sum("n").alias("n")).withColumn("series", F.lit("total"))
-    if subjects:
-        series = series.unionByName(counts.where(F.col("subject").isin(*subjects)).withColumnRenamed("subject", "series"))
+    named = F.array(F.lit("total"), F.when(F.col("subject").isin(*subjects), F.col("subject"))) if subjects else F.array(F.lit("total"))
+    series = counts.select("period", F.explode(named).alias("series"), "n").groupBy("period", "series").agg(F.sum("n").alias("n"))
     ends = [bucket(F.lit(d).cast("date"), unit) for d in (start, end)]
     spine = spark.range(1).select(F.explode(F.sequence(*ends, F.expr(f"INTERVAL 1 {unit}"))).alias("period"))
     names = F.explode(F.array(*map(F.lit, ["total", *dict.fromkeys(subjects)]))).alias("series")
@@ -77,20 +76,24 @@ def trend(activity: DataFrame, unit: str, start: str, end: str, subjects: Sequen
 
 
 def profiles(activity: DataFrame) -> DataFrame:
-    """Per person: conversations, share resolved and fallen back, modal subject (ties to the first seen), last activity."""
-    modal = (
-        activity.groupBy("person_id", "subject")
-        .agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
-        .groupBy("person_id")
-        .agg(F.max_by("subject", F.struct("n", -F.col("first"))).alias("focus"))
+    """Per person: conversations, share resolved and fallen back, modal subject (ties to the first seen), last activity.
+
+    One scan: counts per person and subject, then per person.
+    """
+    per = activity.groupBy("person_id", "subject").agg(
+        F.count("*").alias("n"),
+        F.count_if("resolved").alias("ok"),
+        F.count_if("fallback").alias("fell"),
+        F.max("ts").alias("last"),
+        F.min("event_id").alias("first"),
     )
-    totals = activity.groupBy("person_id").agg(
-        F.count("*").alias("conversations"),
-        ratio(F.count_if("resolved"), F.count("*")).alias("resolved_rate"),
-        ratio(F.count_if("fallback"), F.count("*")).alias("fallback_rate"),
-        F.max("ts").alias("last_seen"),
+    return per.groupBy("person_id").agg(
+        F.sum("n").alias("conversations"),
+        ratio(F.sum("ok"), F.sum("n")).alias("resolved_rate"),
+        ratio(F.sum("fell"), F.sum("n")).alias("fallback_rate"),
+        F.max("last").alias("last_seen"),
+        F.max_by("subject", F.struct("n", -F.col("first"))).alias("focus"),
     )
-    return totals.join(modal, "person_id")
 
 
 def portraits(activity: DataFrame, people: DataFrame, limit: int = 12) -> DataFrame:
