@@ -96,6 +96,7 @@ def search(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: n
             best = np.lexsort((i, -np.maximum(s, NONE + 1)), axis=1)[:, :k]
             top[rows], who[rows] = np.take_along_axis(s, best, 1), np.take_along_axis(i, best, 1)
             kth[rows] = np.maximum(kth[rows], top[rows, -1])
+    top[top < floor[:, None]] = NONE  # cannot be among the best of all shards
     return top, who
 
 
@@ -103,7 +104,7 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(len(column), -1)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, shard_rows: int = 16_384, block_rows: int = 4_096, sample_rows: int = 2_048) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, shard_rows: int = 4_096, block_rows: int = 2_048, sample_rows: int = 2_048) -> DataFrame:
     """Each query's ``k`` best vectors by inner product: query_id, rank, vec_id, score.
 
     Both tables have vec_id (long) and v (array<long>). A query never gets rows
