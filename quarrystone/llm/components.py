@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from quarrystone.llm.shared import saved
 
 
+#: Edges in one file of a round, or more where the cluster has fewer files than cores.
+EDGES = 100_000
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def _least(pairs: DataFrame) -> DataFrame:
+def _least(pairs: DataFrame, files: int) -> DataFrame:
     """(u, v) with the least of u and its v's; written, so that Spark can split hot u in the join."""
-    least = saved(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = saved(pairs.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "least")
     return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
 
 
@@ -24,20 +28,24 @@ def components(edges: DataFrame) -> DataFrame:
     Large stars hang a node's greater neighbours on its least one, small stars
     its lesser neighbours; both in turn end in one star per component, after a
     number of rounds that grows with the logarithm of the nodes. Loops,
-    repeated and reversed edges do no harm; no edges give no rows.
+    repeated and reversed edges do no harm; no edges give no rows. Rounds write
+    as few files as their edges need, not one for each shuffle partition.
     """
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = _state(now)
     while True:
+        files = max(cores, state[0] // EDGES)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large, "large-stars")
-        small = _least(large)
+        large = _least(both, files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = saved(large.coalesce(files), "large-stars")
+        small = _least(large, files)
         now = saved(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v")
-            .distinct(),
+            .distinct()
+            .coalesce(files),
             "small-stars",
         )
         before, state = state, _state(now)
