@@ -198,21 +198,23 @@ def slice_audit(slices: DataFrame, id_col: str = "doc_id") -> DataFrame:
 # ---------------------------------------------------------------- tags and titles
 
 
-def contained_tags(titles: DataFrame, tags: DataFrame, longest_words: int = 6) -> DataFrame:
-    """Tags that stand as words in titles, longest first, without those inside another that was taken: title_id, tags.
+def contained_tags(titles: DataFrame, tags: DataFrame) -> DataFrame:
+    """Tags that stand anywhere in titles, longest first, without those inside another that was taken: title_id, tags.
 
-    Titles' word n-grams meet tags by equality; no title is paired with tags
-    that it does not have.
+    Runs of white space in a title count as one space. Of each title the
+    substrings of just the lengths that tags have meet the tags by equality;
+    no title is paired with tags that it does not have.
     """
-    words = F.split(F.lower(F.trim("title")), r"\s+")
-    spans = titles.select("title_id", words.alias("w")).select("title_id", "w", F.posexplode("w").alias("at", "first"))
-    grams = spans.select("title_id", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest_words), F.size("w") - F.col("at")))).alias("n"), "w")
-    grams = grams.select("title_id", F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ").alias("key")).distinct()
-    hits = grams.join(tags.select(F.lower(F.trim("tag")).alias("key")).where("key <> ''").distinct(), "key")
+    vocabulary = tags.select(F.lower(F.trim("tag")).alias("key")).where("key <> ''").distinct()
+    lengths = vocabulary.select(F.char_length("key").alias("n")).distinct()
+    whole = titles.select("title_id", F.regexp_replace(F.lower(F.trim("title")), r"\s+", " ").alias("whole"))
+    sized = whole.join(F.broadcast(lengths), F.char_length("whole") >= F.col("n"))
+    starts = F.sequence(F.lit(1), F.char_length("whole") - F.col("n") + 1)
+    grams = sized.select("title_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("whole", i, F.col("n"))))).alias("key")).distinct()
+    hits = grams.join(vocabulary, "key")
     listed = hits.groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct((-F.char_length("key")).alias("n"), "key"))).alias("hits"))
     none = F.array().cast("array<string>")
-    padded = lambda x: F.concat(F.lit(" "), x, F.lit(" "))
-    taken = F.aggregate("hits.key", none, lambda kept, t: F.when(F.exists(kept, lambda k: F.contains(padded(k), padded(t))), kept).otherwise(F.concat(kept, F.array(t))))
+    taken = F.aggregate("hits.key", none, lambda kept, t: F.when(F.exists(kept, lambda k: F.contains(k, t)), kept).otherwise(F.concat(kept, F.array(t))))
     return listed.select("title_id", taken.alias("tags"))
 
 

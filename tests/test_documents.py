@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -54,6 +55,26 @@ def test_titles_and_tags(spark):
     assert found[1] == (1, 300) and found[2] == (1, 208) and found[3] == (3, 200) and 4 not in found
 
 
+def test_tags_are_found_like_plain_substrings(spark):
+    rng = random.Random(7)
+    vocabulary = ["平面几何", "几何", "函数", "geometry", "a tag of more than six words in all", "2", "b  c", " Trim ", "", "ab", "bca"]
+    vocabulary += ["".join(rng.choices("ab c", k=rng.randint(1, 4))) for _ in range(20)]
+    asked = ["高中平面几何与函数讲义.pdf", "geometry_v2", "on geometry, 3", "so A  tag of more than six words in all is", "", "trimmed", None]
+    asked += ["".join(rng.choices("ab c", k=rng.randint(1, 14))) for _ in range(40)]
+    want = {}
+    for i, title in enumerate(asked):
+        whole, kept = re.sub(r"\s+", " ", (title or "").lower().strip(" ")), []
+        for tag in sorted({v.strip(" ").lower() for v in vocabulary} - {""}, key=lambda t: (-len(t), t)):
+            if tag in whole and not any(tag in k for k in kept):
+                kept.append(tag)
+        if kept:
+            want[i] = kept
+    assert want[0] == ["平面几何", "函数"] and want[1] == ["geometry", "2"] and len(want[3][0]) > 30
+    titles = spark.createDataFrame(list(enumerate(asked)), "title_id long, title string")
+    tags = spark.createDataFrame([(v,) for v in [*vocabulary, None]], "tag string")
+    assert {r.title_id: r.tags for r in D.contained_tags(titles, tags).collect()} == want
+
+
 def test_text_functions(spark):
     def one(column, value):
         return spark.createDataFrame([(value,)], "t string").select(column.alias("x")).first().x
