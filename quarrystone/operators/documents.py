@@ -221,30 +221,55 @@ def contained_tags(titles: DataFrame, tags: DataFrame) -> DataFrame:
 def similar_titles(titles: DataFrame, labels: DataFrame, least: float = 0.82) -> DataFrame:
     """The best label for each title: equal keys, containment, same letters, or a similar run of letters.
 
-    title_id, label_id, score. Only pairs that share three successive letters
-    of their keys (or all of a shorter key) are compared.
+    title_id, label_id, score. Keys of one or two characters score only where
+    they are equal or the label's stands in the title's. Pairs that can score
+    meet by equality, on one of: three successive letters; a label's whole
+    short key; all letters, sorted; one or two successive letters where the
+    lengths allow a ratio of ``least`` without longer ones in common.
     """
 
-    def keyed(df: DataFrame, own: str, text: str, name: str) -> DataFrame:
-        key = structure_key(F.col(text))
-        n = F.char_length("key")
-        return df.select(own, key.alias("key")).where("key <> ''").select(own, F.col("key").alias(name), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substr("key", i, F.lit(3))))).alias("part"))
+    def without(n: int) -> float:
+        """Letters that two keys of a ratio of ``least`` have together at most, if no ``n`` successive ones are common."""
+        # The common runs are n - 1 long at most, and between any two of them a letter is not common.
+        rest = least / (2 * (n - 1)) - (1 - least)
+        return 1 / rest + 1e-6 if rest > 0 else float("inf")
 
-    pairs = keyed(titles, "title_id", "title", "a").join(keyed(labels, "label_id", "label", "b"), "part").select("title_id", "label_id", "a", "b").distinct()
+    # Unlike keys miss a letter at least, so that short ones cannot have the ratio.
+    bounds = {n: without(n + 1) for n in (1, 2) if without(n + 1) * (1 - least) > 1 - 1e-4}
+    sorted_letters = lambda c: F.array_sort(F.split(c, ""))
+    a_long, b_long = F.char_length("a") > 2, F.char_length("b") > 2
+
+    def keyed(df: DataFrame, own: str, text: str, name: str) -> DataFrame:
+        keys = df.select(own, structure_key(F.col(text)).alias(name)).where(F.col(name) != "")
+        n, none = F.char_length(name), F.array().cast("array<string>")
+        runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr(name, i, F.lit(k)))).otherwise(none)
+        short = F.when(n <= 2, F.array(F.col(name))).otherwise(none) if name == "b" else F.concat(runs(1), runs(2))
+        routes = {"3": runs(3), "b": short, "s": F.when(n > 2, F.array(F.array_join(sorted_letters(F.col(name)), ""))).otherwise(none)}
+        routes |= {str(k): F.when((n > 2) & (n <= bound * (1 - least / 2)), runs(k)).otherwise(none) for k, bound in bounds.items()}
+        via = lambda r: lambda x: F.struct(F.lit(r).alias("route"), x.alias("part"))
+        parts = F.concat(*[F.transform(F.array_distinct(p), via(r)) for r, p in routes.items()])
+        return keys.select(own, name, F.explode(parts).alias("p")).select(own, name, "p.route", "p.part")
+
+    both, fewer = F.char_length("a") + F.char_length("b"), F.least(F.char_length("a"), F.char_length("b"))
+    apt = F.col("route").isin("3", "b", "s")
+    for k, bound in bounds.items():
+        apt = apt | ((F.col("route") == str(k)) & (both <= bound) & (2 * fewer >= least * both - 1e-6))
+    pairs = keyed(titles, "title_id", "title", "a").join(keyed(labels, "label_id", "label", "b"), ["route", "part"]).where(apt).select("title_id", "label_id", "a", "b").distinct()
 
     def ratio(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            value = [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            matched = [SequenceMatcher(None, a, b, autojunk=False) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
+            # The first two are upper bounds of the last.
+            value = [m.ratio() if min(m.real_quick_ratio(), m.quick_ratio()) >= least else 0.0 for m in matched]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value, pa.float64())], names=[*batch.schema.names, "ratio"])
 
-    sorted_letters = lambda c: F.array_sort(F.split(c, ""))
     scored = pairs.mapInArrow(ratio, "title_id long, label_id long, a string, b string, ratio double").withColumn(
         "score",
         F.when(F.col("a") == F.col("b"), 300)
         .when(F.contains("a", "b"), 220)
-        .when(sorted_letters("a") == sorted_letters("b"), 200)
-        .when(F.contains("b", "a"), 180)
-        .when(F.col("ratio") >= least, (170 + 40 * F.col("ratio")).cast("int")),
+        .when(a_long & b_long & (sorted_letters("a") == sorted_letters("b")), 200)
+        .when(a_long & F.contains("b", "a"), 180)
+        .when(a_long & b_long & (F.col("ratio") >= least), (170 + 40 * F.col("ratio")).cast("int")),
     )
     best = Window.partitionBy("title_id").orderBy(F.desc("score"), F.desc(F.char_length("b")), "label_id")
     return scored.where("score IS NOT NULL").withColumn("r", F.row_number().over(best)).where("r = 1").select("title_id", "label_id", "score")

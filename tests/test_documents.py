@@ -1,6 +1,8 @@
 import random
 import re
+from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text as T
@@ -75,6 +77,43 @@ def test_tags_are_found_like_plain_substrings(spark):
     assert {r.title_id: r.tags for r in D.contained_tags(titles, tags).collect()} == want
 
 
+def plain_score(a, b, least):
+    ratio = SequenceMatcher(None, a, b, autojunk=False).ratio()
+    if a == b:
+        return 300
+    if b in a:
+        return 220
+    if min(len(a), len(b)) > 2 and sorted(a) == sorted(b):
+        return 200
+    if len(a) > 2 and a in b:
+        return 180
+    return int(170 + 40 * ratio) if min(len(a), len(b)) > 2 and ratio >= least else None
+
+
+@pytest.mark.parametrize("least", [0.82, 0.6])
+def test_similar_titles_equal_all_pairs(spark, least):
+    rng = random.Random(11)
+    asked = ["函数与方程", "abtest", "pqr", "abcdef", "ab", "x"]
+    known = ["函数", "ab", "rpq", "abxcdxef", "abtests", "x", "ba"]
+    for size in range(1, 26):
+        for _ in range(6):
+            text = "".join(rng.choices("abcdefgh", k=size))
+            edited = "".join(c + rng.choice(["", "", "", "", "z"]) for c in text)
+            spaced = "".join(c + ("z" if i % 2 else "") for i, c in enumerate(text))
+            asked.append(text)
+            known.append(rng.choice([edited, spaced, text[::-1], text[: size // 2 + 1]]))
+    want = {}
+    for i, a in enumerate(asked):
+        scores = [(-score, -len(b), j) for j, b in enumerate(known) if (score := plain_score(a, b, least)) is not None]
+        if scores:
+            want[i] = (min(scores)[2], -min(scores)[0])
+    assert want[0] == (0, 220) and want[2] == (2, 200)
+    titles, labels = spark.createDataFrame(list(enumerate(asked)), "title_id long, title string"), spark.createDataFrame(list(enumerate(known)), "label_id long, label string")
+    assert {r.title_id: (r.label_id, r.score) for r in D.similar_titles(titles, labels, least).collect()} == want
+    alone = D.similar_titles(spark.createDataFrame([(1, "AB test"), (2, "abcdef"), (3, "ab")], "title_id long, title string"), spark.createDataFrame([(1, "AB"), (2, "abxcdxef")], "label_id long, label string"))
+    assert {r.title_id: (r.label_id, r.score) for r in alone.collect()} == {1: (1, 220), 2: (1, 220), 3: (1, 300)}
+
+
 def test_text_functions(spark):
     def one(column, value):
         return spark.createDataFrame([(value,)], "t string").select(column.alias("x")).first().x
