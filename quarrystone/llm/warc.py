@@ -148,51 +148,101 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2] if headers.get("content-type", "").startswith("application/http") else block
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``."""
-    unpack, out, fed = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof:
-            if fed >= len(data):
-                raise Broken("gzip member without end")
-            part = data[fed : fed + (1 << 14)]
-            fed += len(part)
+ENDLESS = "gzip member without end"
+
+
+def member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """Content and end of the gzip member at ``at``; of a broken one what can be unpacked, where reading stopped, and why."""
+    unpack, out, fed, flaw, step = zlib.decompressobj(31), [], at, None, 1 << 14
+    while not unpack.eof:
+        if fed >= len(data):
+            flaw = flaw or ENDLESS
+            break
+        part = data[fed : fed + step]
+        try:
             out.append(unpack.decompress(part))
-    except zlib.error as e:
-        raise Broken("gzip member fails its check") from e
-    return b"".join(out), fed - len(unpack.unused_data)
+        except zlib.error:
+            if flaw:  # the first byte that cannot be read
+                break
+            flaw = "gzip member fails its check"
+            # What the failing part holds is lost with the error: again to its beginning, then byte by byte.
+            unpack, step = zlib.decompressobj(31), 1
+            out = [unpack.decompress(data[i : min(i + (1 << 14), fed)]) for i in range(at, fed, 1 << 14)]
+            continue
+        fed += len(part)
+    return b"".join(out), fed - len(unpack.unused_data), flaw
+
+
+Found = tuple[int, int, str | None, dict[str, str] | None, bytes | None]
+
+
+def plain(data: bytes) -> Iterator[Found]:
+    """Start, end and either headers and block of each valid record of plain bytes, or the reason of each gap."""
+    at, gap, why = 0, None, ""
+    while at < len(data):
+        try:
+            headers, block, end = parsed(data, at)
+        except Broken as e:
+            if gap is None:
+                gap, why = at, str(e)
+            version = VERSION.search(data, at + 1)
+            at = version.start() if version else len(data)
+            continue
+        if gap is not None:
+            yield gap, at, why, None, None
+            gap = None
+        yield at, end, None, headers, block
+        at = end
+    if gap is not None:
+        yield gap, len(data), why, None, None
+
 
+def salvage(data: bytes) -> Iterator[Found]:
+    """Start, end and either headers and block of each valid record, or the reason of each gap.
 
-def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict[str, str] | None, bytes | None]]:
-    """Start, end and either headers and block of each valid record, or the reason of each gap."""
+    A member of which only some records are valid gives these, and its gaps
+    with their places in the unpacked content. A broken member gives the valid
+    records of what can be unpacked, and is itself a gap.
+    """
     at, gap, why = 0, None, ""
     while at < len(data):
+        flaw = None
         try:
             if data.startswith(MEMBER, at):
-                content, end = member(data, at)
-                found, inner = [], 0
-                while inner < len(content):
-                    headers, block, inner = parsed(content, inner)
-                    found.append((headers, block))
+                content, end, flaw = member(data, at)
+                inner = list(plain(content))
+                alone = flaw == ENDLESS and len(inner) == 1  # a cut member of one record is a gap, even if but its trailer is missing
+                if (flaw or inner) and (alone or all(reason for _, _, reason, _, _ in inner)):
+                    raise Broken(flaw or inner[0][2])
+                found = [(reason and f"{reason} (bytes {a} to {b} of the unpacked member)", headers, block) for a, b, reason, headers, block in inner]
             else:
                 headers, block, end = parsed(data, at)
-                found = [(headers, block)]
+                found = [(None, headers, block)]
         except Broken as e:
             if gap is None:
                 gap, why = at, str(e)
-            version = VERSION.search(data, at + 1)
-            at = min(x if x >= 0 else len(data) for x in (data.find(MEMBER, at + 1), version.start() if version else -1))
+            at = beginning(data, at + 1)
             continue
         if gap is not None:
             yield gap, at, why, None, None
             gap = None
-        for headers, block in found:
-            yield at, end, None, headers, block
-        at = end
+        for reason, headers, block in found:
+            yield at, end, reason, headers, block
+        if flaw:
+            gap, why = at, flaw
+            at = beginning(data, at + 1)
+        else:
+            at = end
     if gap is not None:
         yield gap, len(data), why, None, None
 
 
+def beginning(data: bytes, at: int) -> int:
+    """The next place from ``at`` on at which a member or record may begin."""
+    version = VERSION.search(data, at)
+    return min(x if x >= 0 else len(data) for x in (data.find(MEMBER, at), version.start() if version else -1))
+
+
 READ = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
 READ_SQL = "path string, start long, end long, gap string, record_type string, record_id string, headers map<string,string>, payload binary"
 

@@ -79,3 +79,27 @@ def test_salvage_of_plain_records():
     assert list(salvage(b"")) == [] and gaps(b"nothing") == [(0, 7)]
     mixed = parts[0] + zlib.compress(b"x") + gzip.compress(parts[1]) + parts[2]
     assert ids(mixed) == [f"<urn:x-page:{i}>" for i in range(3)]
+
+
+def test_salvage_inside_members():
+    parts = [raw(i, f"<p>{i * 7919 % 1000003}</p>".encode() * (20 + i % 50)) for i in range(200)]
+    names = [f"<urn:x-page:{i}>" for i in range(200)]
+    bad = [*parts]
+    bad[1] = bad[1].replace(b"<p>", b"<q>", 1)  # digest differs
+    content = b"".join(bad)
+    data = gzip.compress(raw(300)) + gzip.compress(content) + gzip.compress(raw(301))
+    assert ids(data) == ["<urn:x-page:300>", names[0], *names[2:], "<urn:x-page:301>"]
+    ((a, b, why),) = [(a, b, why) for a, b, why, _, _ in salvage(data) if why]
+    first = len(gzip.compress(raw(300)))
+    assert (a, b) == (first, first + len(gzip.compress(content))) and f"bytes {len(bad[0])} to {len(bad[0] + bad[1])} of" in why
+
+    whole = gzip.compress(b"".join(parts))
+    wrong_sum = bytearray(whole)
+    wrong_sum[-6] ^= 0xFF
+    assert ids(bytes(wrong_sum) + gzip.compress(raw(301))) == [*names, "<urn:x-page:301>"]
+    assert gaps(bytes(wrong_sum) + gzip.compress(raw(301))) == [(0, len(whole))]
+    assert ids(whole[:-3]) == names and gaps(whole[:-3]) == [(0, len(whole) - 3)]
+    for size in (len(whole) // 4, len(whole) // 2):
+        done = len(zlib.decompressobj(31).decompress(whole[:size]))
+        complete = sum(len(b"".join(parts[: i + 1])) <= done for i in range(200))
+        assert complete > 1 and ids(whole[:size]) == names[:complete]
