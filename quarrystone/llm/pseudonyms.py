@@ -89,10 +89,17 @@ def luhn(digits: str) -> int:
 
 
 def card(m: re.Match, f: Feistel) -> str | None:
+    """Numbers that begin with 3 to 6, and of 16 digits with 2221 to 2720."""
     d = only_digits(m[0])
-    if d[0] not in "3456" or luhn(d[:-1]) != int(d[-1]) or len(set(d)) < 3:
+    if luhn(d[:-1]) != int(d[-1]):
+        return None
+    if d[0] in "3456":
+        body = d[0] + str(f.permute(f"card{len(d)}", int(d[1:-1]), 10 ** (len(d) - 2))).zfill(len(d) - 2)
+    elif len(d) == 16 and 2221 <= int(d[:4]) <= 2720:
+        low = 2221 * 10**11
+        body = str(low + f.permute("card2", int(d[:-1]) - low, 500 * 10**11))
+    else:
         return None
-    body = d[0] + str(f.permute(f"card{len(d)}", int(d[1:-1]), 10 ** (len(d) - 2), lambda x: len(set(d[0] + str(x))) > 2)).zfill(len(d) - 2)
     return filled(m[0], body + str(luhn(body)))
 
 
@@ -193,19 +200,39 @@ def key(m: re.Match, f: Feistel) -> str | None:
 
 HEXADECIMAL = re.compile("(?i)[0-9a-f]+")
 
+#: The lengths of countries' IBANs.
+ACCOUNTS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def account_pattern() -> re.Pattern:
+    """IBANs of their country's length, whatever stands behind; else as many characters as there are.
+
+    Which it is follows from the country and the places of spaces alone, which pseudonyms keep.
+    """
+    forms = []
+    for n, countries in ACCOUNTS.items():
+        fours, rest = divmod(n - 4, 4)
+        forms.append(rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "") + r"(?!\w)")
+    return re.compile(rf"(?<!\w)(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join(forms)}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!\w))", re.ASCII)
+
+
 #: Kind, a character class that any value has, pattern, and the function that validates and permutes. Earlier kinds win.
 KINDS: list[tuple[str, str, re.Pattern, Callable[[re.Match, Feistel], str | None]]] = [
     ("mail", "@", re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\w-])"), mail),
     ("access_key", "AKIA", re.compile(r"(?<!\w)((?:AKIA|ASIA))([0-9A-Z]{16})(?!\w)"), key),
     ("password", "=", re.compile(r"(?i)(?<!\w)((?:password|passwd|pwd|token|secret|api_?key) ?= ?\"?)([0-9a-z]{6,})(?!\w)"), key),
-    ("iban", "0", re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.ASCII), account),
+    ("iban", "0", account_pattern(), account),
     ("date", "0", re.compile(r"(?<![\w/.-])(\d{4})-(\d{2})-(\d{2})(?!\w|-\d)", re.ASCII), iso_date),
     ("date", "0", re.compile(r"(?<![\w/.-])(\d{1,2})([/.])(\d{1,2})\2(\d{4})(?!\w|[/.]\d)", re.ASCII), other_date),
     ("address", "0", re.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", re.ASCII), address),
     ("security", "0", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?!\w|-\d)", re.ASCII), security),
     ("phone", "0", re.compile(r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)", re.ASCII), american),
     ("phone", "+", re.compile(r"(?<![\w+])\+(?!1[ .(-])[1-9]\d(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\w)", re.ASCII), foreign),
-    ("card", "0", re.compile(r"(?<![\w+])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{5})(?!\w)", re.ASCII), card),
+    ("card", "0", re.compile(r"(?<![\w+])(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ -])\d{6}\2\d{4,5})(?!\w)", re.ASCII), card),
 ]
 DIGIT = re.compile("[0-9]")
 

@@ -48,6 +48,28 @@ def test_formats_hold():
     assert re.fullmatch('token = "[0-9a-f]{40}', one('token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae'))
 
 
+def test_all_card_ranges():
+    for prefix in ("2221", "2399", "2720"):
+        body = prefix + "00987654321"
+        new = one(body + str(luhn(body)))
+        assert 2221 <= int(new[:4]) <= 2720 and luhn(new[:-1]) == int(new[-1]) and new[:-1] != body
+    for body in ("222099999999999", "272100000000000", "22210098765432"):
+        assert rewritten(body + str(luhn(body)), F)[1] == []
+    for diners in ("3056 930902 5904", "3056-930902-5904"):
+        assert re.fullmatch(r"3\d{3}([ -])\d{6}\1\d{4}", one(diners)) and re.sub(r"\D", "", one(diners)) == one("30569309025904")
+    assert one("4111 1111 1111 1111") and one("5555555555554444")
+
+
+def test_accounts_before_other_tokens():
+    tokens = ["BIC", "X", "1", "2024", "BIC CAIX", "BANK", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    for iban in ("ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "CZ65 0800 0000 1920 0014 5399", "LT12 1000 0111 0100 1000", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "ES9121000418450200051332"):
+        alone = one(iban)
+        for token in tokens:
+            new, spans = rewritten(f"to {iban} {token} now", F)
+            assert spans[0] == ("iban", 3, 3 + len(iban)) and new.startswith(f"to {alone} ") and len(spans) == 1 + (len(token) > 12)
+            assert rewritten(new, BACK)[0] == f"to {iban} {token} now"
+
+
 def test_what_is_not_valid_stays():
     for text in ("4041894974608796", "2023-02-29", "31/31/2024", "256.1.1.1", "1.2.3", "000-12-3456", "DE88370400440532013000", "version 2.0.", "12345", "a@b", "32.13.2024", "0/1/2024", "", "café 1,234.50"):
         assert rewritten(text, F) == (text, [])
