@@ -153,7 +153,8 @@ def token_labels(words: list[Words], labels: np.ndarray, odds: float = 12.0) ->
 def fit(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate: float = 0.5) -> Model:
     """Gradient ascent (AdaGrad) on the field's likelihood, then the calibration on all texts."""
     model = Model(bits)
-    words = [Words(raw, at, ALNUM) for _, _, raw, at in pieces(texts, 1)]
+    # A run of ``pieces`` may hold several texts where some are empty.
+    words = [Words(raw[a:b], np.array([0, b - a]), ALNUM) for _, _, raw, at in pieces(texts, 1) for a, b in zip(at[:-1], at[1:], strict=True)]
     if not len(words) or len(set(labels.tolist())) < 2:
         model.bias, model.scale = -10.0, np.array([-2.0, 0.0, 0.0, 0.0, 0.0])
         return model

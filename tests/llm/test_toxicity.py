@@ -71,6 +71,18 @@ def test_without_both_labels(spark):
         assert all(r.score < 0.3 for r in toxic_spans(docs, model).collect())
 
 
+def test_training_on_empty_and_short_texts(spark):
+    texts, labels = toy(60)
+    texts, labels = [*texts, *["", "", "", "a", "b", "", ".", "é"] * 3], [*labels, *[0, 1, 0, 0, 1, 0, 0, 0] * 3]
+    plain, odd = fit(pa.array(texts[:60]), np.array(labels[:60]), 10), fit(pa.array(texts), np.array(labels), 10)
+    assert odd.w.shape == plain.w.shape and np.isfinite(odd.w).all() and odd.w.any()
+    assert fit(pa.array(["", "", "a"]), np.array([0, 1, 1]), 10).w.shape == (1024,)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = train(docs, spark.createDataFrame(list(enumerate(labels)), "doc_id long, label int"), bits=10)
+    scores = {r.doc_id: r.score for r in toxic_spans(docs, model).collect()}
+    assert min(scores[i] for i in range(60) if labels[i]) > max(scores[i] for i in range(60) if not labels[i])
+
+
 def test_scores_do_not_depend_on_neighbours():
     texts, labels = toy(120)
     model = fit(pa.array(texts), np.array(labels), 12)
