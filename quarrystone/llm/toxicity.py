@@ -25,6 +25,8 @@ from quarrystone.sources.tables import table
 
 #: Words of one chain; a longer text is several chains.
 CHAIN = 128
+#: Words of a block of chains that are held at once beside the features.
+BLOCK = 1 << 17
 SEEDS = [np.uint64(0xD6E8FEB86659FD93 * (i + 1) % 2**64) for i in range(9)]
 
 
@@ -151,7 +153,10 @@ def token_labels(words: list[Words], labels: np.ndarray, odds: float = 12.0) ->
 
 
 def fit(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate: float = 0.5) -> Model:
-    """Gradient ascent (AdaGrad) on the field's likelihood, then the calibration on all texts."""
+    """Gradient ascent (AdaGrad) on the field's likelihood, then the calibration, on all texts.
+
+    Of toxic texts the field learns chains that hold a toxic word, of clean texts all.
+    """
     model = Model(bits)
     # A run of ``pieces`` may hold several texts where some are empty.
     words = [Words(raw[a:b], np.array([0, b - a]), ALNUM) for _, _, raw, at in pieces(texts, 1) for a, b in zip(at[:-1], at[1:], strict=True)]
@@ -159,43 +164,53 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate:
         model.bias, model.scale = -10.0, np.array([-2.0, 0.0, 0.0, 0.0, 0.0])
         return model
     tags = token_labels(words, labels)
-    # Chains that hold a toxic word, and the first ones of as many clean texts again and more.
-    found, marks, toxic = [], [], []
-    clean_left = 4 * int(labels.sum()) + 200
+    # Chains that hold a toxic word, and all chains of clean texts, in blocks of about BLOCK words.
+    found, marks, toxic, blocks = [], [], [], []
+
+    def close() -> None:
+        if found:
+            blocks.append((np.concatenate(found, axis=1), np.array(marks), np.concatenate(toxic)))
+            found.clear(), marks.clear(), toxic.clear()
+
     for w, t, y in zip(words, tags, labels, strict=True):
         starts, lengths = chains(w.first)
-        f = emissions(w, bits)
+        if not len(starts) or (y and not t.any()):
+            continue
+        f = emissions(w, bits).astype(np.int32)
         for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-            if t[s : s + n].any() or (not y and clean_left > 0):
-                clean_left -= not y
+            if not y or t[s : s + n].any():
                 found.append(f[:, s : s + n])
                 marks.append(n)
                 toxic.append(t[s : s + n])
-    if not found:
+                if len(marks) * CHAIN >= BLOCK:
+                    close()
+    close()
+    if not blocks:
         model.bias = -10.0
         return model
-    f, lengths = np.concatenate(found, axis=1), np.array(marks)
-    y = np.concatenate(toxic).astype(float)
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    inner = np.ones(len(y), dtype=bool)
-    inner[starts] = False
-    now, prior = y[inner].astype(int), np.concatenate([[0], y[:-1]])[inner].astype(int)
-    true_moves = np.bincount(prior * 2 + now, minlength=4).reshape(2, 2)
-    used, where = np.unique(f, return_inverse=True)
-    where = where.reshape(f.shape)
-    weight, square = np.zeros(len(used)), np.full(len(used), 1e-6)
+    true_moves = np.zeros((2, 2))
+    for _, lengths, y in blocks:
+        inner = np.ones(len(y), dtype=bool)
+        inner[np.cumsum(lengths) - lengths] = False
+        now, prior = y[inner].astype(int), np.concatenate([[0], y[:-1]])[inner].astype(int)
+        true_moves += np.bincount(prior * 2 + now, minlength=4).reshape(2, 2)
+    weight, square = np.zeros(2**bits), np.full(2**bits, 1e-6)
     other, other_square = np.array([-4.0, *([0.0] * 5)]), np.full(6, 1e-6)
     for _ in range(rounds):
-        score = weight[where].sum(axis=0) + other[0]
-        odds, expected = marginals(score, starts, lengths, other[2:].reshape(2, 2), other[1])
-        miss = y - sigmoid(odds)
-        slope = np.bincount(where.ravel(), np.broadcast_to(miss, f.shape).ravel(), minlength=len(used)) - 0.05 * weight
+        slope, total, at_start, expected = -0.05 * weight, 0.0, 0.0, np.zeros((2, 2))
+        for f, lengths, y in blocks:
+            starts = np.cumsum(lengths) - lengths
+            odds, moves = marginals(weight[f].sum(axis=0) + other[0], starts, lengths, other[2:].reshape(2, 2), other[1])
+            miss = y - sigmoid(odds)
+            for row in f:
+                slope += np.bincount(row, miss, minlength=2**bits)
+            total, at_start, expected = total + miss.sum(), at_start + miss[starts].sum(), expected + moves
         square += slope**2
         weight += rate * slope / np.sqrt(square)
-        slope = np.concatenate([[miss.sum(), miss[starts].sum()], (true_moves - expected).ravel()]) - 0.05 * other
+        slope = np.concatenate([[total, at_start], (true_moves - expected).ravel()]) - 0.05 * other
         other_square += slope**2
         other += rate * slope / np.sqrt(other_square)
-    model.w[used] = weight
+    model.w = weight
     model.bias, model.begin, model.moves = other[0], other[1], other[2:].reshape(2, 2)
 
     x = np.concatenate([model.summary(model.tag(w), w.first) for w in words])

@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from quarrystone.llm.toxicity import Model, chains, fit, marginals, op6_crf_toxicity, sigmoid, toxic_spans, train
+from quarrystone.llm.toxicity import Model, chains, emissions, fit, marginals, op6_crf_toxicity, sigmoid, toxic_spans, train
 from quarrystone.llm.words import ALNUM, Words, pieces
 
 
@@ -83,6 +83,15 @@ def test_training_on_empty_and_short_texts(spark):
     assert min(scores[i] for i in range(60) if labels[i]) > max(scores[i] for i in range(60) if not labels[i])
 
 
+def test_all_clean_texts_are_learnt():
+    texts, labels = toy(40)
+    late = [f"late{i} " * 30 for i in range(20)]
+    first = " ".join(f"word{i % 80}" for i in range(128 * 400))  # more chains than four for each toxic text and 200
+    model = fit(pa.array([first, *texts, *late]), np.array([0, *labels, *[0] * 20]), 14)
+    used = [model.w[emissions(w, 14)[0]] for t in late for w in [Words(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t.encode())]), ALNUM)]]
+    assert all((u < 0).all() for u in used)
+
+
 def test_scores_do_not_depend_on_neighbours():
     texts, labels = toy(120)
     model = fit(pa.array(texts), np.array(labels), 12)
