@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines; long ones in overlapping windows) are scored by a softmax
+Paragraphs (lines, and blocks of lines between those without words; long ones in
+overlapping windows) are scored by a softmax
 regression over hashed word n-grams, with a class for each licence family and
 one for text of no known licence. It is learnt from short notices of each
 family, varied by rule, and from a bounded sample of the corpus' own
@@ -117,9 +118,27 @@ def units(w: Words, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and end of each paragraph with words, or of its windows."""
     if not len(w):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    line = np.searchsorted(np.flatnonzero(raw == 10), w.starts)
-    doc = w.doc()
-    cuts = np.concatenate([[0], np.flatnonzero((np.diff(line) > 0) | (np.diff(doc) > 0)) + 1, [len(w)]])
+    return windows(w, lines(w, raw), 0)
+
+
+def blocks(w: Words, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and end of each run of lines with words, or of its windows; those within a line are left to ``units``."""
+    if not len(w):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    line = lines(w, raw)
+    starts, ends = windows(w, line, 1)
+    several = line[starts] < line[ends - 1]
+    return starts[several], ends[several]
+
+
+def lines(w: Words, raw: np.ndarray) -> np.ndarray:
+    """The line of each word."""
+    return np.searchsorted(np.flatnonzero(raw == 10), w.starts)
+
+
+def windows(w: Words, line: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words cut where lines are more than ``apart`` from each other and at texts' ends, long parts in windows."""
+    cuts = np.concatenate([[0], np.flatnonzero((np.diff(line) > apart) | (np.diff(w.doc()) > 0)) + 1, [len(w)]])
     starts, ends = cuts[:-1], cuts[1:]
     long = np.flatnonzero(ends - starts > WINDOW)
     if len(long):
@@ -243,8 +262,10 @@ SPANS = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("en
 def scan(docs: DataFrame, model: Licences, threshold: float = 0.5, confirmed: float = 0.6, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, n_paragraphs and the licences found.
 
-    licences: family, start and end (bytes of the UTF-8 text), probability, and
-    agreement with the family's nearest template, by place. Null and empty
+    n_paragraphs: lines with words, or windows of long ones. licences: family,
+    start and end (bytes of the UTF-8 text), probability, and agreement with
+    the family's nearest template, by place. A block of lines counts where it
+    has a notice beside those that single lines hold. Null and empty
     texts have none. Own columns of these names give way. An empty table gives
     no rows. Each text is scanned whole and alone.
     """
@@ -262,13 +283,26 @@ def scan(docs: DataFrame, model: Licences, threshold: float = 0.5, confirmed: fl
                 starts, ends = units(w, raw)
                 doc = np.searchsorted(w.first, starts, side="right") - 1
                 n[lo : lo + len(at) - 1] += np.bincount(doc, minlength=len(at) - 1)
-                chance = softmax(unit_scores(h, starts, ends, weights) * heat) if len(starts) else np.zeros((0, 1))
-                best = chance.argmax(axis=1) if len(starts) else np.zeros(0, dtype=int)
-                for i in np.flatnonzero((best < len(FAMILIES)) & (chance.max(axis=1, initial=0) >= threshold)).tolist():
-                    a, b, family = int(starts[i]), int(ends[i]), FAMILIES[best[i]]
-                    if (same := agreement(h[a:b], family)) >= confirmed:
-                        own = {"family": family, "start": int(w.starts[a] - at[doc[i]]), "end": int(w.ends[b - 1] - at[doc[i]]), "probability": float(chance[i, best[i]]), "agreement": float(same)}
-                        found[lo + doc[i]].append(own)
+                covered = {}  # by family, the words of notices within one line
+                hits: list[tuple[int, dict]] = []
+                for block, (starts, ends) in enumerate(((starts, ends), blocks(w, raw))):
+                    if not len(starts):
+                        continue
+                    chance = softmax(unit_scores(h, starts, ends, weights) * heat)
+                    best = chance.argmax(axis=1)
+                    for i in np.flatnonzero((best < len(FAMILIES)) & (chance.max(axis=1) >= threshold)).tolist():
+                        a, b, family = int(starts[i]), int(ends[i]), FAMILIES[best[i]]
+                        if (same := agreement(h[a:b], family)) < confirmed:
+                            continue
+                        own = covered.setdefault(family, np.zeros(len(h), dtype=bool))
+                        if not block:
+                            own[a:b] = True
+                        elif own[a:b].any() and (same := agreement(h[a:b][~own[a:b]], family)) < confirmed:
+                            continue
+                        doc = int(np.searchsorted(w.first, a, side="right")) - 1
+                        hits.append((lo + doc, {"family": family, "start": int(w.starts[a] - at[doc]), "end": int(w.ends[b - 1] - at[doc]), "probability": float(chance[i, best[i]]), "agreement": float(same)}))
+                for doc, hit in sorted(hits, key=lambda x: (x[0], x[1]["start"], x[1]["end"])):
+                    found[doc].append(hit)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(found, SPANS)], names=[*batch.schema.names, "n_paragraphs", "licences"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

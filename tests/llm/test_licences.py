@@ -1,3 +1,5 @@
+import textwrap
+
 import numpy as np
 import pytest
 
@@ -64,3 +66,22 @@ def test_query_finds_the_notices_of_the_tables(spark, sf_dir):
     for r in op3_licences(spark, sf_dir).collect():
         want = {f for f, n in notices.items() if n.lower() in texts[r.doc_id].lower()}
         assert set(filter(None, r.families.split(","))) == want
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_notices(spark, model, mark):
+    notices = [(f, t) for f in FAMILIES for t in TEMPLATES[f]]
+    single = {r.doc_id for r in scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(notices)], "doc_id long, text string"), model).collect() if r.licences}
+    rows = [(i * 100 + width, "word1 word2\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + "\n\nword3 word4 word5") for i, (_, t) in enumerate(notices) for width in range(40, 81, 5)]
+    out = {r.doc_id: r.licences for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert len(single) > 0.9 * len(notices)
+    assert [d for d, found in out.items() if d // 100 in single and notices[d // 100][0] not in {x.family for x in found}] == []
+
+
+def test_wrapped_and_single_notices_in_one_block(spark, model):
+    bsd = "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file."
+    both = "Released under the BSD License.\n" + bsd
+    rows = [(1, bsd), (2, both), (3, "Released under the BSD License.\nword1 word2 word3")]
+    found = {r.doc_id: r.licences for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert [[x.family for x in found[i]] for i in (1, 2, 3)] == [["bsd"], ["bsd", "bsd"], ["bsd"]]
+    assert (found[1][0].start, found[1][0].end) == (0, len(bsd) - 1)
