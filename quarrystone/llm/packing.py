@@ -15,6 +15,7 @@ length that a third of the pieces share is spread over many tasks.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.shared import partitions, saved
@@ -367,16 +368,22 @@ def pack(docs: DataFrame, tokenizer: str, cap: int = 2048, end_id: int = 0, grou
     slots = plan(histogram, cap, groups, large)
     pieces_all = sum(histogram.values())
 
+    # Ranks within a length: within salts, plus how many rows lesser salts have. These sums go over blocks of salts
+    # first, so that no task holds a row of every salt of a length.
     salts = max(4 * partitions(spark), pieces_all // 50_000)
+    block = math.isqrt(salts - 1) + 1
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     within = Window.partitionBy("salt", "length").orderBy("doc_id", "piece", "ids_crc32")
     ranked = salted.withColumn("rank", F.row_number().over(within))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    bases = (
-        salted.groupBy("salt", "length")
-        .agg(F.count("*").alias("n"))
-        .select("salt", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    )
+    counts = saved(salted.groupBy("salt", "length").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("salt") / block)), "salt-counts")
+
+    def before(*keys: str, order: str) -> Column:
+        over = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("n").over(over), F.lit(0))
+
+    blocks = counts.groupBy("length", "block").agg(F.sum("n").alias("n")).select("length", "block", before("length", order="block").alias("low"))
+    inner = counts.select("length", "block", "salt", before("length", "block", order="salt").alias("base"))
+    bases = inner.join(blocks, ["length", "block"]).select("salt", "length", (F.col("low") + F.col("base")).alias("base"))
     placed = ranked.join(bases, ["salt", "length"]).withColumn("rank", F.col("rank") + F.col("base") - 1).drop("salt", "base")
 
     key = (slots[:, 0] << 44) + slots[:, 1]
