@@ -15,8 +15,6 @@ from quarrystone.sources.tables import table
 
 #: ASCII white space, as [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\f\r"
-#: Tasks, or more, over which the rows of one common line are spread.
-SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,11 +44,12 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     kept = [F.col(f"`{c}`") for c in rows.columns]
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     # Rows of one id with unlike texts are told apart by the text's hash.
-    rows = rows.select(*kept, F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__of"), F.split(text, "\n", -1).alias("__lines"))
+    rows = rows.select(*kept, F.col(f"`{id_col}`").alias("__id"), F.xxhash64(text).alias("__of"))
+    split = F.split(text, "\n", -1)
 
     lines = saved(
         rows.where(F.col("__id").isNotNull())
-        .select("__id", "__of", F.posexplode("__lines").alias("__at", "line"))
+        .select("__id", "__of", F.posexplode(split).alias("__at", "line"))
         .where(F.char_length("line") >= min_chars)
         .select("__id", "__of", "__at", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
@@ -63,17 +62,17 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
-    # A line that most documents share has as many rows: salted, they are joined in several tasks.
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # A line that most documents share has as many rows: the next grouping is by document,
+    # so adaptive execution is free to split its part of the join over tasks, by its size.
     drops = (
-        lines.withColumn("salt", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int"))
-        .join(salted, ["h1", "h2", "salt"])
+        lines.join(common, ["h1", "h2"])
         .where(F.col("__id") != F.col("keeper"))
         .groupBy("__id", "__of")
         .agg(F.collect_set("__at").alias("__drop"))
     )
     cut = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    whole = rows.join(drops, ["__id", "__of"], "left")
+    # Split again after the join: the texts are shuffled once, not beside their lines.
+    whole = rows.join(drops, ["__id", "__of"], "left").withColumn("__lines", split)
     new_text = F.when(F.col("__drop").isNull(), text).otherwise(F.array_join(F.transform(cut, lambda i: F.get("__lines", i)), "\n"))
     return whole.select(
         *[(new_text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns if c not in ("n_lines", "n_dropped")],
