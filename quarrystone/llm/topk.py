@@ -1,21 +1,26 @@
 """Exact top-k search by inner product with ball trees.
 
-Vectors are dealt into shards and queries into blocks, by hash; a task takes
-one shard and one block. It builds a ball tree over its shard and walks it
-branch and bound, nodes in order of their upper bound: for a node with centre c
-and radius r no vector scores over q.c + |q| r. Each query starts from the kth
-score that it has on a bounded sample of the vectors, which all shards share,
-and raises it as leaves are scored; nodes that cannot reach it are skipped.
+Vectors are dealt into shards by hash. A task takes a shard's vectors, builds
+one ball tree over them, and lets all queries stream past it in batches, branch
+and bound, nodes in order of their upper bound: for a node with centre c and
+radius r no vector scores over q.c + |q| r. Nodes that cannot reach a query's
+kth score are skipped. That score is shared by all shards: each query gets it
+once from a bounded sample of the vectors, then raises it over a first part of
+the shards, and carries it to the others.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrystone.llm.shared import saved
 from quarrystone.sources.tables import table
 
 NONE = np.iinfo(np.int64).min
@@ -58,12 +63,12 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return q @ x.T
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of each query's best ``k`` rows, without its own id; absent ones score NONE.
+def search(tree: BallTree, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of each query's best ``k`` rows of ``x``, without its own id; absent ones score NONE.
 
-    ``floor``: a score that each query's kth best over all shards is known to reach.
+    ``tree``: over ``x``. ``floor``: a score that each query's kth best over all
+    shards is known to reach.
     """
-    tree = BallTree(x.astype(np.float64))
     top = np.full((len(queries), k), NONE)
     who = np.full((len(queries), k), np.iinfo(np.int64).max)
     kth = floor.copy()
@@ -74,15 +79,18 @@ def search(query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, ids: n
         value = real[rows] @ tree.centres[node] + norm[rows] * tree.radii[node]
         return value + 1e-9 * (np.abs(value) + norm[rows] * (1 + np.abs(tree.centres[node]).max(initial=0))) + 1e-6
 
-    stack = [(0, np.arange(len(queries)), bound(0, np.arange(len(queries))))]
-    while stack:
-        node, rows, upper = stack.pop()
+    everyone = np.arange(len(queries))
+    upper = bound(0, everyone)
+    queue = [(-upper.max(initial=0), 0, everyone, upper)]
+    while queue:
+        _, node, rows, upper = heapq.heappop(queue)
         rows = rows[upper >= kth[rows]]
         if not len(rows):
             continue
         if tree.children[node]:
-            below = [(c, rows, bound(c, rows)) for c in tree.children[node]]
-            stack += sorted(below, key=lambda x: x[2].sum())  # the more promising one is taken first
+            for child in tree.children[node]:
+                upper = bound(child, rows)
+                heapq.heappush(queue, (-upper.max(), child, rows, upper))
             continue
         lo, hi = tree.bounds[node]
         at = tree.order[lo:hi]
@@ -104,56 +112,96 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.flatten().to_numpy(zero_copy_only=False), dtype=np.int64).reshape(len(column), -1)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, shard_rows: int = 4_096, block_rows: int = 2_048, sample_rows: int = 2_048) -> DataFrame:
+def shard_search(spark: SparkSession, queries: DataFrame, vectors: DataFrame, shards: int, some: tuple[int, int], k: int) -> DataFrame:
+    """query_id, mark, vec_id, score: each query's best of the shards ``some`` (from, to) that reach its floor.
+
+    A shard's rows are sorted so that its vectors come first; queries follow
+    and are searched batch by batch, so a task holds one shard and one batch.
+    """
+    lo, hi = some
+    own = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).where(F.col("shard").between(lo, hi - 1))
+    # Every query goes to every shard: queries are a stated set, searched in blocks.
+    to_all = queries.withColumn("shard", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+    none = F.lit(None).cast("long")
+    both = own.select("dim", "shard", F.lit(0).alias("kind"), "vec_id", none.alias("mark"), none.alias("floor"), "v").unionByName(to_all.select("dim", "shard", F.lit(1).alias("kind"), "vec_id", "mark", "floor", "v"))
+    dealt = both.repartition(hi - lo, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, tree, ids, x = None, [], None, None, None
+        for batch in batches:
+            cell = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2)]).astype(np.int64)
+            cuts = np.flatnonzero((np.diff(cell) != 0).any(axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                run, (dim, shard, kind) = batch.slice(a, b - a), cell[:, a].tolist()
+                if at != (dim, shard):
+                    at, parts, tree = (dim, shard), [], None
+                if not kind:
+                    parts.append((run.column(3).to_numpy(), matrix(run.column(6))))
+                    continue
+                if not parts:
+                    continue
+                if tree is None:
+                    ids, x = (np.concatenate(c) for c in zip(*parts, strict=True))
+                    tree = BallTree(x.astype(np.float64))
+                query_ids, mark, floor = (run.column(i).to_numpy() for i in (3, 4, 5))
+                top, who = search(tree, query_ids, matrix(run.column(6)), floor, ids, x, k)
+                row, col = np.nonzero(top > NONE)
+                found = (query_ids[row], mark[row], who[row, col], top[row, col])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "mark", "vec_id", "score"])
+
+    return dealt.mapInArrow(walk, "query_id long, mark long, vec_id long, score long")
+
+
+def with_floor(queries: DataFrame, sample: pa.Table, k: int) -> DataFrame:
+    """The queries and, as ``floor``, their kth score on the sample (the least number where it has fewer)."""
+    by_dim = {d: (c.column("vec_id").to_numpy(), matrix(c.column("v").combine_chunks())) for d in set(sample.column("dim").to_pylist()) for c in [sample.filter(pa.compute.equal(sample.column("dim"), d))]}
+    shared = queries.sparkSession.sparkContext.broadcast(by_dim)
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dim, query_ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
+            floor = np.full(batch.num_rows, NONE)
+            for d, (ids, x) in shared.value.items():
+                rows = np.flatnonzero(dim == d)
+                if len(ids) > k and len(rows):
+                    seen = exact_scores(matrix(batch.column(1).take(pa.array(rows))), x)
+                    seen[ids[None, :] == query_ids[rows][:, None]] = NONE
+                    floor[rows] = np.partition(seen, len(ids) - k, axis=1)[:, len(ids) - k]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor)], names=[*batch.schema.names, "floor"])
+
+    return queries.select("vec_id", "v", "dim", "mark").mapInArrow(rate, "vec_id long, v array<long>, dim int, mark long, floor long")
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 20, shard_rows: int = 32_768, least_rows: int = 4_096, sample_rows: int = 2_048) -> DataFrame:
     """Each query's ``k`` best vectors by inner product: query_id, rank, vec_id, score.
 
     Both tables have vec_id (long) and v (array<long>). A query never gets rows
     of its own id; ties go to the smaller id. Queries meet vectors of their own
     length only. A row that repeats counts again among the candidates; a query
     that repeats is answered once. Rows with null ids or vectors take no part,
-    and either table may be empty. ``sample_rows`` vectors at most set the
-    first bounds; every row is searched.
+    and either table may be empty. A shard has about ``shard_rows`` vectors,
+    or fewer, down to ``least_rows``, where cores would be idle; each query is
+    copied once per shard, each vector never. ``sample_rows`` vectors at most
+    set the first bounds; every row is searched.
     """
+    spark = queries.sparkSession
     usable = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
-    queries = queries.where(usable).select("vec_id", "v", F.size("v").alias("dim")).distinct()
+    queries = queries.where(usable).select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("mark")).distinct()
     vectors = vectors.where(usable).select("vec_id", "v", F.size("v").alias("dim"))
-    shards = max(1, -(-vectors.count() // shard_rows))
-    blocks = max(1, -(-queries.count() // block_rows))
+    rows = vectors.count()
+    shards = max(1, -(-rows // shard_rows), min(-(-rows // least_rows), spark.sparkContext.defaultParallelism))
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(sample_rows).toArrow()
-    by_dim = {d: (c.column("vec_id").to_numpy(), matrix(c.column("v").combine_chunks())) for d in set(sample.column("dim").to_pylist()) for c in [sample.filter(pa.compute.equal(sample.column("dim"), d))]}
-    shared = queries.sparkSession.sparkContext.broadcast(by_dim)
-
-    # Every block goes to every shard: queries are a stated set, searched in blocks.
-    to_all = queries.withColumns({"block": F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-    from_all = vectors.withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
-
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * 4
-        if left.num_rows and right.num_rows:
-            dim = left.column("dim")[0].as_py()
-            query_ids, q = left.column("vec_id").to_numpy(), matrix(left.column("v").combine_chunks())
-            ids, x = right.column("vec_id").to_numpy(), matrix(right.column("v").combine_chunks())
-            floor = np.full(len(q), NONE)
-            if dim in shared.value:
-                some, y = shared.value[dim]
-                if len(some) > k:
-                    seen = exact_scores(q, y)
-                    seen[some[None, :] == query_ids[:, None]] = NONE
-                    floor = np.partition(seen, len(some) - k, axis=1)[:, len(some) - k]
-            top, who = search(query_ids, q, floor, ids, x, k)
-            row, col = np.nonzero(top > NONE)
-            out = [query_ids[row], row, who[row, col], top[row, col]]
-            mark = np.array(left.column("mark").to_pylist(), dtype=np.int64)
-            out[1] = mark[row]
-        return pa.table({n: pa.array(a) for n, a in zip(("query_id", "mark", "vec_id", "score"), out, strict=True)})
-
-    keys = ["dim", "shard", "block"]
-    found = (
-        to_all.withColumn("mark", F.xxhash64("v"))
-        .groupBy(*keys)
-        .cogroup(from_all.groupBy(*keys))
-        .applyInArrow(cell, "query_id long, mark long, vec_id long, score long")
-    )
+    queries = saved(with_floor(queries, sample, k), "queries")
+
+    first = -(-shards // 8)
+    found = saved(shard_search(spark, queries, vectors, shards, (0, first), k), "first-shards")
+    if first < shards:
+        kth = found.groupBy("query_id", "mark").agg(F.array_sort(F.collect_list(F.col("score") * -1)).alias("s")).where(F.size("s") >= k)
+        kth = kth.select(F.col("query_id").alias("vec_id"), "mark", (F.get("s", F.lit(k - 1)) * -1).alias("kth"))
+        raised = queries.join(kth, ["vec_id", "mark"], "left").withColumn("floor", F.greatest("floor", "kth")).drop("kth")
+        found = found.unionByName(shard_search(spark, raised, vectors, shards, (first, shards), k))
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

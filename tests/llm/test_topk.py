@@ -25,7 +25,7 @@ def test_equal_to_brute_force(spark):
     vectors += [(1000 + i, [1, 2, 3, 4, 5]) for i in range(300)]  # one very common vector
     vectors += [(2000, None), (None, [1, 1, 1, 1, 1]), (2001, [3, 4]), (2002, [5, 4]), (7, [9, 9, 9, 9, 9]), (8, vectors[8][1])]
     queries = [v for v in vectors if v[0] is None or v[0] % 20 == 0] + [(2001, [3, 4]), (0, vectors[0][1]), (0, [1, 0, 0, 0, 0])]
-    for how in ({}, {"shard_rows": 100, "block_rows": 7, "sample_rows": 50}):
+    for how in ({}, {"shard_rows": 60, "least_rows": 10, "sample_rows": 50}, {"shard_rows": 5000, "least_rows": 5000, "sample_rows": 3}):
         assert run(spark, queries, vectors, 6, **how) == brute(queries, vectors, 6)
 
 
