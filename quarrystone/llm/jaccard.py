@@ -9,9 +9,15 @@ positional filter, and a suffix filter before the one full comparison.
 Groups are wanted, not all pairs: first each member of a prefix bucket is held
 against the bucket's first member, then, in buckets that still hold unlike
 groups, against one member drawn per bucket, and what links is joined. After
-that all pairs that meet and are still in unlike groups are compared. No link
-between groups is lost, and a large group of near copies costs some comparisons
-per member instead of one per pair.
+that all pairs that meet and are still in unlike groups are formed, each where
+it meets first (or near there: see ``first_meetings``), without those that were
+formed before. No link between groups is lost, and a large group of near copies
+costs some comparisons per member instead of one per pair.
+
+A bucket's first member comes from a window where its shingle's counter is
+low, which bounds the bucket; where it is high, from a partial aggregate
+that is joined back, so that a shingle of a third of all documents never passes
+through one task.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from quarrystone.sources.tables import table
 
 #: Counters of shingles, by the last bits of their hash.
 COUNTERS = 1 << 18
+#: Shingles whose counter is over this are hot: their buckets have no bound.
+HOT = 4096
 #: Bits of the filter that spares most texts outside all pairs a shuffle.
 BITS = 1 << 23
 
@@ -66,28 +74,30 @@ def counts_of(docs: DataFrame, size: int) -> np.ndarray:
     return total
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int) -> DataFrame:
-    """doc_id, n (of its set), k1 and k2 (its class), prefix (rare first), bits (of all its shingles)."""
+def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot: int = HOT) -> DataFrame:
+    """doc_id, n (of its set), k1 and k2 (its class), prefix (rare first), bits (of all its shingles), cold (how many of the prefix are not hot)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = shared.value
         for batch in batches:
-            n, k1, k2, parts, bits = [], [], [], [], []
+            n, k1, k2, parts, bits, cold = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 k1.append(int(mixed(s).sum(dtype=np.uint64)))
                 k2.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 rare = total[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-                parts.append(s[np.lexsort((s, rare))[:keep]].view(np.int64))
+                order = np.lexsort((s, rare))[:keep]
+                parts.append(s[order].view(np.int64))
+                cold.append(int(np.searchsorted(rare[order], hot, side="right")))
                 bits.append(bitmap(s))
             ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
             long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (n, k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary())], names=["doc_id", "n", "k1", "k2", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), pa.array(cold, pa.int32())], names=["doc_id", "n", "k1", "k2", "prefix", "bits", "cold"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary, cold int")
 
 
 def may_link(n: Column, at: Column, m: Column, bt: Column, percent: int) -> Column:
@@ -187,14 +197,47 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def unlike(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of buckets that hold unlike groups, with their group: h, id, n, at, root."""
-    rows = met.select("h", "id", "n", "at").join(groups.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """The rows of buckets that hold unlike groups, with their group: h, id, part, n, at, root."""
+    rows = met.select("h", "id", "part", "n", "at").join(groups.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = saved(rows, "labelled")
     several = saved(rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "unlike")
     return saved(rows.join(several, "h", "left_semi"), "open")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def buckets(index: DataFrame) -> DataFrame:
+    """Rows (h, id, part, n, at) of shingles that several rows hold, with the bucket's first row: cid, cn, cat."""
+    head = F.struct("id", "n", "at")
+    own = ["h", "id", "part", "n", "at"]
+    by = Window.partitionBy("h").orderBy("id", "at")
+    cold = index.where("NOT hot").select(*own, F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"), F.first(head).over(by).alias("c")).where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after")
+    hot = index.where("hot").select(*own)
+    heads = hot.groupBy("h").agg(F.min(head).alias("c"), F.count("*").alias("rows")).where("rows > 1").select("h", "c")
+    return cold.unionByName(hot.join(heads, "h")).select(*own, F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.at").alias("cat"))
+
+
+def drawn(rows: DataFrame, turn: int) -> DataFrame:
+    """The rows, each with one row of its bucket as ``c``, drawn by hash; aggregated first, so that hot buckets are split."""
+    one = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", "h", F.lit(turn)).alias("draw"), "id", "at", "n", "root")).alias("c"))
+    return rows.join(one, "h")
+
+
+def first_meetings(now: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of unlike groups that meet in a bucket and may link.
+
+    Documents that share a passage meet in a bucket for each of its shingles.
+    Where the shingles before, of those in open buckets, are equal too, the
+    pair has met there already and is not formed again. The first meeting is
+    never left out, and it is there that a pair that links passes the filter.
+    """
+    before = F.lag("h").over(Window.partitionBy("id", "part").orderBy("at"))
+    rows = now.select("h", "id", "n", "at", "root", before.alias("prior"))
+    other = rows.select("h", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "at", "root", "prior")])
+    new = F.coalesce(F.col("prior") != F.col("prior_2"), F.lit(True))
+    meet = rows.join(other, "h").where((F.col("root") < F.col("root_2")) & new & may_link(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent))
+    return meet.select(F.col("id").alias("u"), F.col("id_2").alias("v"))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
     Words are runs of all but ASCII white space, A-Z in lower case; two
@@ -203,50 +246,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     reach. A text of fewer words is one shingle; one without words, or null,
     links with nothing. Rows that repeat an id are one document. Rows with a
     null id keep a null component. An empty table gives no rows; other columns
-    are not read, so their names cannot clash.
+    are not read, so their names cannot clash. ``hot`` decides by which of two
+    ways a bucket's first member is found, never what is found.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    sets = saved(prefixes(docs, counts_of(docs, size), size, percent), "prefixes")
+    sets = saved(prefixes(docs, counts_of(docs, size), size, percent, hot), "prefixes")
 
     full = sets.where("doc_id IS NOT NULL AND n > 0")
-    classes = saved(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = full.join(classes.withColumn("doc_id", F.col("rep")), ["n", "k1", "k2", "doc_id"], "left_semi")
-
-    bucket = Window.partitionBy("h").orderBy("id", "at")
-    index = reps.select(F.col("doc_id").alias("id"), "n", F.posexplode("prefix").alias("at", "h"))
-    met = saved(
-        index.select("h", "id", "n", "at", F.lag("id").over(bucket).alias("before"), F.lead("id").over(bucket).alias("after"), F.first(F.struct("id", "n", "at")).over(bucket).alias("c"))
-        .where("before IS NOT NULL OR after IS NOT NULL")
-        .select("h", "id", "n", "at", F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.at").alias("cat")),
-        "buckets",
-    )
+    # Rows of one id with unlike texts are several classes of one document; ``part`` tells them apart.
+    part = F.row_number().over(Window.partitionBy("rep").orderBy("n", "k1", "k2"))
+    classes = saved(full.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep")).withColumn("part", part), "classes")
+    reps = full.join(classes.withColumn("doc_id", F.col("rep")), ["n", "k1", "k2", "doc_id"])
+    index = reps.select(F.col("doc_id").alias("id"), "part", "n", "cold", F.posexplode("prefix").alias("at", "h"))
+    met = saved(buckets(index.select("h", "id", "part", "n", "at", (F.col("at") >= F.col("cold")).alias("hot"))), "buckets")
 
-    # Rows of one id with unlike texts are one document.
     members = full.select("doc_id", "n", "k1", "k2").join(classes, ["n", "k1", "k2"]).select("doc_id", "rep")
     same = members.groupBy("doc_id").agg(F.min("rep").alias("v"), F.collect_set("rep").alias("all")).where(F.size("all") > 1)
     edges = same.select(F.explode("all").alias("u"), "v")
 
-    for turn in range(2):
-        if turn:
-            now = unlike(met, groups)
-            if now.isEmpty():
-                break
-            drawn = Window.partitionBy("h").orderBy(F.xxhash64("id", "h", F.lit(turn)), "id", "at")
-            star = now.withColumn("c", F.first(F.struct("id", "n", "at", "root")).over(drawn)).where("root <> c.root")
-        else:
-            star = met.withColumn("c", F.struct(F.col("cid").alias("id"), F.col("cn").alias("n"), F.col("cat").alias("at"))).where("id <> c.id")
-        pairs = star.where(may_link(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent)).select(F.col("id").alias("u"), F.col("c.id").alias("v")).distinct()
-        found = linked(pairs, docs, sets, size, percent)
-        groups = merged(groups, saved(found, "links")) if turn else components(saved(edges.unionByName(found), "links"))
-
-    # All pairs that meet and are in unlike groups.
+    formed: list[DataFrame] = []
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs that were not formed before."""
+        pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        for earlier in formed:
+            pairs = pairs.join(earlier, ["u", "v"], "left_anti")
+        formed.append(saved(pairs, "pairs"))
+        return saved(linked(formed[-1], docs, sets, size, percent), "links")
+
+    def linkable() -> Column:
+        return may_link(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent)
+
+    star = met.withColumn("c", F.struct(F.col("cid").alias("id"), F.col("cn").alias("n"), F.col("cat").alias("at"))).where("id <> c.id")
+    links = verified(star.where(linkable()).select(F.col("id").alias("u"), F.col("c.id").alias("v")))
+    groups = components(saved(edges.unionByName(links), "edges"))
+
     now = unlike(met, groups)
-    other = now.select("h", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "at", "root")])
-    meet = now.join(other, "h").where((F.col("root") < F.col("root_2")) & may_link(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent))
-    pairs = meet.select(F.col("id").alias("u"), F.col("id_2").alias("v")).distinct()
-    more = saved(linked(pairs, docs, sets, size, percent), "more-links")
-    if not more.isEmpty():
-        groups = merged(groups, more)
+    if not now.isEmpty():
+        star = drawn(now, 1).where("root <> c.root").where(linkable())
+        groups = merged(groups, verified(star.select(F.col("id").alias("u"), F.col("c.id").alias("v"))))
+        # All pairs that meet and are still in unlike groups.
+        links = verified(first_meetings(unlike(met, groups), percent))
+        if not links.isEmpty():
+            groups = merged(groups, links)
 
     roots = saved(classes.join(groups.select(F.col("u").alias("rep"), F.col("v").alias("root")), "rep", "left").select("n", "k1", "k2", F.coalesce("root", "rep").alias("root")), "roots")
     rows = sets.select("doc_id", "n", "k1", "k2")
