@@ -16,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrystone.llm.classify import bounded_sample, held_out
-from quarrystone.llm.words import ALNUM, Words, pieces
+from quarrystone.llm.words import ALNUM, Words, mixed, pieces
 from quarrystone.sources.tables import table
 
-#: Words of one chain; a longer text is several chains.
-CHAIN = 128
+#: Words of a stretch of a chain. A text is one chain, however long; stretches of all chains are walked
+#: together, and joined exactly by the products of their moves.
+STRETCH = 128
 #: Words of a block of chains that are held at once beside the features.
 BLOCK = 1 << 17
 SEEDS = [np.uint64(0xD6E8FEB86659FD93 * (i + 1) % 2**64) for i in range(9)]
@@ -50,10 +52,9 @@ def emissions(w: Words, bits: int) -> np.ndarray:
 
 
 def chains(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the chains of texts whose words begin at ``first``."""
-    starts = np.concatenate([np.arange(a, b, CHAIN) for a, b in zip(first[:-1], first[1:], strict=True) if b > a] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-    ends = first[np.searchsorted(first, starts, side="right")]
-    return starts, np.minimum(CHAIN, ends - starts)
+    """Starts and lengths of the chains of texts whose words begin at ``first``: one for each text with words."""
+    lengths = np.diff(first)
+    return first[:-1][lengths > 0], lengths[lengths > 0]
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -61,41 +62,74 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def marginals(score: np.ndarray, starts: np.ndarray, lengths: np.ndarray, moves: np.ndarray, begin: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word the log odds of the toxic state; of each chain the expected moves between states.
+    """Of each word the log odds of the toxic state; of all chains together the expected moves between states.
 
     ``score``: emissions' log odds; ``moves``: log weights of the 2 x 2 moves;
-    ``begin``: log odds of the first state. All chains go step by step together.
+    ``begin``: log odds of the first state. Odds take the place of sums of
+    logarithms: a step forward is r' = e (m01 + r m11) / (m00 + r m10), one
+    backward s' = (m10 + m11 e s) / (m00 + m01 e s), and a stretch is the
+    product of its steps' matrices.
     """
-    n = len(starts)
-    steps = int(lengths.max(initial=0))
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    width = np.searchsorted(-lengths, -np.arange(steps), side="left")  # chains longer than each step
-    m = moves
-    forward, backward = np.zeros((steps, n)), np.zeros((steps, n))  # log odds of the states
-    for t in range(steps):
+    out, expected = np.zeros(len(score)), np.zeros((2, 2))
+    if not len(starts):
+        return out, expected
+    e = np.exp(np.clip(score, -100, 100))
+    m, first = np.exp(moves - moves.max()), np.exp(np.clip(begin, -100, 100))
+    # Stretches, the longest first.
+    parts = -(-lengths // STRETCH)
+    chain = np.repeat(np.arange(len(starts)), parts)
+    number = np.arange(len(chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+    at, size = starts[chain] + STRETCH * number, np.minimum(STRETCH, lengths[chain] - STRETCH * number)
+    order = np.argsort(-size, kind="stable")
+    at, size, head = at[order], size[order], number[order] == 0
+    steps = int(size[0])
+    width = np.searchsorted(-size, -np.arange(steps), side="left")  # stretches longer than each step
+
+    # What enters each stretch, from before and from behind.
+    before, behind = np.zeros(len(at)), np.ones(len(at))
+    if parts.max() > 1:
+        p = np.empty((2, 2, len(at)))
+        p[:] = m[:, :, None]
+        p[:, 0, head], p[:, 1, head] = 1, first
+        p[:, 1] *= e[at]
+        for t in range(1, steps):
+            k = width[t]
+            q = np.stack([p[:, 0, :k] * m[0, 0] + p[:, 1, :k] * m[1, 0], (p[:, 0, :k] * m[0, 1] + p[:, 1, :k] * m[1, 1]) * e[at[:k] + t]], axis=1)
+            p[:, :, :k] = q / q.max(axis=(0, 1))
+        place = np.empty(len(at), dtype=np.int64)
+        place[order] = np.arange(len(at))
+        begins = np.cumsum(parts) - parts
+        long = np.argsort(-parts, kind="stable")
+        counts = parts[long]
+        for j in range(1, int(counts[0])):
+            own = begins[long[: np.searchsorted(-counts, -j, side="left")]] + j
+            a, x = place[own - 1], before[place[own - 1]]
+            before[place[own]] = (p[0, 1, a] + x * p[1, 1, a]) / (p[0, 0, a] + x * p[1, 0, a])
+        for j in range(int(counts[0]) - 1, 0, -1):
+            own = begins[long[: np.searchsorted(-counts, -j, side="left")]] + j
+            b, y = place[own], behind[place[own]]
+            behind[place[own - 1]] = (p[1, 0, b] + p[1, 1, b] * y) / (p[0, 0, b] + p[0, 1, b] * y)
+
+    forward, backward = np.zeros(len(score)), np.zeros(len(score))
+    r = np.where(head, first, (m[0, 1] + before * m[1, 1]) / (m[0, 0] + before * m[1, 0])) * e[at]
+    forward[at] = r
+    for t in range(1, steps):
         k = width[t]
-        own = score[starts[:k] + t]
-        if t:
-            odds = forward[t - 1, :k]
-            forward[t, :k] = own + np.logaddexp(m[0, 1], odds + m[1, 1]) - np.logaddexp(m[0, 0], odds + m[1, 0])
-        else:
-            forward[t, :k] = own + begin
+        r = e[at[:k] + t] * (m[0, 1] + r[:k] * m[1, 1]) / (m[0, 0] + r[:k] * m[1, 0])
+        forward[at[:k] + t] = r
+    s = behind.copy()
+    backward[at + size - 1] = s
     for t in range(steps - 2, -1, -1):
         k = width[t + 1]
-        odds = backward[t + 1, :k] + score[starts[:k] + t + 1]
-        backward[t, :k] = np.logaddexp(m[1, 0], odds + m[1, 1]) - np.logaddexp(m[0, 0], odds + m[0, 1])
-    out = np.zeros(len(score))
-    expected = np.zeros((2, 2))
-    for t in range(steps):
-        k = width[t]
-        out[starts[:k] + t] = forward[t, :k] + backward[t, :k]
-        if t:
-            a, b = forward[t - 1, :k], backward[t, :k] + score[starts[:k] + t]
-            joint = np.stack([np.full(k, m[0, 0]), b + m[0, 1], a + m[1, 0], a + b + m[1, 1]])
-            joint = np.exp(joint - joint.max(axis=0))
-            expected += (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
-    return out, expected
+        x = e[at[:k] + t + 1] * s[:k]
+        s[:k] = (m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x)
+        backward[at[:k] + t] = s[:k]
+    words = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    out[words] = np.log(forward[words]) + np.log(backward[words])
+    inner = np.delete(words, np.cumsum(lengths) - lengths)
+    a, b = forward[inner - 1], e[inner] * backward[inner]
+    joint = np.stack([np.full(len(inner), m[0, 0]), m[0, 1] * b, m[1, 0] * a, m[1, 1] * a * b])
+    return out, (joint / joint.sum(axis=0)).sum(axis=1).reshape(2, 2)
 
 
 class Model:
@@ -132,39 +166,49 @@ class Model:
         return out
 
 
-def token_labels(words: list[Words], labels: np.ndarray, odds: float = 12.0) -> list[np.ndarray]:
-    """Which words of each text are toxic, from labels of texts.
+def each(texts: pa.Array) -> Iterator[Words]:
+    """The words of one text after the other; none is kept, for their sums take eight times a text's room."""
+    # A run of ``pieces`` may hold several texts where some are empty.
+    for _, _, raw, at in pieces(texts, 1):
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            yield Words(raw[a:b], np.array([0, b - a]), ALNUM)
+
 
-    Those with a key that at least three (or 0.4 %) of the toxic texts have,
-    and that is ``odds`` times as frequent among their words as among others.
+def lexicon(texts: pa.Array, labels: np.ndarray, odds: float = 12.0) -> np.ndarray:
+    """Keys of toxic words, from labels of texts, sorted.
+
+    Those that at least three (or 0.4 %) of the toxic texts have, and that are
+    ``odds`` times as frequent among their words as among others'.
     """
-    none = [np.zeros(0, dtype=np.uint64)]
-    sides = [[np.concatenate(token_keys(w)) for w, y in zip(words, labels, strict=True) if y == side] for side in (0, 1)]
-    keys, n = np.unique(np.concatenate(sides[1] or none), return_counts=True)
-    texts = np.unique(np.concatenate([np.unique(k) for k in sides[1]] or none), return_counts=True)[1]
-    others, m = np.unique(np.concatenate(sides[0] or none), return_counts=True)
-    clean = np.zeros(len(keys))
-    if len(others):
-        at = np.minimum(np.searchsorted(others, keys), len(others) - 1)
-        clean = np.where(others[at] == keys, m[at], 0)
-    rate = (n / max(1, n.sum())) / ((clean + 0.5) / max(1, m.sum()))
-    bad = keys[(texts >= max(3, 0.004 * len(sides[1]))) & (rate >= odds)]
-    return [np.any([np.isin(k, bad) for k in token_keys(w)], axis=0) & bool(y) for w, y in zip(words, labels, strict=True)]
-
-
-def fit(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate: float = 0.5) -> Model:
-    """Gradient ascent (AdaGrad) on the field's likelihood, then the calibration, on all texts.
-
-    Of toxic texts the field learns chains that hold a toxic word, of clean texts all.
+    toxic = [np.unique(np.concatenate(token_keys(w)), return_counts=True) for w, y in zip(each(texts), labels, strict=True) if y]
+    if not toxic:
+        return np.zeros(0, dtype=np.uint64)
+    keys, which = np.unique(np.concatenate([k for k, _ in toxic]), return_inverse=True)
+    n = np.bincount(which, np.concatenate([c for _, c in toxic]), minlength=len(keys))
+    texts_of = np.bincount(which, minlength=len(keys))
+    clean, total = np.zeros(len(keys)), 0
+    for w, y in zip(each(texts), labels, strict=True):
+        if not y and len(w) and len(keys):
+            own = np.concatenate(token_keys(w))
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            total += len(own)
+            np.add.at(clean, at[keys[at] == own], 1)
+    rate = (n / max(1, n.sum())) / ((clean + 0.5) / max(1, total))
+    return keys[(texts_of >= max(3, 0.004 * len(toxic))) & (rate >= odds)]
+
+
+def field(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate: float = 0.5) -> Model:
+    """Gradient ascent (AdaGrad) on the field's likelihood; the calibration is left as it is.
+
+    Texts are whole chains. The field learns from all clean texts and from toxic
+    ones in which words are known to be toxic.
     """
     model = Model(bits)
-    # A run of ``pieces`` may hold several texts where some are empty.
-    words = [Words(raw[a:b], np.array([0, b - a]), ALNUM) for _, _, raw, at in pieces(texts, 1) for a, b in zip(at[:-1], at[1:], strict=True)]
-    if not len(words) or len(set(labels.tolist())) < 2:
-        model.bias, model.scale = -10.0, np.array([-2.0, 0.0, 0.0, 0.0, 0.0])
+    model.bias = -10.0
+    if len(set(labels.tolist())) < 2:
         return model
-    tags = token_labels(words, labels)
-    # Chains that hold a toxic word, and all chains of clean texts, in blocks of about BLOCK words.
+    bad = lexicon(texts, labels)
+    # Features of whole texts, in blocks of about BLOCK words.
     found, marks, toxic, blocks = [], [], [], []
 
     def close() -> None:
@@ -172,21 +216,17 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate:
             blocks.append((np.concatenate(found, axis=1), np.array(marks), np.concatenate(toxic)))
             found.clear(), marks.clear(), toxic.clear()
 
-    for w, t, y in zip(words, tags, labels, strict=True):
-        starts, lengths = chains(w.first)
-        if not len(starts) or (y and not t.any()):
+    for w, y in zip(each(texts), labels, strict=True):
+        t = np.any([np.isin(k, bad) for k in token_keys(w)], axis=0) if y else np.zeros(len(w), dtype=bool)
+        if not len(w) or (y and not t.any()):
             continue
-        f = emissions(w, bits).astype(np.int32)
-        for s, n in zip(starts.tolist(), lengths.tolist(), strict=True):
-            if not y or t[s : s + n].any():
-                found.append(f[:, s : s + n])
-                marks.append(n)
-                toxic.append(t[s : s + n])
-                if len(marks) * CHAIN >= BLOCK:
-                    close()
+        found.append(emissions(w, bits).astype(np.int32))
+        marks.append(len(w))
+        toxic.append(t)
+        if sum(marks) >= BLOCK:
+            close()
     close()
     if not blocks:
-        model.bias = -10.0
         return model
     true_moves = np.zeros((2, 2))
     for _, lengths, y in blocks:
@@ -212,9 +252,21 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate:
         other += rate * slope / np.sqrt(other_square)
     model.w = weight
     model.bias, model.begin, model.moves = other[0], other[1], other[2:].reshape(2, 2)
+    return model
+
+
+def summaries(model: Model, texts: pa.Array) -> np.ndarray:
+    """What the calibration sees of each text."""
+    runs = (Words(raw, at, ALNUM) for _, _, raw, at in pieces(texts))
+    return np.concatenate([np.zeros((0, 5)), *(model.summary(model.tag(w), w.first) for w in runs)])
 
-    x = np.concatenate([model.summary(model.tag(w), w.first) for w in words])
-    for _ in range(400):  # Newton steps of a logistic regression
+
+def calibrated(model: Model, x: np.ndarray, labels: np.ndarray) -> Model:
+    """Set the calibration: Newton steps of a logistic regression on summaries of texts that their fields had not seen."""
+    if len(set(labels.tolist())) < 2:
+        model.scale = np.array([-2.0, 0.0, 0.0, 0.0, 0.0])
+        return model
+    for _ in range(400):
         p = sigmoid(x @ model.scale)
         bend = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(5)
         step = np.linalg.solve(bend, x.T @ (labels - p) - 0.1 * model.scale)
@@ -224,33 +276,61 @@ def fit(texts: pa.Array, labels: np.ndarray, bits: int, rounds: int = 25, rate:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, bits: int = 18, most: int = 8_000) -> Model:
-    """Learn from at most ``most`` labelled documents, in one task; the model comes back.
+def half(n: int, part: int) -> np.ndarray:
+    """Which of ``n`` texts are in this half: dealt by a hash of their place."""
+    return (mixed(np.arange(n, dtype=np.uint64)) & np.uint64(1)).astype(int) == part
 
-    ``docs``: doc_id, text. ``labels``: doc_id, label (0 or 1). Without both
-    labels no text scores over a half.
+
+def unseen(texts: pa.Array, labels: np.ndarray, part: int, bits: int) -> np.ndarray:
+    """Summaries of the texts of one half, by a field learnt from the other."""
+    own = half(len(texts), part)
+    return summaries(field(texts.filter(pa.array(~own)), labels[~own], bits), texts.filter(pa.array(own)))
+
+
+def fit(texts: pa.Array, labels: np.ndarray, bits: int) -> Model:
+    """The field of all texts, calibrated by two fields of half of them, each on the other half."""
+    x = np.concatenate([unseen(texts, labels, part, bits) for part in (0, 1)])
+    return calibrated(field(texts, labels, bits), x, np.concatenate([labels[half(len(texts), part)] for part in (0, 1)]))
+
+
+def train(docs: DataFrame, labels: DataFrame, bits: int = 18, most: int = 6_000) -> Model:
+    """Learn from at most ``most`` labelled documents; the model comes back.
+
+    Three tasks learn: two fields of half of the texts, which only score the
+    other half for the calibration, and the field of all. ``docs``: doc_id,
+    text. ``labels``: doc_id, label (0 or 1). Without both labels no text
+    scores over a half.
     """
     sample = bounded_sample(labels, most)
     rows = docs.where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id", "text").alias("place"), "text", F.col("label").cast("int").alias("label"))
+    schema = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("text", pa.string()), ("label", pa.int32())])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("place", pa.int64()), ("text", pa.string()), ("label", pa.int32())])
-        seen = pa.Table.from_batches([b.cast(schema) for b in batches], schema).sort_by("place")
-        texts = seen.column("text").combine_chunks()
-        model = fit(texts, seen.column("label").to_numpy().astype(int), bits)
-        used = np.flatnonzero(model.w)
-        rest = json.dumps([model.moves.tolist(), model.begin, model.bias, model.scale.tolist()])
-        yield pa.RecordBatch.from_arrays([pa.array([used.astype(np.int32).tobytes()]), pa.array([model.w[used].tobytes()]), pa.array([rest])], names=["at", "w", "rest"])
-
-    # One row, of at most 2^bits weights.
-    row = rows.repartition(1).mapInArrow(learn, "at binary, w binary, rest string").first()
-    model = Model(bits)
-    if row is None:  # nothing to learn from
+        every = pa.Table.from_batches([b.cast(schema) for b in batches], schema)
+        for part in sorted(set(every.column("part").to_pylist())):
+            seen = every.filter(pa.compute.equal(every.column("part"), part)).sort_by("place")
+            texts, y = seen.column("text").combine_chunks(), seen.column("label").to_numpy().astype(int)
+            out: list = [part, b"", b"", "", b"", b""]
+            if part == 2:
+                model = field(texts, y, bits)
+                used = np.flatnonzero(model.w)
+                out[1:4] = used.astype(np.int32).tobytes(), model.w[used].tobytes(), json.dumps([model.moves.tolist(), model.begin, model.bias])
+            else:
+                out[4:6] = unseen(texts, y, part, bits).tobytes(), y[half(len(y), part)].tobytes()
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(out, kinds, strict=True)], names=["part", "at", "w", "rest", "x", "y"])
+
+    # Three rows, of at most 2^bits weights, or five numbers for each text of the sample.
+    dealt = rows.select(F.explode(F.array(*map(F.lit, range(3)))).alias("part"), "place", "text", "label").repartition(8, "part")
+    found = {r["part"]: r for r in dealt.mapInArrow(learn, "part int, at binary, w binary, rest string, x binary, y binary").collect()}
+    if not found:  # nothing to learn from
         return fit(pa.array([], pa.string()), np.zeros(0, dtype=int), bits)
-    model.w[np.frombuffer(row["at"], dtype=np.int32)] = np.frombuffer(row["w"])
-    moves, model.begin, model.bias, scale = json.loads(row["rest"])
-    model.moves, model.scale = np.array(moves), np.array(scale)
-    return model
+    model = Model(bits)
+    model.w[np.frombuffer(found[2]["at"], dtype=np.int32)] = np.frombuffer(found[2]["w"])
+    moves, model.begin, model.bias = json.loads(found[2]["rest"])
+    model.moves = np.array(moves)
+    x, y = (np.concatenate([np.frombuffer(found[p][c], dtype=kind) for p in (0, 1)]) for c, kind in (("x", float), ("y", int)))
+    return calibrated(model, x.reshape(-1, 5), y)
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
