@@ -9,18 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's folder in the one that driver and executors share, ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a local folder
-    set, for the session's whole life.
+    Where the session names none, a local master gets a local folder, for the
+    session's life; on a cluster that would not be shared, so it is an error.
     """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if found := spark.conf.get("quarrystone.shared.dir", None):
-        return found
-    spark.conf.set("quarrystone.shared.dir", made := "file://" + tempfile.mkdtemp(prefix="quarrystone-"))
-    return made
+    context = spark.sparkContext
+    conf = context.getConf().get("spark.checkpoint.dir", None)
+    if not conf:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        conf = spark.conf.get("quarrystone.shared.dir", None)
+    if not conf:
+        spark.conf.set("quarrystone.shared.dir", conf := "file://" + tempfile.mkdtemp(prefix="quarrystone-"))
+    return f"{conf.rstrip('/')}/quarrystone-{context.applicationId}"
+
+
+def remove_saved(spark: SparkSession) -> None:
+    """Delete what this application wrote in the shared folder; results that were not yet taken are lost with it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
