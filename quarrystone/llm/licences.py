@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarrystone.llm.words import ALNUM, Words, grams, pieces
 from quarrystone.sources.tables import table
 
-#: Notices by which works name their licence, by family.
+#: Notices by which works name their licence, and sentences of the licences' own texts, by family.
 TEMPLATES: dict[str, list[str]] = {
     "agpl": [
         "This program is licensed under the GNU Affero General Public License, version 3.",
@@ -33,12 +33,19 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "bsd": [
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "cc-by": [
@@ -57,6 +64,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
     "lgpl": [
@@ -68,10 +77,15 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "Licensed under the MIT license. See the LICENSE file for details.",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
         "Released under the Mozilla Public License, version 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
@@ -79,6 +93,8 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is dedicated to the public domain under CC0 1.0 Universal.",
         "This work has been released into the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "reserved": [
         "All rights reserved.",
@@ -181,7 +197,8 @@ def variants(text: str, filler: list[str], rng: np.random.Generator) -> Iterator
             w[int(rng.integers(len(w)))] = str(rng.choice(filler))
         if len(w) > 9 and rng.random() < 0.3:
             w = w[: len(w) - int(rng.integers(1, 3))]
-        before, after = (list(rng.choice(filler, int(rng.integers(0, 9)))) for _ in range(2))
+        most = 50 if rng.random() < 0.3 else 9  # as in a long paragraph's window
+        before, after = (list(rng.choice(filler, int(rng.integers(0, most)))) for _ in range(2))
         yield " ".join([*before, *w, *after])
 
 
@@ -191,21 +208,23 @@ class Licences:
     def __init__(self, sample: list[str], rounds: int = 60, seed: int = 1):
         rng = np.random.default_rng(seed)
         filler = [w for t in sample for w in t.split()[:40]][:4000] or ["the", "of", "work"]
-        texts, classes = [], []
+        texts, classes, apart = [], [], []
         for c, family in enumerate(FAMILIES):
-            for t in TEMPLATES[family]:
+            for i, t in enumerate(TEMPLATES[family]):
                 made = list(variants(t, filler, rng))
                 texts += made
                 classes += [c] * len(made)
+                apart += [i % 3 == 2] * len(made)  # whole templates
         plain = [t for text in OTHER for t in variants(text, filler, rng)]
         plain += [t for t in sample if t.strip() and not self.resembles(t)]
         texts += plain
         classes += [len(FAMILIES)] * len(plain)
+        apart += [i % 3 == 2 for i in range(len(plain))]
         rows = [words_of(t) for t in texts]
         h = np.concatenate([w.hashes() for w in rows])
         ends = np.cumsum([len(w) for w in rows])
         starts = ends - np.array([len(w) for w in rows])
-        y, held = np.eye(len(FAMILIES) + 1)[classes], np.arange(len(texts)) % 4 == 3
+        y, held = np.eye(len(FAMILIES) + 1)[classes], np.array(apart)
         weight = 1 / np.bincount(classes, minlength=len(FAMILIES) + 1)[classes]
         weight *= len(texts) / weight.sum()
         # Features in use, by unit, for descent on the weights (AdaGrad).
@@ -223,21 +242,27 @@ class Licences:
         by_unit = np.concatenate([[0], np.flatnonzero(np.diff(unit[np.argsort(unit, kind="stable")])) + 1])
         unit_order = np.argsort(unit, kind="stable")
         has = np.unique(unit)
-        w, square = np.zeros((len(used), y.shape[1])), np.full((len(used), y.shape[1]), 1e-8)
-        learn = (~held * weight)[:, None]
-        for _ in range(rounds):
+
+        def scored(w: np.ndarray) -> np.ndarray:
             scores = np.zeros_like(y)
             scores[has] = np.add.reduceat(w[number[unit_order]] * value[unit_order, None], by_unit, axis=0)
-            miss = (softmax(scores) - y) * learn
-            slope = np.add.reduceat((miss[unit] * value[:, None])[order], first, axis=0) + 1e-3 * w
-            square += slope**2
-            w -= 0.3 * slope / np.sqrt(square)
-        self.weights = np.zeros((LAST + 1, y.shape[1]), dtype=np.float32)
-        self.weights[used] = w
-        scores = np.zeros_like(y)
-        scores[has] = np.add.reduceat(w[number[unit_order]] * value[unit_order, None], by_unit, axis=0)
-        loss = lambda t: -(np.log(np.maximum(1e-12, softmax(scores[held] * t))) * y[held]).sum(axis=1) @ weight[held]
+            return scores
+
+        def learnt(rows: np.ndarray) -> np.ndarray:
+            w, square = np.zeros((len(used), y.shape[1])), np.full((len(used), y.shape[1]), 1e-8)
+            for _ in range(rounds):
+                miss = (softmax(scored(w)) - y) * (rows * weight)[:, None]
+                slope = np.add.reduceat((miss[unit] * value[:, None])[order], first, axis=0) + 1e-3 * w
+                square += slope**2
+                w -= 0.3 * slope / np.sqrt(square)
+            return w
+
+        # The temperature is set on templates that its weights have not seen; the weights in use are of all.
+        scores = scored(learnt(~held))[held]
+        loss = lambda t: -(np.log(np.maximum(1e-12, softmax(scores * t))) * y[held]).sum(axis=1) @ weight[held]
         self.heat = min((float(t) for t in np.geomspace(0.2, 5, 40)), key=loss)
+        self.weights = np.zeros((LAST + 1, y.shape[1]), dtype=np.float32)
+        self.weights[used] = learnt(np.ones(len(y), dtype=bool))
 
     @staticmethod
     def resembles(text: str) -> bool:
@@ -259,12 +284,15 @@ def agreement(h: np.ndarray, family: str) -> float:
 SPANS = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64()), ("agreement", pa.float64())]))
 
 
-def scan(docs: DataFrame, model: Licences, threshold: float = 0.5, confirmed: float = 0.6, text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, model: Licences, threshold: float = 0.15, confirmed: float = 0.6, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, n_paragraphs and the licences found.
 
-    n_paragraphs: lines with words, or windows of long ones. licences: family,
+    n_paragraphs: lines with words. licences: family,
     start and end (bytes of the UTF-8 text), probability, and agreement with
-    the family's nearest template, by place. A block of lines counts where it
+    the family's nearest template, by place. Probabilities are calibrated on
+    templates not learnt from, and so low for known ones: where a
+    family reaches ``threshold``, of those of a hundredth or more the one
+    whose template agrees most counts, if it confirms. A block of lines counts where it
     has a notice beside those that single lines hold. Null and empty
     texts have none. Own columns of these names give way. An empty table gives
     no rows. Each text is scanned whole and alone.
@@ -281,26 +309,29 @@ def scan(docs: DataFrame, model: Licences, threshold: float = 0.5, confirmed: fl
                 w = Words(raw, at, ALNUM)
                 h = w.hashes()
                 starts, ends = units(w, raw)
-                doc = np.searchsorted(w.first, starts, side="right") - 1
-                n[lo : lo + len(at) - 1] += np.bincount(doc, minlength=len(at) - 1)
+                if len(w):
+                    doc, line = w.doc(), lines(w, raw)
+                    new = np.concatenate([[True], (np.diff(doc) > 0) | (np.diff(line) > 0)])
+                    n[lo : lo + len(at) - 1] += np.bincount(doc[new], minlength=len(at) - 1)
                 covered = {}  # by family, the words of notices within one line
                 hits: list[tuple[int, dict]] = []
                 for block, (starts, ends) in enumerate(((starts, ends), blocks(w, raw))):
                     if not len(starts):
                         continue
                     chance = softmax(unit_scores(h, starts, ends, weights) * heat)
-                    best = chance.argmax(axis=1)
-                    for i in np.flatnonzero((best < len(FAMILIES)) & (chance.max(axis=1) >= threshold)).tolist():
-                        a, b, family = int(starts[i]), int(ends[i]), FAMILIES[best[i]]
-                        if (same := agreement(h[a:b], family)) < confirmed:
+                    for i in np.flatnonzero(chance[:, :-1].max(axis=1) >= threshold).tolist():
+                        a, b = int(starts[i]), int(ends[i])
+                        same, _, best = max((agreement(h[a:b], FAMILIES[c]), chance[i, c], c) for c in np.flatnonzero(chance[i, :-1] >= 0.01).tolist())
+                        if same < confirmed:
                             continue
+                        family = FAMILIES[best]
                         own = covered.setdefault(family, np.zeros(len(h), dtype=bool))
                         if not block:
                             own[a:b] = True
                         elif own[a:b].any() and (same := agreement(h[a:b][~own[a:b]], family)) < confirmed:
                             continue
                         doc = int(np.searchsorted(w.first, a, side="right")) - 1
-                        hits.append((lo + doc, {"family": family, "start": int(w.starts[a] - at[doc]), "end": int(w.ends[b - 1] - at[doc]), "probability": float(chance[i, best[i]]), "agreement": float(same)}))
+                        hits.append((lo + doc, {"family": family, "start": int(w.starts[a] - at[doc]), "end": int(w.ends[b - 1] - at[doc]), "probability": float(chance[i, best]), "agreement": float(same)}))
                 for doc, hit in sorted(hits, key=lambda x: (x[0], x[1]["start"], x[1]["end"])):
                     found[doc].append(hit)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(found, SPANS)], names=[*batch.schema.names, "n_paragraphs", "licences"])
@@ -310,10 +341,18 @@ def scan(docs: DataFrame, model: Licences, threshold: float = 0.5, confirmed: fl
 
 
 def paragraph_sample(docs: DataFrame, documents: int = 400, each: int = 3, longest: int = 2_000) -> list[str]:
-    """Some paragraphs of the documents that come first by hash: a bounded sample of the unknown class."""
+    """Some paragraphs of the documents that come first by hash: a bounded sample of the unknown class.
+
+    A cutoff of the hash, from the number of rows, lets about twice as many
+    different texts through; equal texts count once. So the driver gets no more
+    from a larger table.
+    """
     lines = F.filter(F.split("text", "\n"), lambda x: F.char_length(x).between(1, longest))
-    some = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("place"), F.slice(lines, 1, each).alias("lines")).orderBy("place", "lines").limit(documents)
-    return [line for r in some.collect() for line in r["lines"]]
+    cutoff = int(min(1.0, 2 * documents / max(1, docs.count())) * 2**63)
+    place = F.col("place")
+    some = docs.where("text IS NOT NULL").select(F.xxhash64("text").bitwiseAND(2**63 - 1).alias("place"), "text").where(place <= min(cutoff, 2**63 - 1))
+    first = some.groupBy("place").agg(F.min(F.slice(lines, 1, each)).alias("lines")).orderBy("place").limit(documents)
+    return [line for r in first.collect() for line in r["lines"]]
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,3 +85,35 @@ def test_wrapped_and_single_notices_in_one_block(spark, model):
     found = {r.doc_id: r.licences for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert [[x.family for x in found[i]] for i in (1, 2, 3)] == [["bsd"], ["bsd", "bsd"], ["bsd"]]
     assert (found[1][0].start, found[1][0].end) == (0, len(bsd) - 1)
+
+
+def test_held_out_recall_and_precision(spark, sf_dir):
+    """Notices changed and wrapped by another rule than the training's, set into the tables' own clean texts."""
+    docs = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").orderBy("doc_id").collect() if r.text and "icens" not in r.text and "rights reserved" not in r.text][:150]
+    model = Licences(docs[:50])
+    rng = np.random.default_rng(99)
+    rows, want = [], {}
+    notices = [(f, t) for f in FAMILIES for t in TEMPLATES[f] if len(t.split()) > 3]
+    for i in range(300):
+        text = docs[50 + i % 100].split("\n")
+        if i % 2:
+            family, notice = notices[int(rng.integers(len(notices)))]
+            own = notice.split()
+            if len(own) > 8:
+                own[int(rng.integers(len(own)))] = "item"
+            text.insert(int(rng.integers(len(text) + 1)), "\n" + textwrap.fill(" ".join(own), int(rng.integers(45, 90))) + "\n")
+            want[i] = family
+        rows.append((i, "\n".join(text)))
+    found = {r.doc_id: {x.family for x in r.licences} for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hits = sum(want.get(i) in f for i, f in found.items() if i in want)
+    assert hits / len(want) >= 0.9
+    assert hits / max(1, sum(len(f) for f in found.values())) >= 0.9
+
+
+def test_sample_is_bounded_and_whole_tables_give_it(spark):
+    from quarrystone.llm.licences import paragraph_sample
+
+    docs = spark.range(5000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'the same line', concat('line ', id)) AS text")
+    got = paragraph_sample(docs, documents=40)
+    assert len(got) == 40 == len(set(got)) and paragraph_sample(docs.limit(0)) == []
+    assert set(paragraph_sample(docs.where("doc_id < 7"), documents=40)) == {"the same line", "line 1", "line 2", "line 4", "line 5"}
