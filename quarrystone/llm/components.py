@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarrystone.llm.shared import saved
@@ -12,8 +12,11 @@ from quarrystone.llm.shared import saved
 EDGES = 100_000
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame, label: str) -> tuple[DataFrame, dict]:
+    """The edges, saved, and their number and a sum over them, observed as they are written."""
+    seen = Observation()
+    rows = saved(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), label)
+    return rows, seen.get
 
 
 def _least(pairs: DataFrame, files: int) -> DataFrame:
@@ -32,15 +35,15 @@ def components(edges: DataFrame) -> DataFrame:
     as few files as their edges need, not one for each shuffle partition.
     """
     cores = edges.sparkSession.sparkContext.defaultParallelism
-    now = saved(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(now)
-    while True:
-        files = max(cores, state[0] // EDGES)
+    now, state = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while state["n"]:
+        files = max(cores, state["n"] // EDGES)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both, files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = saved(large.coalesce(files), "large-stars")
         small = _least(large, files)
-        now = saved(
+        before = state
+        now, state = _written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
             .where("u <> v")
@@ -48,6 +51,6 @@ def components(edges: DataFrame) -> DataFrame:
             .coalesce(files),
             "small-stars",
         )
-        before, state = state, _state(now)
         if state == before:
-            return now
+            break
+    return now

@@ -136,22 +136,22 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def suffix_filtered(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of ids whose bits do not rule the similarity out."""
+    """The pairs (u, v) of ids, and ``may``: whether their bits leave the similarity possible."""
     side = sets.where("doc_id IS NOT NULL AND n > 0")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, a, m, b = (batch.column(i).to_pylist() for i in range(2, 6))
-            yield batch.filter(pa.array([may_reach(a[i], n[i], b[i], m[i], percent) for i in range(len(n))], pa.bool_())).select([0, 1])
+            may = pa.array([may_reach(a[i], n[i], b[i], m[i], percent) for i in range(len(n))], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), may], names=["u", "v", "may"])
 
     left = pairs.join(side.select(F.col("doc_id").alias("u"), "n", F.col("bits").alias("a")), "u")
     both = left.join(side.select(F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("bits").alias("b")), "v")
-    return both.select("u", "v", "n", "a", "m", "b").mapInArrow(keep, "u long, v long").distinct()
+    return both.select("u", "v", "n", "a", "m", "b").mapInArrow(rate, "u long, v long, may boolean").groupBy("u", "v").agg(F.max("may").alias("may"))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of ids whose documents have the similarity."""
-    pairs = saved(suffix_filtered(pairs, sets, percent), "close-pairs")
+def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of ids whose documents have the similarity. ``pairs`` is read twice: a saved table."""
     marks = (
         pairs.select(F.explode(F.array("u", "v")).alias("id"))
         .select(F.pmod(F.xxhash64("id"), F.lit(BITS)).alias("bit"))
@@ -200,7 +200,7 @@ def unlike(met: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of buckets that hold unlike groups, with their group: h, id, part, n, at, root."""
     rows = met.select("h", "id", "part", "n", "at").join(groups.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = saved(rows, "labelled")
-    several = saved(rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "unlike")
+    several = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
     return saved(rows.join(several, "h", "left_semi"), "open")
 
 
@@ -271,22 +271,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
         pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         for earlier in formed:
             pairs = pairs.join(earlier, ["u", "v"], "left_anti")
-        formed.append(saved(pairs, "pairs"))
-        return saved(linked(formed[-1], docs, sets, size, percent), "links")
+        formed.append(saved(suffix_filtered(pairs, sets, percent), "pairs"))
+        return linked(formed[-1].where("may").select("u", "v"), docs, size, percent)
 
     def linkable() -> Column:
         return may_link(F.col("n"), F.col("at"), F.col("c.n"), F.col("c.at"), percent)
 
     star = met.withColumn("c", F.struct(F.col("cid").alias("id"), F.col("cn").alias("n"), F.col("cat").alias("at"))).where("id <> c.id")
-    links = verified(star.where(linkable()).select(F.col("id").alias("u"), F.col("c.id").alias("v")))
-    groups = components(saved(edges.unionByName(links), "edges"))
+    groups = components(edges.unionByName(verified(star.where(linkable()).select(F.col("id").alias("u"), F.col("c.id").alias("v")))))
 
     now = unlike(met, groups)
     if not now.isEmpty():
         star = drawn(now, 1).where("root <> c.root").where(linkable())
-        groups = merged(groups, verified(star.select(F.col("id").alias("u"), F.col("c.id").alias("v"))))
+        links = saved(verified(star.select(F.col("id").alias("u"), F.col("c.id").alias("v"))), "links")
+        if not links.isEmpty():
+            groups = merged(groups, links)
+            now = unlike(met, groups)
         # All pairs that meet and are still in unlike groups.
-        links = verified(first_meetings(unlike(met, groups), percent))
+        links = saved(verified(first_meetings(now, percent)), "links")
         if not links.isEmpty():
             groups = merged(groups, links)
 
