@@ -60,16 +60,19 @@ def running_lines_removed(spark, d):
 
 
 @query("""
-WITH t AS (SELECT p_partkey, lower(p_type) AS w, string_split(lower(p_type), ' ') AS a FROM part),
-tags AS (SELECT DISTINCT lower(trim(tag)) AS tag FROM (SELECT p_type AS tag FROM part WHERE p_size < 5 UNION ALL SELECT string_split(p_type, ' ')[1] FROM part)),
-h AS (SELECT p_partkey, tag FROM t JOIN tags ON contains(' ' || w || ' ', ' ' || tag || ' '))
+WITH t AS (SELECT p_partkey, lower(p_name) || '讲义' || lower(p_type) AS w FROM part),
+tags AS (SELECT DISTINCT lower(trim(tag)) AS tag FROM (SELECT p_type AS tag FROM part WHERE p_size < 5 UNION ALL SELECT string_split(p_type, ' ')[1] FROM part
+  UNION ALL SELECT p_name || '讲义' || p_type FROM part WHERE p_size = 7 UNION ALL SELECT unnest(['讲义', '义', 'ing', 'l ring讲', '']))),
+h AS (SELECT p_partkey, tag FROM t JOIN tags ON tag <> '' AND contains(w, tag))
 SELECT p_partkey AS title_id, list(tag ORDER BY length(tag) DESC, tag) AS tags FROM h
-WHERE NOT EXISTS (SELECT 1 FROM h AS o WHERE o.p_partkey = h.p_partkey AND o.tag <> h.tag AND contains(' ' || o.tag || ' ', ' ' || h.tag || ' ')) GROUP BY 1""")
+WHERE NOT EXISTS (SELECT 1 FROM h AS o WHERE o.p_partkey = h.p_partkey AND o.tag <> h.tag AND contains(o.tag, h.tag)) GROUP BY 1""")
 def contains_longest_first(spark, d):
     """C15 F10 J07."""
     part = table(spark, d, "part")
-    tags = part.where("p_size < 5").select(F.col("p_type").alias("tag")).unionByName(part.select(F.split("p_type", " ")[0].alias("tag")))
-    return D.contained_tags(part.select(F.col("p_partkey").alias("title_id"), F.col("p_type").alias("title")), tags)
+    title = F.concat("p_name", F.lit("讲义"), "p_type")
+    tags = part.where("p_size < 5").select(F.col("p_type").alias("tag")).unionByName(part.select(F.split("p_type", " ")[0].alias("tag"))).unionByName(part.where("p_size = 7").select(title.alias("tag")))
+    some = part.limit(1).select(F.explode(F.array(*map(F.lit, ("讲义", "义", "ing", "l ring讲", "")))).alias("tag"))
+    return D.contained_tags(part.select(F.col("p_partkey").alias("title_id"), title.alias("title")), tags.unionByName(some))
 
 
 @query()

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from quarrystone.plans.document_queries import ORACLES, QUERIES
+from quarrystone.plans.bank_queries import ORACLES, QUERIES
 from quarrystone.sources.tables import TABLES
 
 
