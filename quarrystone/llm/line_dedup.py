@@ -56,14 +56,14 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .select("__id", "__of", "__at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2")),
         "lines",
     )
-    common = (
+    # Written: adaptive execution splits hot keys only in a join of two tables that are both shuffled for it.
+    common = saved(
         lines.groupBy("h1", "h2")
         .agg(F.countDistinct("__id").alias("n"), F.max("__id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("h1", "h2", "keeper")
+        .select("h1", "h2", "keeper"),
+        "common-lines",
     )
-    # A line that most documents share has as many rows: the next grouping is by document,
-    # so adaptive execution is free to split its part of the join over tasks, by its size.
     drops = (
         lines.join(common, ["h1", "h2"])
         .where(F.col("__id") != F.col("keeper"))
