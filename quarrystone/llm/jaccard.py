@@ -38,6 +38,8 @@ from quarrystone.sources.tables import table
 COUNTERS = 1 << 18
 #: Shingles whose counter is over this are hot: their buckets have no bound.
 HOT = 4096
+#: Words of 64 bits of a set's parities.
+PARITIES = 8
 #: Bits of the filter that spares most texts outside all pairs a shuffle.
 BITS = 1 << 23
 
@@ -75,13 +77,13 @@ def counts_of(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot: int = HOT) -> DataFrame:
-    """doc_id, n (of its set), k1 and k2 (its class), prefix (rare first), bits (of all its shingles), cold (how many of the prefix are not hot)."""
+    """doc_id, n (of its set), k1 and k2 (its class), prefix (rare first), bits and parities (of all its shingles), cold (how many of the prefix are not hot)."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = shared.value
         for batch in batches:
-            n, k1, k2, parts, bits, cold = [], [], [], [], [], []
+            n, k1, k2, parts, bits, cold, odd = [], [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), size):
                 n.append(len(s))
                 k1.append(int(mixed(s).sum(dtype=np.uint64)))
@@ -92,12 +94,13 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot:
                 parts.append(s[order].view(np.int64))
                 cold.append(int(np.searchsorted(rare[order], hot, side="right")))
                 bits.append(bitmap(s))
+                odd.append(parities(s))
             ends = np.cumsum([0] + [len(p) for p in parts]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
             long = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (n, k1, k2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), pa.array(cold, pa.int32())], names=["doc_id", "n", "k1", "k2", "prefix", "bits", "cold"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *long, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(bits, pa.binary()), pa.array(cold, pa.int32()), pa.array(odd, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "prefix", "bits", "cold", "parities"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary, cold int")
+    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, n long, k1 long, k2 long, prefix array<long>, bits binary, cold int, parities array<long>")
 
 
 def may_link(n: Column, at: Column, m: Column, bt: Column, percent: int) -> Column:
@@ -118,6 +121,22 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(marks).tobytes()
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's shingles falls to each of 64 * PARITIES bits."""
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
+def near_enough(a: Column, n: Column, b: Column, m: Column, percent: int) -> Column:
+    """A filter that needs no shuffle: a shingle that only one of two sets has changes one parity.
+
+    So the parities that differ are no more than the shingles that differ, of
+    which similar sets have but a part of all.
+    """
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(PARITIES)), F.lit(0))
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
+
+
 def may_reach(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
     """Suffix filter: shingles in common are bits in common, but for those that share a bit."""
     a, b = np.frombuffer(x, dtype=np.uint8), np.frombuffer(y, dtype=np.uint8)
@@ -221,19 +240,21 @@ def drawn(rows: DataFrame, turn: int) -> DataFrame:
     return rows.join(one, "h")
 
 
-def first_meetings(now: DataFrame, percent: int) -> DataFrame:
+def first_meetings(now: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of unlike groups that meet in a bucket and may link.
 
     Documents that share a passage meet in a bucket for each of its shingles.
     Where the shingles before, of those in open buckets, are equal too, the
     pair has met there already and is not formed again. The first meeting is
     never left out, and it is there that a pair that links passes the filter.
+    ``parities``: id, part, parities.
     """
     before = F.lag("h").over(Window.partitionBy("id", "part").orderBy("at"))
-    rows = now.select("h", "id", "n", "at", "root", before.alias("prior"))
-    other = rows.select("h", *[F.col(c).alias(f"{c}_2") for c in ("id", "n", "at", "root", "prior")])
+    rows = saved(now.withColumn("prior", before).join(parities, ["id", "part"]).select("h", "id", "n", "at", "root", "prior", "parities"), "meeting")
+    other = rows.select("h", *[F.col(c).alias(f"{c}_2") for c in rows.columns if c != "h"])
     new = F.coalesce(F.col("prior") != F.col("prior_2"), F.lit(True))
-    meet = rows.join(other, "h").where((F.col("root") < F.col("root_2")) & new & may_link(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent))
+    may = may_link(F.col("n"), F.col("at"), F.col("n_2"), F.col("at_2"), percent) & near_enough(F.col("parities"), F.col("n"), F.col("parities_2"), F.col("n_2"), percent)
+    meet = rows.join(other, "h").where((F.col("root") < F.col("root_2")) & new & may)
     return meet.select(F.col("id").alias("u"), F.col("id_2").alias("v"))
 
 
@@ -288,7 +309,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
             groups = merged(groups, links)
             now = unlike(met, groups)
         # All pairs that meet and are still in unlike groups.
-        links = saved(verified(first_meetings(now, percent)), "links")
+        own = reps.select(F.col("doc_id").alias("id"), "part", "parities")
+        links = saved(verified(first_meetings(now, own, percent)), "links")
         if not links.isEmpty():
             groups = merged(groups, links)
 

@@ -74,7 +74,8 @@ def test_documents_made_of_shared_passages(spark):
     docs = [(rng.randrange(90), " ".join(rng.sample(passages, rng.randint(1, 5)))) for _ in range(120)]
     assert run(spark, docs, hot=6) == brute(docs)
     now = spark.createDataFrame([(h, d, 0, 40, at, d) for d in (1, 2) for at, h in enumerate((5, 6, 7, 8))], "h long, id long, part int, n long, at int, root long")
-    assert [tuple(r) for r in jaccard.first_meetings(now, 75).collect()] == [(1, 2)]
+    odd = spark.createDataFrame([(d, 0, [0] * jaccard.PARITIES) for d in (1, 2)], "id long, part int, parities array<long>")
+    assert [tuple(r) for r in jaccard.first_meetings(now, odd, 75).collect()] == [(1, 2)]
 
 
 def test_odd_rows(spark):
@@ -96,6 +97,8 @@ def test_suffix_filter_drops_nothing():
         both = len(set(x.tolist()) & set(y.tolist()))
         want = 100 * both >= 75 * (len(x) + len(y) - both)
         assert jaccard.similar(x, y, 75) == want
+        differ = int(np.bitwise_count(jaccard.parities(x) ^ jaccard.parities(y)).sum())
+        assert differ <= len(x) + len(y) - 2 * both and (not want or 175 * differ <= 25 * (len(x) + len(y)))
         may = jaccard.may_reach(jaccard.bitmap(x), len(x), jaccard.bitmap(y), len(y), 75)
         assert may or not want
         kept += may
