@@ -269,16 +269,27 @@ class Licences:
         return max(agreement(words_of(text).hashes(), f) for f in FAMILIES) >= 0.3
 
 
-_templates: dict[str, list[tuple[int, np.ndarray]]] = {}
+_templates: dict[str, list[np.ndarray]] = {}
 
 
-def agreement(h: np.ndarray, family: str) -> float:
-    """Share of a template's word pairs that a paragraph has, for the best of the family's templates."""
+def pairs_of(family: str) -> list[np.ndarray]:
+    """Of each template of a family its distinct word pairs."""
     if family not in _templates:
         found = [words_of(t).hashes() for t in TEMPLATES[family]]
-        _templates[family] = [(max(1, len(t) - 1), np.unique(grams(t, min(2, len(t))))) for t in found]
+        _templates[family] = [np.unique(grams(t, min(2, len(t)))) for t in found]
+    return _templates[family]
+
+
+def agreement(h: np.ndarray, family: str) -> float:
+    """Share of a template's word pairs that a paragraph has, for the best of the family's templates."""
     own = np.unique(grams(h, 2))
-    return max(len(np.intersect1d(own, t, assume_unique=True)) / len(t) for _, t in _templates[family])
+    return max(len(np.intersect1d(own, t, assume_unique=True)) / len(t) for t in pairs_of(family))
+
+
+def fewest(confirmed: float) -> tuple[np.ndarray, int]:
+    """All word pairs of templates, sorted, and how many of them a paragraph must have to confirm any template."""
+    every = [t for f in FAMILIES for t in pairs_of(f)]
+    return np.unique(np.concatenate(every)), min(int(np.ceil(confirmed * len(t))) for t in every)
 
 
 SPANS = pa.list_(pa.struct([("family", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64()), ("agreement", pa.float64())]))
@@ -303,6 +314,7 @@ def scan(docs: DataFrame, model: Licences, threshold: float = 0.15, confirmed: f
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, heat = shared.value
+        pairs, least = fewest(confirmed)
         for batch in batches:
             n, found = np.zeros(batch.num_rows, dtype=np.int64), [[] for _ in range(batch.num_rows)]
             for lo, _, raw, at in pieces(batch.column(at_text), 1 << 18):
@@ -313,13 +325,16 @@ def scan(docs: DataFrame, model: Licences, threshold: float = 0.15, confirmed: f
                     doc, line = w.doc(), lines(w, raw)
                     new = np.concatenate([[True], (np.diff(doc) > 0) | (np.diff(line) > 0)])
                     n[lo : lo + len(at) - 1] += np.bincount(doc[new], minlength=len(at) - 1)
+                # Pairs of templates before each word, so that windows without enough of them need no comparison.
+                known = np.concatenate([[0], np.cumsum(np.isin(grams(h, 2), pairs)), [0]])
                 covered = {}  # by family, the words of notices within one line
                 hits: list[tuple[int, dict]] = []
                 for block, (starts, ends) in enumerate(((starts, ends), blocks(w, raw))):
                     if not len(starts):
                         continue
                     chance = softmax(unit_scores(h, starts, ends, weights) * heat)
-                    for i in np.flatnonzero(chance[:, :-1].max(axis=1) >= threshold).tolist():
+                    enough = known[np.maximum(starts, ends - 1)] - known[starts] >= least
+                    for i in np.flatnonzero(enough & (chance[:, :-1].max(axis=1) >= threshold)).tolist():
                         a, b = int(starts[i]), int(ends[i])
                         same, _, best = max((agreement(h[a:b], FAMILIES[c]), chance[i, c], c) for c in np.flatnonzero(chance[i, :-1] >= 0.01).tolist())
                         if same < confirmed:
