@@ -2,7 +2,15 @@
 
 Each stage takes what its predecessor kept and returns a DataFrame, written as
 Parquet and read again as the next one's documents. All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``, other columns included.
+
+Null and empty texts: they get the classifier's score of no words, are one
+empty line (null becomes empty), link with nothing, hold no benchmark words,
+and pack as the end id alone. Long texts are read whole. Rows that repeat an id
+are one document to the near-duplicate stage, which keeps or drops all of them,
+and documents of their own to the others; of equal ones under different ids the
+least id stays. Rows with a null id keep their lines and are no near duplicates.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
