@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions.text import bigrams, bucket
-
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product over the shorter length."""
@@ -19,9 +19,32 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hashed_counts(docs: DataFrame, buckets: int = 128) -> DataFrame:
-    """Counts of hashed character pairs per document: doc_id, bucket, n. Pairs are counted before they are hashed."""
-    pairs = docs.select("doc_id", F.explode(bigrams(F.col("text"))).alias("t")).groupBy("doc_id", "t").agg(F.count("*").alias("n"))
-    return pairs.groupBy("doc_id", bucket(F.col("t"), buckets).alias("bucket")).agg(F.sum("n").alias("n"))
+    """Counts of hashed character pairs per document: doc_id, bucket, n.
+
+    A text is counted where it is read; no more than its buckets are shuffled,
+    to add up rows that repeat an id. A pair is hashed once per task.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            rows: list[tuple[object, int, int]] = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = (text or "").replace("\n", " ")
+                pairs = Counter(map(str.__add__, text, text[1:])) if len(text) > 1 else Counter(text)
+                found: Counter[int] = Counter()
+                for pair, n in pairs.items():
+                    if pair not in known:
+                        if len(known) > 1 << 20:
+                            known.clear()
+                        known[pair] = int.from_bytes(hashlib.sha256(pair.encode()).digest()[:4], "big") % buckets
+                    found[known[pair]] += n
+                rows += [(doc, b, n) for b, n in found.items()]
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["doc_id", "bucket", "n"])
+
+    counted = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, bucket int, n long")
+    return counted.groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))
 
 
 def hashed_embedding(docs: DataFrame, buckets: int = 128) -> DataFrame:
