@@ -231,7 +231,7 @@ def local_times(spark, d):
 
 
 @query("""
-SELECT p_partkey, round((CASE WHEN p_size % 2 = 0 THEN 0.22 ELSE -0.05 END) + (CASE WHEN p_size > 10 THEN 0.03 ELSE 0 END) + 0.03 + (CASE WHEN p_size % 3 > 0 AND p_partkey % 2 = 0 THEN 0.16 ELSE 0 END) - (CASE WHEN p_size % 5 = 0 THEN 0.08 ELSE 0 END), 6) AS bonus FROM part""")
+SELECT p_partkey, round((CASE WHEN p_size % 2 = 0 THEN 0.22::DOUBLE ELSE -0.05 END) + (CASE WHEN p_size > 10 THEN 0.03 ELSE 0 END) + 0.03 + (CASE WHEN p_size % 3 > 0 AND p_partkey % 2 = 0 THEN 0.16 ELSE 0 END) - (CASE WHEN p_size % 5 = 0 THEN 0.08 ELSE 0 END), 6) AS bonus FROM part""")
 def recommendation_bonus(spark, d):
     """H56."""
     size = F.col("p_size")
