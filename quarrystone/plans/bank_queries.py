@@ -269,7 +269,7 @@ def answer_policy(spark, d):
 
 
 @query(r"""
-SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0.0 WHEN p_size % 4 = 1 THEN 0.34 WHEN p_size % 4 = 2 THEN 0.46 ELSE -0.1 END AS grade,
+SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0.0::DOUBLE WHEN p_size % 4 = 1 THEN 0.34 WHEN p_size % 4 = 2 THEN 0.46 ELSE -0.1 END AS grade,
        len(list_filter(string_split(left(p_name, 12), ''), lambda c: c <> '' AND contains(p_type, c))) / 20 AS overlap, p_size || ' 平方 点乘 ' || p_partkey AS words FROM part""")
 def relevance_parts(spark, d):
     """H07 H09 H55."""
