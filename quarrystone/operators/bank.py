@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions.metadata import kept_keys
+from quarrystone.functions.sections import heading, title_key
+from quarrystone.operators.sequence import forward_filled
+
 # ---------------------------------------------------------------- filters
 
 
@@ -83,6 +87,45 @@ def by_chapter_number(titles: DataFrame, entries: DataFrame) -> DataFrame:
     return titles.join(best, "number").select("title_id", chosen.alias("chapter"))
 
 
+def catalogue_titles(headings: DataFrame, entries: DataFrame) -> DataFrame:
+    """Headings as their catalogue writes them: heading_id, title, normalized (whether it was changed).
+
+    ``headings``: heading_id, doc_id, title. ``entries``: doc_id, place, title.
+    The first entry of the same key counts; headings without one stay.
+    """
+    first = entries.withColumn("key", title_key(F.col("title"))).where("key is not null and title <> ''").groupBy("doc_id", "key").agg(F.min_by("title", "place").alias("written"))
+    done = headings.withColumn("key", title_key(F.col("title"))).join(first, ["doc_id", "key"], "left")
+    title = F.coalesce("written", "title")
+    return done.select("heading_id", title.alias("title"), F.coalesce(title != F.col("title"), F.lit(False)).alias("normalized"))
+
+
+def reread_metadata(chunks: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Chunks of stored documents with chapter, section and metadata as their texts now say.
+
+    ``chunks``: doc_id, chunk_index, text, kind, metadata (flat JSON or null),
+    and the document's own doc_chapter and doc_section. A chapter clears the
+    section before it; the document's own hold until the first of either. Of
+    the metadata the keys ``keep`` stay.
+    """
+    opened = chunks.withColumn("__h", heading(F.col("text"), F.col("kind")))
+    read = forward_filled(opened, "doc_id", "chunk_index", F.col("__h.chapter"), F.col("__h.section"))
+    section = F.when(F.col("chapter").isNull(), F.coalesce("section", "doc_section")).otherwise(F.col("section"))
+    fixed = F.coalesce(kept_keys(F.coalesce("metadata", F.lit("{}")), keep), F.lit("{}"))
+    return read.select("doc_id", "chunk_index", F.coalesce("chapter", "doc_chapter").alias("chapter"), section.alias("section"), fixed.alias("metadata"))
+
+
+def edited_metadata(json: Column, new: Mapping[str, Column], derived: Sequence[str]) -> Column:
+    """A flat JSON object after an edit: derived keys go, as they no longer hold, and new values replace old ones."""
+    kept = F.map_filter(F.from_json(F.coalesce(json, F.lit("{}")), "map<string,string>"), lambda k, v: ~k.isin(*derived, *new))
+    cells = F.map_from_arrays(F.array(*map(F.lit, new)), F.array(*[c.cast("string") for c in new.values()]))
+    return F.to_json(F.map_concat(F.coalesce(kept, F.create_map().cast("map<string,string>")), cells))
+
+
+def classed(documents: DataFrame, report: DataFrame, classes: Sequence[str], key: str = "doc_id") -> DataFrame:
+    """Documents that a report puts in one of the classes."""
+    return documents.join(report.where(F.col("class").isin(*classes)).select(key).distinct(), key, "left_semi")
+
+
 # ---------------------------------------------------------------- summaries
 
 

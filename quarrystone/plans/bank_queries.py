@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import answers as N
 from quarrystone.functions import policy as P
 from quarrystone.functions import scoring as G
+from quarrystone.functions import sections as S
 from quarrystone.operators import bank as B
 from quarrystone.operators import catalog as C
 from quarrystone.plans.document_queries import ORACLES, QUERIES, query
@@ -356,3 +357,99 @@ def cacheable_questions(spark, d):
     """B28."""
     history = F.when(F.col("turn") > 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>"))
     return table(spark, d, "conversations").select("conv_id", "turn", N.cacheable(F.col("text"), history, F.col("conv_id") % 2 == 1).alias("cacheable"))
+
+
+# ---------------------------------------------------------------- sections and headings
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 4 = 3 THEN NULL ELSE p_brand || CASE WHEN p_size % 4 = 0 THEN chr(10) || p_name ELSE '' END END AS answer,
+       CASE WHEN p_size % 4 = 1 THEN NULL ELSE p_type END AS explanation FROM part""")
+def bank_sections(spark, d):
+    """An answer of two lines, none, and explanations under a head, at a mark, behind white space."""
+    size, line = F.col("p_size") % 4, lambda *parts: F.concat(*[F.lit(x) if "p_" not in x else F.col(x) for x in parts])
+    text = (
+        F.when(size == 0, line("【答案】", "p_brand", "\n", "p_name", "\n难度：易\n解析：", "p_type"))
+        .when(size == 1, line("p_brand", "\n知识点：力"))
+        .when(size == 2, F.when(F.col("p_partkey") % 2 == 0, line("答案: ", "p_brand", "【解析】：", "p_type")).otherwise(line("p_brand", "  点拨 ", "p_type")))
+        .otherwise(line("【详解】", "p_type"))
+    )
+    done = S.answer_sections(text)
+    return table(spark, d, "part").select("p_partkey", done["answer"].alias("answer"), done["explanation"].alias("explanation"))
+
+
+@query("""
+SELECT p_partkey, unnest(['1', '12', '3']) AS number, unnest([p_brand || '；', CASE WHEN p_size % 2 = 0 THEN p_type ELSE p_name END, NULL]) AS entry FROM part""")
+def numbered_answers(spark, d):
+    """A number's last entry counts."""
+    text = F.concat(F.lit("1. "), "p_brand", F.lit("；第12题 "), "p_type", F.when(F.col("p_size") % 2 == 1, F.concat(F.lit("\n12、"), "p_name")).otherwise(F.lit("")))
+    entries = S.numbered_entries(text, F.array(F.lit("1"), F.lit("12"), F.lit("3")))
+    return table(spark, d, "part").select("p_partkey", F.inline(entries))
+
+
+@query("""SELECT p_partkey, p_name || chr(10) || 'A. ' || p_brand || chr(10) || 'B. ' || p_type || chr(10) || chr(10) || '（1）' || p_size AS shown,
+CASE WHEN p_size % 2 = 0 THEN '（1）对' || chr(10) || '（2）错' ELSE '对 ' || p_size END AS judged FROM part""")
+def readable_questions(spark, d):
+    """H31 H32."""
+    text = F.concat("p_name", F.lit("\tA. "), "p_brand", F.lit(" B. "), "p_type", F.lit("\n（1）"), F.col("p_size").cast("string"))
+    text = F.replace(text, F.lit(" B. "), F.lit("B. "))
+    answer = F.concat(F.lit("对 "), F.when(F.col("p_size") % 2 == 0, "错").otherwise(F.col("p_size").cast("string")))
+    return table(spark, d, "part").select("p_partkey", S.readable(text).alias("shown"), S.judgement_lines(F.lit("判断（1）甲（2）乙"), answer).alias("judged"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_name || chr(10) || p_type WHEN p_size % 3 = 1 THEN p_name || chr(10) || '  2. ' || p_type ELSE p_name END AS text FROM part""")
+def formula_marks_dropped(spark, d):
+    """Before a formula, before a question, before a picture's path."""
+    size = F.col("p_size") % 3
+    behind = F.when(size == 0, F.concat(F.lit("  "), "p_type")).when(size == 1, F.concat(F.lit("  2. "), "p_type")).otherwise(F.lit(" images/a1.PNG"))
+    return table(spark, d, "part").select("p_partkey", S.without_formula_marks(F.concat("p_name", F.lit("\n Equation_Inline\n"), behind)).alias("text"))
+
+
+@query("""
+WITH e AS (SELECT n_regionkey AS doc_id, lower(n_name) AS key, arg_min(n_name, n_nationkey) AS written FROM nation GROUP BY 1, 2)
+SELECT s_suppkey AS heading_id, CASE WHEN s_suppkey % 2 = 0 THEN n_name ELSE '〔' || lower(n_name) || '〕' END AS title, s_suppkey % 2 = 0 AS normalized FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN e ON doc_id = n_regionkey AND key = lower(n_name)""")
+def heading_titles(spark, d):
+    """Titles in lower case with a bracket are found under the key; those in unknown brackets are not."""
+    nation = table(spark, d, "nation")
+    entries = nation.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("place"), F.col("n_name").alias("title"))
+    low = F.lower("n_name")
+    title = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("（"), low, F.lit("）"))).otherwise(F.concat(F.lit("〔"), low, F.lit("〕")))
+    headings = table(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("heading_id"), F.col("n_regionkey").alias("doc_id"), title.alias("title"))
+    return B.catalogue_titles(headings, entries)
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1, 2),
+c AS (SELECT l_orderkey AS doc_id, l_linenumber AS i, CASE WHEN l_linenumber % 4 = 2 THEN '第' || l_linenumber || '章 ' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS ch, CASE WHEN l_linenumber % 4 IN (1, 3) THEN '1.' || l_linenumber || ' ' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS se FROM l),
+g AS (SELECT *, count(ch) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM c)
+SELECT doc_id, i AS chunk_index, coalesce(last_value(ch IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 'own chapter') AS chapter,
+       coalesce(last_value(se IGNORE NULLS) OVER (PARTITION BY doc_id, no ORDER BY i), CASE WHEN no = 0 THEN 'own section' END) AS section, '{"tags":"t' || i || '"}' AS metadata FROM g""")
+def metadata_reread(spark, d):
+    """Chapters at every fourth line, sections between them, sentences that are neither."""
+    n, mode = F.col("l_linenumber"), F.col("l_shipdate").cast("date").cast("string")
+    first = F.when(n % 4 == 2, F.concat(F.lit("第"), n, F.lit("章 "), mode)).when(n % 4 == 0, F.lit("1. 下列哪个正确")).otherwise(F.concat(F.lit("1."), n, F.lit(" "), mode))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("l_shipdate"))
+    chunks = lines.select(
+        F.col("l_orderkey").alias("doc_id"),
+        n.alias("chunk_index"),
+        F.concat(F.lit("一句话。\n\n"), first, F.lit("\n正文")).alias("text"),
+        F.lit("textbook").alias("kind"),
+        F.concat(F.lit('{"tags":"t'), n, F.lit('","filename":"f"}')).alias("metadata"),
+        F.lit("own chapter").alias("doc_chapter"),
+        F.lit("own section").alias("doc_section"),
+    )
+    return B.reread_metadata(chunks, ["tags", "difficulty"])
+
+
+@query("""SELECT p_partkey, '{"number":"' || p_size || '","chapter":"' || p_brand || '"}' AS metadata FROM part""")
+def metadata_edited(spark, d):
+    """A new chapter replaces the old one and what was derived from it."""
+    old = F.concat(F.lit('{"number":"'), F.col("p_size"), F.lit('","chapter":"old","chapter_key":"old","structure_path":"old"}'))
+    return table(spark, d, "part").select("p_partkey", B.edited_metadata(old, {"chapter": F.col("p_brand")}, ["chapter_key", "section_key", "structure_path"]).alias("metadata"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def documents_of_classes(spark, d):
+    """C24."""
+    report = table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "reslice").otherwise("keep").alias("class"))
+    return B.classed(table(spark, d, "documents").select("doc_id", "source"), report, ["reslice", "unread"])
