@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, jaccard, licences, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
+from quarrystone.llm import conversations, decontaminate, jaccard, licences, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
 }
 ORACLES = {
     "op4_winnowing": decontaminate.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_ngram_jaccard": jaccard.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
 }
