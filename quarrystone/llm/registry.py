@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import conversations, decontaminate, jaccard, licences, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
+from quarrystone.llm import collocations, conversations, decontaminate, jaccard, licences, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc": warc.op9_warc,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_conversation_repair": conversations.op11_conversation_repair,
+    "op12_collocations": collocations.op12_collocations,
 }
 ORACLES = {
     "op4_winnowing": decontaminate.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_warc": warc.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
     "op11_conversation_repair": conversations.ORACLE,
+    "op12_collocations": collocations.ORACLE,
 }
