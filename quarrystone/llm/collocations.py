@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarrystone.llm.frequent import MOST_BITS, Frequent
 from quarrystone.llm.shared import saved
 from quarrystone.llm.words import GRAM, Words, mixed, pieces
 from quarrystone.sources.tables import table
@@ -33,29 +34,6 @@ WORD[list(b" \t")] = False
 
 #: Names that a task gathers before it counts them.
 GATHER = 1 << 22
-#: At most so many bits tell tasks which names are frequent; more names make them tell less, and change no result.
-MOST_BITS = 1 << 27
-
-
-class Frequent:
-    """A set of names in a bounded number of bits: it holds all of them, and may hold others."""
-
-    def __init__(self, names: DataFrame, n: int, most_bits: int):
-        self.bits = 1 << min(most_bits.bit_length() - 1, max(16, (16 * n).bit_length()))
-        marks = (
-            names.select(F.col("name").bitwiseAND(F.lit(self.bits - 1)).alias("bit"))
-            .groupBy(F.shiftright("bit", 6).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits"))
-            .toArrow()
-        )
-        words = np.zeros(self.bits // 64, dtype=np.uint64)
-        words[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
-        self.words = words
-
-    def of(self, names: np.ndarray) -> np.ndarray:
-        bit = names & np.uint64(self.bits - 1)
-        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
-
 
 def levels(w: Words, of_text: np.ndarray, known: list[Frequent]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For 1, 2 ... words, up to one more than is known: the name of the phrase at each word, and whether there is one whose parents are frequent."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import collocations, conversations, decontaminate, jaccard, licences, line_dedup, packing, pseudonyms, quality, topk, toxicity, warc
+from quarrystone.llm import collocations, conversations, decontaminate, jaccard, licences, line_dedup, packing, pseudonyms, quality, repeats, topk, toxicity, warc
 
 QUERIES = {
     "op1_feistel_pseudonyms": pseudonyms.op1_feistel_pseudonyms,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_collocations": collocations.op12_collocations,
+    "op13_repeats": repeats.op13_repeats,
 }
 ORACLES = {
     "op4_winnowing": decontaminate.ORACLE,
@@ -26,4 +27,5 @@ ORACLES = {
     "op10_line_dedup": line_dedup.ORACLE,
     "op11_conversation_repair": conversations.ORACLE,
     "op12_collocations": collocations.ORACLE,
+    "op13_repeats": repeats.ORACLE,
 }
