@@ -32,8 +32,9 @@ BREAK[list(BREAKS)] = True
 WORD = ~BREAK
 WORD[list(b" \t")] = False
 
-#: Names that a task gathers before it counts them.
+#: Names that a task gathers before it counts them, and words that it remembers to have told.
 GATHER = 1 << 22
+TOLD = 1 << 19
 
 def levels(w: Words, of_text: np.ndarray, known: list[Frequent]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For 1, 2 ... words, up to one more than is known: the name of the phrase at each word, and whether there is one whose parents are frequent."""
@@ -57,7 +58,7 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[Words, np.ndarray, list[str]]]
     """The words of a batch (lang, text), a seed for each text's language, and the languages."""
     langs = batch.column(0).to_pylist()
     seeds = {x: np.uint64(int.from_bytes(hashlib.sha256(x.encode()).digest()[:8], "little")) for x in set(langs)}
-    for i, j, raw, at in pieces(batch.column(1), 1 << 22):
+    for i, j, raw, at in pieces(batch.column(1)):
         yield Words(raw, at, WORD), np.array([seeds[x] for x in langs[i:j]], dtype=np.uint64), langs[i:j]
 
 
@@ -103,31 +104,52 @@ def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
     """level, name and either lang and word or the names of both parents, of all names that may be frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
+    def batch_of(level: int, found: np.ndarray, left: np.ndarray | None, right: np.ndarray | None, lang: list | None, word: list | None) -> pa.RecordBatch:
+        n = len(found)
+        sides = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (left, right)]
+        texts = [pa.nulls(n, pa.string()) if x is None else pa.array(x, pa.string()) for x in (lang, word)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, level, dtype=np.int32)), pa.array(found.view(np.int64)), *sides, *texts], names=["level", "name", "left", "right", "lang", "word"])
+
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: list[set] = [set() for _ in known]
+        told: set[int] = set()
+        held: list[list[np.ndarray]] = [[] for _ in known]
+        size = 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for level, rows in enumerate(held, 1):
+                if rows:
+                    name, left, right = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    found, at = np.unique(name, return_index=True)
+                    for k in range(0, len(found), 1 << 16):
+                        some = at[k : k + (1 << 16)]
+                        yield batch_of(level, name[some], left[some], right[some], None, None)
+                    rows.clear()
+
         for batch in batches:
             for w, seeds, langs in read(batch):
                 before = None
-                low = w.buf + (32 * ((w.buf >= 65) & (w.buf <= 90))).astype(np.uint8)
-                doc = w.doc()
                 for level, (names, ok) in enumerate(levels(w, seeds, shared.value[:-1])):
                     alive = np.flatnonzero(ok & shared.value[level].of(names))
                     found, first = np.unique(names[alive], return_index=True)
                     at = alive[first]
-                    if len(told[level]) > GATHER:
-                        told[level] = set()
-                    new = np.array([x not in told[level] for x in found.tolist()], dtype=bool)
-                    found, at = found[new], at[new]
-                    told[level].update(found.tolist())
-                    n = len(found)
                     if level:
-                        sides = [pa.array(before[at].view(np.int64)), pa.array(before[at + 1].view(np.int64)), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())]
+                        held[level].append((found, before[at], before[at + 1]))
+                        size += len(found)
                     else:
-                        text = [low[a:b].tobytes().decode("utf-8") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-                        sides = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([langs[i] for i in doc[at].tolist()], pa.string()), pa.array(text, pa.string())]
+                        new = np.array([x not in told for x in found.tolist()], dtype=bool)
+                        found, at = found[new], at[new]
+                        told.update(found.tolist())
+                        low, doc = w.buf + (32 * ((w.buf >= 65) & (w.buf <= 90))).astype(np.uint8), w.doc()
+                        words = [low[a:b].tobytes().decode("utf-8") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
+                        if len(found):
+                            yield batch_of(1, found, None, None, [langs[i] for i in doc[at].tolist()], words)
+                        if len(told) >= TOLD:
+                            told = set()
                     before = names
-                    if n:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, level + 1, dtype=np.int32)), pa.array(found.view(np.int64)), *sides], names=["level", "name", "left", "right", "lang", "word"])
+                if size >= GATHER // 2:
+                    yield from flushed()
+                    size = 0
+        yield from flushed()
 
     rows = docs.mapInArrow(looked_up, "level int, name long, left long, right long, lang string, word string")
     return saved(rows.dropDuplicates(["level", "name"]), "names")

@@ -19,7 +19,7 @@ class Frequent:
     """A set of names in a bounded number of bits: it holds all of them, and may hold others."""
 
     def __init__(self, names: DataFrame, n: int, most_bits: int):
-        self.bits = 1 << min(most_bits.bit_length() - 1, max(16, (16 * n).bit_length()))
+        self.bits = 1 << min(most_bits.bit_length() - 1, max(16, (64 * n).bit_length()))
         marks = (
             names.select(F.col("name").bitwiseAND(F.lit(self.bits - 1)).alias("bit"))
             .groupBy(F.shiftright("bit", 6).alias("word"))
