@@ -13,7 +13,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
@@ -26,7 +26,6 @@ from quarrystone.sources.tables import table
 
 MEMBER = b"\x1f\x8b\x08"
 HERE = re.compile(rb"WARC/1\.[01]\r?\n")
-VERSION = re.compile(rb"(?:^|(?<=\n))WARC/1\.[01]\r?\n")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP_LENGTH = re.compile(rb"(?i)\r\ncontent-length: *(\d+)")
 PAGE = re.compile(r"<urn:x-page:(-?\d+)>")
@@ -72,7 +71,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
     """
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload")).withColumn("key", F.unhex(F.sha1("payload")))
-    keepers = rows.groupBy("key").agg(F.max("id").alias("keeper"))
+    # Written: adaptive execution splits a hot payload only in a join of two tables that are both shuffled for it.
+    keepers = saved(rows.groupBy("key").agg(F.max("id").alias("keeper")), "keepers")
     revisit = (F.octet_length("payload") >= min_bytes) & (F.col("id") < F.col("keeper"))
     marked = rows.join(keepers, "key").select("id", "url", "payload", "key", F.when(revisit, F.col("keeper")).alias("refers_to"))
 
@@ -109,20 +109,74 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
 # ---------------------------------------------------------------- reading
 
 
+class Archive:
+    """The bytes of an archive, read block by block.
+
+    A search remembers what it found last: as later ones begin further on, all
+    searches for one mark together pass over the archive once.
+    """
+
+    BLOCK = 1 << 20
+
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read, self.size = read, size
+        self.start, self.block = 0, b""
+        self.last: dict[bytes, tuple[int, int]] = {}
+
+    @classmethod
+    def of(cls, data: bytes) -> Archive:
+        return cls(lambda at, n: data[at : at + n], len(data))
+
+    def bytes(self, at: int, end: int) -> bytes:
+        """What stands from ``at`` to ``end``, or to the archive's end."""
+        end = min(end, self.size)
+        if at >= end:
+            return b""
+        if at < self.start or end > self.start + len(self.block):
+            if end - at > self.BLOCK // 2:
+                return self.read(at, end - at)
+            self.start, self.block = at, self.read(at, min(self.BLOCK, self.size - at))
+        return self.block[at - self.start : end - self.start]
+
+    def find(self, mark: bytes, at: int) -> int:
+        """The next place of ``mark`` from ``at`` on, or the archive's size."""
+        asked, found = self.last.get(mark, (0, -1))
+        if asked <= at <= found:
+            return found
+        place, step = at, 1 << 10
+        while place < self.size:
+            if (i := self.bytes(place, place + step + len(mark) - 1).find(mark)) >= 0:
+                break
+            place, step = place + step, min(2 * step, self.BLOCK // 2)
+        found = place + i if place < self.size else self.size
+        self.last[mark] = at, found
+        return found
+
+    def version(self, at: int) -> int:
+        """The next version line at a line's beginning, or the archive's size."""
+        while (at := self.find(b"WARC/1.", at)) < self.size:
+            if (at == 0 or self.bytes(at - 1, at) == b"\n") and HERE.match(self.bytes(at, at + 10)):
+                return at
+            at += 1
+        return self.size
+
+
 class Broken(Exception):
     """A record that fails a check."""
 
 
-def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
+def parsed(data: Archive, at: int) -> tuple[dict[str, str], bytes, int]:
     """Headers, block and end of the record at ``at`` of plain bytes."""
-    start = HERE.match(data, at)
+    start = HERE.match(data.bytes(at, at + 10))
     if not start:
         raise Broken("no version line")
-    stop = data.find(b"\r\n\r\n", start.end() - 2)
-    if stop < 0:
+    stop = data.find(b"\r\n\r\n", at + start.end() - 2)
+    if stop >= data.size:
         raise Broken("headers without end")
+    if data.version(at + 1) < stop:
+        raise Broken("a version line among headers")
     headers = {}
-    for line in data[start.end() : stop].decode("utf-8", "replace").split("\r\n"):
+    for line in data.bytes(at + start.end(), stop).decode("utf-8", "replace").split("\r\n"):
         name, colon, value = line.partition(":")
         if line and not colon:
             raise Broken("header without colon")
@@ -132,9 +186,9 @@ def parsed(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if not (length.isascii() and length.isdigit()):
         raise Broken("no content length")
     end = stop + 4 + int(length)
-    if data[end : end + 4] != b"\r\n\r\n":
+    if data.bytes(end, end + 4) != b"\r\n\r\n":
         raise Broken("length and closing line ends disagree")
-    block = data[stop + 4 : end]
+    block = data.bytes(stop + 4, end)
     digest = headers.get("warc-payload-digest", "")
     if headers.get("warc-type") == "response" and digest.startswith("sha1:") and digest_of(payload_of(headers, block)) != digest[5:].upper():
         raise Broken("payload digest differs")
@@ -151,14 +205,14 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
 ENDLESS = "gzip member without end"
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+def member(data: Archive, at: int) -> tuple[bytes, int, str | None]:
     """Content and end of the gzip member at ``at``; of a broken one what can be unpacked, where reading stopped, and why."""
     unpack, out, fed, flaw, step = zlib.decompressobj(31), [], at, None, 1 << 14
     while not unpack.eof:
-        if fed >= len(data):
+        if fed >= data.size:
             flaw = flaw or ENDLESS
             break
-        part = data[fed : fed + step]
+        part = data.bytes(fed, fed + step)
         try:
             out.append(unpack.decompress(part))
         except zlib.error:
@@ -167,7 +221,7 @@ def member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
             flaw = "gzip member fails its check"
             # What the failing part holds is lost with the error: again to its beginning, then byte by byte.
             unpack, step = zlib.decompressobj(31), 1
-            out = [unpack.decompress(data[i : min(i + (1 << 14), fed)]) for i in range(at, fed, 1 << 14)]
+            out = [unpack.decompress(data.bytes(i, min(i + (1 << 14), fed))) for i in range(at, fed, 1 << 14)]
             continue
         fed += len(part)
     return b"".join(out), fed - len(unpack.unused_data), flaw
@@ -176,17 +230,16 @@ def member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
 Found = tuple[int, int, str | None, dict[str, str] | None, bytes | None]
 
 
-def plain(data: bytes) -> Iterator[Found]:
+def plain(data: Archive) -> Iterator[Found]:
     """Start, end and either headers and block of each valid record of plain bytes, or the reason of each gap."""
     at, gap, why = 0, None, ""
-    while at < len(data):
+    while at < data.size:
         try:
             headers, block, end = parsed(data, at)
         except Broken as e:
             if gap is None:
                 gap, why = at, str(e)
-            version = VERSION.search(data, at + 1)
-            at = version.start() if version else len(data)
+            at = data.version(at + 1)
             continue
         if gap is not None:
             yield gap, at, why, None, None
@@ -194,25 +247,26 @@ def plain(data: bytes) -> Iterator[Found]:
         yield at, end, None, headers, block
         at = end
     if gap is not None:
-        yield gap, len(data), why, None, None
+        yield gap, data.size, why, None, None
 
 
-def salvage(data: bytes) -> Iterator[Found]:
+def salvage(archive: bytes | Archive) -> Iterator[Found]:
     """Start, end and either headers and block of each valid record, or the reason of each gap.
 
     A member of which only some records are valid gives these, and its gaps
-    with their places in the unpacked content. A broken member gives the valid
-    records of what can be unpacked, and is itself a gap.
+    with their places in the unpacked content. A broken or cut member gives the
+    valid records of what can be unpacked, and is itself a gap. Of an archive
+    one block and one member's content are held at a time.
     """
+    data = archive if isinstance(archive, Archive) else Archive.of(archive)
     at, gap, why = 0, None, ""
-    while at < len(data):
+    while at < data.size:
         flaw = None
         try:
-            if data.startswith(MEMBER, at):
+            if data.bytes(at, at + len(MEMBER)) == MEMBER:
                 content, end, flaw = member(data, at)
-                inner = list(plain(content))
-                alone = flaw == ENDLESS and len(inner) == 1  # a cut member of one record is a gap, even if but its trailer is missing
-                if (flaw or inner) and (alone or all(reason for _, _, reason, _, _ in inner)):
+                inner = list(plain(Archive.of(content)))
+                if (flaw or inner) and all(reason for _, _, reason, _, _ in inner):
                     raise Broken(flaw or inner[0][2])
                 found = [(reason and f"{reason} (bytes {a} to {b} of the unpacked member)", headers, block) for a, b, reason, headers, block in inner]
             else:
@@ -234,13 +288,12 @@ def salvage(data: bytes) -> Iterator[Found]:
         else:
             at = end
     if gap is not None:
-        yield gap, len(data), why, None, None
+        yield gap, data.size, why, None, None
 
 
-def beginning(data: bytes, at: int) -> int:
+def beginning(data: Archive, at: int) -> int:
     """The next place from ``at`` on at which a member or record may begin."""
-    version = VERSION.search(data, at)
-    return min(x if x >= 0 else len(data) for x in (data.find(MEMBER, at), version.start() if version else -1))
+    return min(data.find(MEMBER, at), data.version(at))
 
 
 READ = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gap", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
@@ -260,18 +313,18 @@ def read_archives(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 system, name = fs.FileSystem.from_uri(path)
-                with system.open_input_stream(name, compression=None) as f:
-                    data = f.read()
-                rows: list[tuple] = []
-                size = 0
-                for start, end, gap, headers, block in salvage(data):
-                    payload = payload_of(headers, block) if headers is not None else None
-                    rows.append((path, start, end, gap, headers and headers.get("warc-type"), headers and headers.get("warc-record-id"), headers and list(headers.items()), payload))
-                    size += len(payload or b"") + 500
-                    if size > 16 << 20:
-                        yield arrow(rows)
-                        rows, size = [], 0
-                yield arrow(rows)
+                with system.open_input_file(name) as f:
+                    archive = Archive(lambda at, n, f=f: f.read_at(n, at), f.size())
+                    rows: list[tuple] = []
+                    size = 0
+                    for start, end, gap, headers, block in salvage(archive):
+                        payload = payload_of(headers, block) if headers is not None else None
+                        rows.append((path, start, end, gap, headers and headers.get("warc-type"), headers and headers.get("warc-record-id"), headers and list(headers.items()), payload))
+                        size += len(payload or b"") + 500
+                        if size > 16 << 20:
+                            yield arrow(rows)
+                            rows, size = [], 0
+                    yield arrow(rows)
 
     def arrow(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * len(READ)
