@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarrystone.llm.shared import saved
+from quarrystone.llm.shared import discard, saved
 
 
 #: Edges in one file of a round, or more where the cluster has fewer files than cores.
@@ -19,10 +19,10 @@ def _written(edges: DataFrame, label: str) -> tuple[DataFrame, dict]:
     return rows, seen.get
 
 
-def _least(pairs: DataFrame, files: int) -> DataFrame:
-    """(u, v) with the least of u and its v's; written, so that Spark can split hot u in the join."""
+def _least(pairs: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
+    """(u, v) with the least of u and its v's; that is written, so that Spark can split hot u in the join, and returned too."""
     least = saved(pairs.groupBy("u").agg(F.min("v").alias("m")).coalesce(files), "least")
-    return pairs.join(least, "u").withColumn("m", F.least("u", "m"))
+    return pairs.join(least, "u").withColumn("m", F.least("u", "m")), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,17 +32,18 @@ def components(edges: DataFrame) -> DataFrame:
     its lesser neighbours; both in turn end in one star per component, after a
     number of rounds that grows with the logarithm of the nodes. Loops,
     repeated and reversed edges do no harm; no edges give no rows. Rounds write
-    as few files as their edges need, not one for each shuffle partition.
+    as few files as their edges need, not one for each shuffle partition, and
+    what a round wrote goes when the next one stands.
     """
     cores = edges.sparkSession.sparkContext.defaultParallelism
     now, state = _written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while state["n"]:
         files = max(cores, state["n"] // EDGES)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _least(both, files).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = saved(large.coalesce(files), "large-stars")
-        small = _least(large, files)
-        before = state
+        large, least = _least(both, files)
+        large = saved(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(files), "large-stars")
+        small, least_of_small = _least(large, files)
+        before, old = state, now
         now, state = _written(
             small.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(small.select("u", F.col("m").alias("v")))
@@ -51,6 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
             .coalesce(files),
             "small-stars",
         )
+        discard(old, least, large, least_of_small)
         if state == before:
             break
     return now

@@ -207,8 +207,10 @@ def overlaps_by_join(docs: DataFrame, items: DataFrame, span: int, k: int, text_
 
     marks = saved(items.mapInArrow(of_items, "item string, span int, hash long, phrase binary"), "benchmark-windows")
     spans = [r["span"] for r in marks.select("span").distinct().collect()]  # 1 to ``span`` at most
-    prints = marks.where("phrase IS NULL").select("span", "hash").distinct()
-    windows = marks.where("phrase IS NOT NULL").distinct()
+    # Each side of a join is read from a written table, so that adaptive execution can split a print or window of many documents.
+    prints = saved(marks.where("phrase IS NULL").select("span", "hash").distinct(), "benchmark-prints")
+    windows = saved(marks.where("phrase IS NOT NULL").distinct(), "benchmark-phrases")
+    phrases = saved(windows.select("span", "hash", "phrase").distinct(), "phrases")
 
     # Rows of one text are one: what is found holds for all of them.
     texts = docs.select(F.col(f"`{text_col}`").alias("text")).where("text IS NOT NULL").withColumn("key", F.sha2("text", 256)).dropDuplicates(["key"])
@@ -242,8 +244,9 @@ def overlaps_by_join(docs: DataFrame, items: DataFrame, span: int, k: int, text_
     met = texts.select("text", "key").mapInArrow(of_docs, "key string, span int, word long, hash long").join(prints, ["span", "hash"], "left_semi")
     places = met.groupBy("key").agg(F.collect_set(F.struct("span", "word")).alias("met"))
     near = saved(texts.join(places, "key").select("text", "key", "met").mapInArrow(windows_of, "key string, span int, word long, hash long, phrase binary"), "document-windows")
-    hit = saved(near.join(windows.select("span", "hash", "phrase").distinct(), ["span", "hash", "phrase"], "left_semi"), "hits")
-    shared = windows.join(hit.select("key", "span", "hash", "phrase").distinct(), ["span", "hash", "phrase"]).select("key", "item").distinct()
+    hit = saved(near.join(phrases, ["span", "hash", "phrase"], "left_semi"), "hits")
+    once = saved(hit.select("key", "span", "hash", "phrase").distinct(), "hit-windows")
+    shared = windows.join(once, ["span", "hash", "phrase"]).select("key", "item").distinct()
     found = hit.groupBy("key").agg(F.collect_set(F.struct("word", "span")).alias("spans")).join(shared.groupBy("key").agg(F.collect_set("item").alias("of")), "key")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

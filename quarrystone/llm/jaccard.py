@@ -2,7 +2,7 @@
 
 Documents with equal sets of shingles are one class. A class's shingles are
 put in one order for all, rare first (by counts over all documents, kept in a
-table of fixed size, then by hash); two sets can only reach the similarity if
+table of bounded size, then by hash); two sets can only reach the similarity if
 their prefixes in that order meet. Pairs that meet must pass the length and the
 positional filter, and a suffix filter before the one full comparison.
 
@@ -15,9 +15,9 @@ formed before. No link between groups is lost, and a large group of near copies
 costs some comparisons per member instead of one per pair.
 
 A bucket's first member comes from a window where its shingle's counter is
-low, which bounds the bucket; where it is high, from a partial aggregate
-that is joined back, so that a shingle of a third of all documents never passes
-through one task.
+low, which bounds the bucket; where it is high, from an aggregate that is
+written and joined back: adaptive execution can split a shingle of a third of
+all documents only in a join whose sides both come straight from a shuffle.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from quarrystone.llm.shared import saved
 from quarrystone.llm.words import NONSPACE, Words, grams, mixed, pieces
 from quarrystone.sources.tables import table
 
-#: Counters of shingles, by the last bits of their hash.
-COUNTERS = 1 << 18
+#: Counters of shingles, by the last bits of their hash: about one for each document, within these bounds.
+COUNTERS = 1 << 18, 1 << 23
 #: Shingles whose counter is over this are hot: their buckets have no bound.
 HOT = 4096
 #: Words of 64 bits of a set's parities.
@@ -59,19 +59,20 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 def counts_of(docs: DataFrame, size: int) -> np.ndarray:
     """How many documents' shingles fall to each counter, over all documents."""
+    counters = 1 << min(max(docs.count().bit_length(), COUNTERS[0].bit_length() - 1), COUNTERS[1].bit_length() - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(counters, dtype=np.int64)
         for batch in batches:
             for s in shingle_sets(batch.column(0), size):
-                total += np.bincount((s & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS) if len(s) > COUNTERS // 8 else 0
-                if len(s) <= COUNTERS // 8:
-                    np.add.at(total, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                total += np.bincount((s & np.uint64(counters - 1)).astype(np.int64), minlength=counters) if len(s) > counters // 8 else 0
+                if len(s) <= counters // 8:
+                    np.add.at(total, (s & np.uint64(counters - 1)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["counter", "n"])
 
     rows = docs.select("text").mapInArrow(count, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(COUNTERS, dtype=np.int64)
+    total = np.zeros(counters, dtype=np.int64)
     total[rows.column("counter").to_numpy()] = rows.column("n").to_numpy()
     return total
 
@@ -89,7 +90,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, size: int, percent: int, hot:
                 k1.append(int(mixed(s).sum(dtype=np.uint64)))
                 k2.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
-                rare = total[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                rare = total[(s & np.uint64(len(total) - 1)).astype(np.int64)]
                 order = np.lexsort((s, rare))[:keep]
                 parts.append(s[order].view(np.int64))
                 cold.append(int(np.searchsorted(rare[order], hot, side="right")))
@@ -219,7 +220,7 @@ def unlike(met: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of buckets that hold unlike groups, with their group: h, id, part, n, at, root."""
     rows = met.select("h", "id", "part", "n", "at").join(groups.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rows = saved(rows, "labelled")
-    several = rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    several = saved(rows.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h"), "open-buckets")
     return saved(rows.join(several, "h", "left_semi"), "open")
 
 
@@ -230,14 +231,14 @@ def buckets(index: DataFrame) -> DataFrame:
     by = Window.partitionBy("h").orderBy("id", "at")
     cold = index.where("NOT hot").select(*own, F.lag("id").over(by).alias("before"), F.lead("id").over(by).alias("after"), F.first(head).over(by).alias("c")).where("before IS NOT NULL OR after IS NOT NULL").drop("before", "after")
     hot = index.where("hot").select(*own)
-    heads = hot.groupBy("h").agg(F.min(head).alias("c"), F.count("*").alias("rows")).where("rows > 1").select("h", "c")
+    heads = saved(hot.groupBy("h").agg(F.min(head).alias("c"), F.count("*").alias("rows")).where("rows > 1").select("h", "c"), "heads")
     return cold.unionByName(hot.join(heads, "h")).select(*own, F.col("c.id").alias("cid"), F.col("c.n").alias("cn"), F.col("c.at").alias("cat"))
 
 
 def drawn(rows: DataFrame, turn: int) -> DataFrame:
-    """The rows, each with one row of its bucket as ``c``, drawn by hash; aggregated first, so that hot buckets are split."""
+    """The rows, each with one row of its bucket as ``c``, drawn by hash; aggregated and written first, so that hot buckets are split."""
     one = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("id", "h", F.lit(turn)).alias("draw"), "id", "at", "n", "root")).alias("c"))
-    return rows.join(one, "h")
+    return rows.join(saved(one, "drawn"), "h")
 
 
 def first_meetings(now: DataFrame, parities: DataFrame, percent: int) -> DataFrame:

@@ -112,3 +112,30 @@ def test_components(spark):
     nodes = {n for e in edges for n in e}
     assert {n: found.get(n, n) for n in nodes} == roots(nodes, edges)
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_hot_buckets_are_split(spark):
+    """Two thirds of the rows on one key: the final plan of the joins with aggregates says that they were split."""
+    from quarrystone.llm.jaccard import buckets, drawn
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        index = spark.range(60_000).repartition(16).selectExpr("IF(id % 3 < 2, 7, id) AS h", "id", "1 AS part", "10L AS n", "0 AS at", "true AS hot", "id AS root")
+        for df in (buckets(index), drawn(index.drop("hot"), 1)):
+            assert df.where("id >= 0").count()
+            held = df.select("h", "id")
+            held.write.format("noop").mode("overwrite").save()
+            held.collect()
+            assert "skew=true" in held._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
