@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.frequent import MOST_BITS, Frequent
 from quarrystone.llm.shared import saved
-from quarrystone.llm.words import GRAM, Words, mixed, pieces
+from quarrystone.llm.words import GRAM, Words, mixed, pieces, unmixed
 from quarrystone.sources.tables import table
 
 #: Bytes that end a piece of text; words are runs of others but space and tab.
@@ -104,11 +104,11 @@ def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
     """level, name and either lang and word or the names of both parents, of all names that may be frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def batch_of(level: int, found: np.ndarray, left: np.ndarray | None, right: np.ndarray | None, lang: list | None, word: list | None) -> pa.RecordBatch:
+    def batch_of(level: int, found: np.ndarray, left: np.ndarray | None, lang: list | None, word: list | None) -> pa.RecordBatch:
         n = len(found)
-        sides = [pa.nulls(n, pa.int64()) if x is None else pa.array(x.view(np.int64)) for x in (left, right)]
+        sides = [pa.nulls(n, pa.int64()) if left is None else pa.array(left.view(np.int64))]
         texts = [pa.nulls(n, pa.string()) if x is None else pa.array(x, pa.string()) for x in (lang, word)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, level, dtype=np.int32)), pa.array(found.view(np.int64)), *sides, *texts], names=["level", "name", "left", "right", "lang", "word"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, level, dtype=np.int32)), pa.array(found.view(np.int64)), *sides, *texts], names=["level", "name", "left", "lang", "word"])
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
@@ -118,11 +118,11 @@ def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
         def flushed() -> Iterator[pa.RecordBatch]:
             for level, rows in enumerate(held, 1):
                 if rows:
-                    name, left, right = (np.concatenate(x) for x in zip(*rows, strict=True))
+                    name, left = (np.concatenate(x) for x in zip(*rows, strict=True))
                     found, at = np.unique(name, return_index=True)
                     for k in range(0, len(found), 1 << 16):
                         some = at[k : k + (1 << 16)]
-                        yield batch_of(level, name[some], left[some], right[some], None, None)
+                        yield batch_of(level, name[some], left[some], None, None)
                     rows.clear()
 
         for batch in batches:
@@ -133,7 +133,7 @@ def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
                     found, first = np.unique(names[alive], return_index=True)
                     at = alive[first]
                     if level:
-                        held[level].append((found, before[at], before[at + 1]))
+                        held[level].append((found, before[at]))
                         size += len(found)
                     else:
                         new = np.array([x not in told for x in found.tolist()], dtype=bool)
@@ -142,7 +142,7 @@ def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
                         low, doc = w.buf + (32 * ((w.buf >= 65) & (w.buf <= 90))).astype(np.uint8), w.doc()
                         words = [low[a:b].tobytes().decode("utf-8") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
                         if len(found):
-                            yield batch_of(1, found, None, None, [langs[i] for i in doc[at].tolist()], words)
+                            yield batch_of(1, found, None, [langs[i] for i in doc[at].tolist()], words)
                         if len(told) >= TOLD:
                             told = set()
                     before = names
@@ -151,8 +151,14 @@ def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
                     size = 0
         yield from flushed()
 
-    rows = docs.mapInArrow(looked_up, "level int, name long, left long, right long, lang string, word string")
-    return saved(rows.dropDuplicates(["level", "name"]), "names")
+    def with_right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            name, left = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("name", "left"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((unmixed(name) - left * GRAM).view(np.int64))], names=[*batch.schema.names, "right"])
+
+    # A name gives the right parent of the left one, so that rows travel without it.
+    rows = docs.mapInArrow(looked_up, "level int, name long, left long, lang string, word string").dropDuplicates(["level", "name"])
+    return saved(rows.mapInArrow(with_right, "level int, name long, left long, lang string, word string, right long"), "names")
 
 
 def phrases(docs: DataFrame, most_words: int, min_count: int, most_bits: int = MOST_BITS) -> tuple[list[DataFrame], DataFrame]:

@@ -65,6 +65,15 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def unmixed(h: np.ndarray) -> np.ndarray:
+    """The hash that ``mixed`` made ``h`` of."""
+    h = h ^ (h >> np.uint64(31)) ^ (h >> np.uint64(62))
+    h = h * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    h = h ^ (h >> np.uint64(27)) ^ (h >> np.uint64(54))
+    h = h * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return h ^ (h >> np.uint64(30)) ^ (h >> np.uint64(60))
+
+
 class Words:
     """The words of some texts.
 
