@@ -15,6 +15,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -265,21 +266,31 @@ def deltas() -> Fold:
     return Fold("key string, seq long, delta string", step, {"seen": ""})
 
 
-def guarded(pattern: str, rewrite: str) -> Fold:
-    """key, seq, segment: segments pass until the text so far matches; then the rewrite, and no more."""
-    import re
+def guarded(pattern: str, rewrite: str, margin: int = 64) -> Fold:
+    """key, seq, segment: segments pass until the text so far matches; then the rewrite, and no more.
 
-    bad = re.compile(pattern)
+    The state is not the text but its tail from where a match may still come
+    about (a partial match that reaches the end, or the last ``margin``
+    characters), and ``margin`` characters before it for what looks back. So
+    it is bounded by the longest stretch that the pattern can leave open. A
+    condition on more than ``margin`` characters behind, or on what follows
+    the text's end beyond it, is not seen.
+    """
+    bad = regex.compile(pattern)
 
     def step(state: dict, row: Row) -> list[Row]:
         if state["over"]:
             return []
         segment = row["segment"] or ""
-        if bad.search(state["text"] + segment):
+        text, begin = state["tail"] + segment, state["from"]
+        if bad.search(text, begin):
             state["over"] = True
-            mark = "" if not state["text"] or state["text"][-1] in SEGMENT_ENDS + "." else "\n\n"
-            segment = mark + rewrite
-        state["text"] += segment
+            mark = "" if not state["tail"] or state["tail"][-1] in SEGMENT_ENDS + "." else "\n\n"
+            return [{"key": row["key"], "seq": row["seq"], "shown": mark + rewrite}]
+        may = bad.search(text, begin, partial=True)
+        begin = max(begin, min(may.start() if may else len(text), len(text) - margin))
+        cut = max(0, begin - margin)
+        state.update(tail=text[cut:], **{"from": begin - cut})
         return [{"key": row["key"], "seq": row["seq"], "shown": segment}]
 
-    return Fold("key string, seq long, shown string", step, {"text": "", "over": False})
+    return Fold("key string, seq long, shown string", step, {"tail": "", "from": 0, "over": False})

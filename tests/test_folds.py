@@ -1,4 +1,7 @@
 import random
+import re
+
+import pytest
 
 from quarrystone.streaming import folds as F
 
@@ -77,6 +80,40 @@ def test_deltas_and_guard(spark):
     assert [r["shown"] for r in out] == ["Think first. ", "The answer is", "\n\nTry it yourself."]
 
 
+PATTERNS = [r"answer is \d+", r"ab{2,3}c", r"a.*z", r"\bcat\b", r"(?<=x)y", r"^b+c", r"a(?=b)", r"\Bca\B", r"a\s*b\s*c$", r"(?i)ab|bca|cccc"]
+
+
+@pytest.mark.parametrize("pattern", PATTERNS)
+def test_guard_equals_the_full_search_at_every_split(pattern):
+    """The fold's step against a search of the whole text so far, over all cuts in two and random cuts in many."""
+    rng = random.Random(pattern)
+    fold = F.guarded(pattern, "R", margin=8)
+    texts = ["answer is 42.", "the cat sat", "xy", "abbbc"] + ["".join(rng.choice("abcxyz  .") for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    for text in texts:
+        cuts = [[i] for i in range(len(text) + 1)] + [sorted(rng.sample(range(len(text) + 1), min(6, len(text) + 1))) for _ in range(5)]
+        for cut in cuts:
+            pieces = [text[a:b] for a, b in zip([0, *cut], [*cut, len(text)], strict=True)]
+            state, got, want, so_far = fold.fresh(), [], [], ""
+            for i, piece in enumerate(pieces):
+                got += [r["shown"] for r in fold.step(state, {"key": "k", "seq": i, "segment": piece})]
+            for piece in pieces:
+                if re.search(pattern, so_far + piece):
+                    want.append(("" if not so_far or so_far[-1] in F.SEGMENT_ENDS + "." else "\n\n") + "R")
+                    break
+                so_far += piece
+                want.append(piece)
+            assert got == want, (text, pieces)
+
+
+def test_guard_keeps_a_bounded_state():
+    fold = F.guarded(r"answer is \d{1,9}\b.", "R")
+    state = fold.fresh()
+    for i in range(2000):
+        fold.step(state, {"key": "k", "seq": i, "segment": "the answer is near, "})
+        assert len(state["tail"]) <= 2 * 64 + 20
+    assert fold.step(state, {"key": "k", "seq": 2000, "segment": "answer is 7."})[0]["shown"].endswith("R")
+
+
 def test_stream_equals_table(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     rows = [(k, i, t * S) for k in (1, 2) for i, t in enumerate([0, 1, 2, 61, 62, 121])]
