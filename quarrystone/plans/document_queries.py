@@ -103,25 +103,47 @@ def _stamped(spark, d):
     return table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type"), "value")
 
 
-@query()
+#: Events of each user in order, as the stateful oracles step through them.
+STEPS = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, epoch_us(ts) AS moment, event_type, event_type <> 'error' AS ok, CAST(trunc(value) AS BIGINT) AS amount,
+row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), """
+
+
+@query(STEPS + """r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS taken, false AS admitted FROM e
+UNION ALL SELECT key, seq, n, CASE WHEN len(recent) < 2 THEN list_append(recent, moment) ELSE recent END, len(recent) < 2
+FROM (SELECT e.*, list_filter(r.taken, lambda t: e.moment - t <= 21600000000) AS recent FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1))
+SELECT key, seq, admitted FROM r WHERE n > 0""")
 def rate_limit_admission(spark, d):
-    """Sequential; tests compare with plain Python."""
+    """Two of any six hours; tests compare with plain Python too."""
     return L.fold_table(_stamped(spark, d), "key", ["at", "seq"], L.rate_limit(2, 6 * 3600))
 
 
-@query()
+@query(STEPS + """r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS tries, 0 AS failed, CAST(0 AS BIGINT) AS until, '' AS outcome FROM e
+UNION ALL SELECT key, seq, n, CASE WHEN made THEN list_append(recent, moment) ELSE recent END, CASE WHEN made AND (ok OR failed >= 1) THEN 0 WHEN made THEN failed + 1 ELSE failed END,
+CASE WHEN made AND NOT ok AND failed >= 1 THEN moment + 86400000000 ELSE until END, CASE WHEN moment < until THEN 'locked' WHEN NOT made THEN 'throttled' WHEN ok THEN 'passed' ELSE 'failed' END
+FROM (SELECT *, moment >= until AND len(recent) < 3 AS made FROM (SELECT e.*, r.failed, r.until, list_filter(r.tries, lambda t: e.moment - t < 21600000000) AS recent FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)))
+SELECT key, seq, outcome FROM r WHERE n > 0""")
 def login_throttling(spark, d):
     """K17."""
     return L.fold_table(_stamped(spark, d).withColumn("ok", F.col("event_type") != "error"), "key", ["at", "seq"], L.login_throttle(3, 6 * 3600, 2, 24 * 3600))
 
 
-@query()
+@query(STEPS + """r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, 0 AS failed, CAST(0 AS BIGINT) AS until, false AS open FROM e
+UNION ALL SELECT e.key, e.seq, e.n, CASE WHEN e.moment < r.until THEN r.failed WHEN ok OR r.failed >= 1 THEN 0 ELSE r.failed + 1 END,
+CASE WHEN e.moment >= r.until AND NOT ok AND r.failed >= 1 THEN e.moment + 86400000000 ELSE r.until END, e.moment < r.until FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)
+SELECT key, seq, open FROM r WHERE n > 0""")
 def circuit_breaking(spark, d):
     """K13."""
     return L.fold_table(_stamped(spark, d).withColumn("ok", F.col("event_type") != "error"), "key", ["at", "seq"], L.circuit_breaker(2, 24 * 3600))
 
 
-@query()
+@query(STEPS + """r AS (SELECT DISTINCT key, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST([0, 0, 0] AS BIGINT[]) AS held, ['', '', ''] AS states, false AS denied, CAST(0 AS BIGINT) AS given FROM e
+UNION ALL SELECT key, seq, n, used, [CASE WHEN own = 1 THEN now ELSE held[1] END, CASE WHEN own = 2 THEN now ELSE held[2] END, CASE WHEN own = 3 THEN now ELSE held[3] END],
+[CASE WHEN own = 1 THEN state ELSE states[1] END, CASE WHEN own = 2 THEN state ELSE states[2] END, CASE WHEN own = 3 THEN state ELSE states[3] END], denied, CASE WHEN state = '' OR denied THEN 0 ELSE now END
+FROM (SELECT key, seq, n, own, held, states, denied, CASE WHEN takes AND NOT denied THEN used + amount WHEN gives THEN greatest(0, used + to_now - held[own]) ELSE used END AS used,
+  CASE WHEN takes AND NOT denied THEN amount WHEN gives THEN to_now ELSE held[own] END AS now, CASE WHEN takes AND NOT denied THEN 'held' WHEN gives AND op = 'error' THEN 'released' WHEN gives THEN 'settled' ELSE states[own] END AS state
+  FROM (SELECT *, takes AND used + amount > 200 AS denied FROM (SELECT *, op NOT IN ('purchase', 'error') AND states[own] IN ('', 'released') AS takes, op IN ('purchase', 'error') AND states[own] = 'held' AS gives, CASE WHEN op = 'error' THEN 0 ELSE amount END AS to_now
+    FROM (SELECT e.key, e.seq, e.n, e.amount, e.event_type AS op, e.seq % 3 + 1 AS own, r.used, r.held, r.states FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)))))
+SELECT CAST(key AS VARCHAR) AS key, seq, NOT denied AS allowed, CASE WHEN denied THEN 'user' || key END AS denied_by, given AS amount, used FROM r WHERE n > 0""")
 def quota_reserve_sequential(spark, d):
     """Views reserve, purchases reconcile, errors release."""
     op = F.when(F.col("event_type") == "purchase", "reconcile").when(F.col("event_type") == "error", "release").otherwise("reserve")
@@ -138,11 +160,15 @@ def quota_remaining(spark, d):
     return used.select("model", "day", "used", F.greatest(5000 - F.col("used"), F.lit(0)).cast("long").alias("remaining"), F.when(F.col("used") >= 5000, "day limit").alias("denial"))
 
 
+def cut_in_pieces(turns, size=7):
+    """Turns as streams of pieces of so many characters."""
+    n = F.greatest(F.ceil(F.char_length("text") / size), F.lit(1)).cast("int")
+    cut = turns.select(F.concat_ws("-", "conv_id", "turn").alias("key"), n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("text", (i - 1) * size + 1, F.lit(size)))).alias("seq", "piece"))
+    return cut.select("key", F.col("seq").cast("long").alias("seq"), "piece", (F.col("seq") == F.col("n") - 1).alias("done"))
+
+
 def _pieces(spark, d):
-    """Conversation turns as streams of pieces of seven characters."""
-    turns = table(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
-    n = F.greatest(F.ceil(F.char_length("text") / 7), F.lit(1)).cast("int")
-    return turns.select("key", n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("text", (i - 1) * 7 + 1, F.lit(7)))).alias("seq", "piece")).select("key", F.col("seq").cast("long").alias("seq"), "piece", (F.col("seq") == F.col("n") - 1).alias("done"))
+    return cut_in_pieces(table(spark, d, "conversations"))
 
 
 @query()
@@ -151,20 +177,27 @@ def token_segments(spark, d):
     return L.fold_table(_pieces(spark, d), "key", ["seq"], L.segments())
 
 
-@query("""SELECT conv_id || '-' || turn AS key, text AS shown FROM conversations WHERE text <> ''""")
+@query("""SELECT conv_id || '-' || turn AS key, CASE WHEN turn % 3 = 0 THEN replace(text, 'e', '') WHEN turn % 3 = 1 THEN regexp_replace(text, 'a.*', '', 's') ELSE text END AS shown FROM conversations
+WHERE CASE WHEN turn % 3 = 0 THEN replace(text, 'e', '') WHEN turn % 3 = 1 THEN regexp_replace(text, 'a.*', '', 's') ELSE text END <> ''""")
 def hidden_spans_removed(spark, d):
-    """Turns hold no tags, so that all is shown."""
-    shown = L.fold_table(_pieces(spark, d), "key", ["seq"], L.hidden_spans())
+    """Each e of a third of the turns is dressed as a span, the first a of another third opens one without an end, the others have none."""
+    turns = table(spark, d, "conversations")
+    dressed = F.when(F.col("turn") % 3 == 0, F.replace("text", F.lit("e"), F.lit("<think>a < b </thin</think>"))).when(F.col("turn") % 3 == 1, F.regexp_replace("text", "(?s)^([^a]*)a", "$1<think>a")).otherwise(F.col("text"))
+    shown = L.fold_table(cut_in_pieces(turns.withColumn("text", dressed)), "key", ["seq"], L.hidden_spans())
     return shown.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "shown"))), lambda s: s["shown"]), "").alias("shown"))
 
 
-@query("""SELECT event_id AS seq, user_id AS key, event_type, CASE WHEN lag(event_type) OVER w IS NULL THEN 'first' ELSE 'later' END AS outcome FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)""")
+@query(STEPS + """s AS (SELECT key, event_type, seq, moment, seq % 4 AS hash, row_number() OVER (PARTITION BY key, event_type ORDER BY moment, seq) AS n FROM e),
+r AS (SELECT key, event_type, seq, n, moment AS since, hash, 'first' AS outcome FROM s WHERE n = 1
+UNION ALL SELECT s.key, s.event_type, s.seq, s.n, CASE WHEN s.moment - since > 172800000000 THEN s.moment ELSE since END, CASE WHEN s.moment - since > 172800000000 THEN s.hash ELSE r.hash END,
+CASE WHEN s.moment - since > 172800000000 THEN 'first' WHEN s.hash = r.hash THEN 'replay' ELSE 'conflict' END FROM r JOIN s ON s.key = r.key AND s.event_type = r.event_type AND s.n = r.n + 1)
+SELECT key, seq, event_type, outcome FROM r""")
 def request_replays(spark, d):
-    """One endless lifetime, so that all but the first of a key are replays."""
-    rows = _stamped(spark, d).select(F.concat_ws("|", "key", "event_type").alias("key"), "seq", "at", F.lit("h").alias("hash"))
-    out = L.fold_table(rows, "key", ["at", "seq"], L.replay(10**9))
+    """Two days of lifetime, four bodies: first answers, replays, conflicts and expiry."""
+    rows = _stamped(spark, d).select(F.concat_ws("|", "key", "event_type").alias("key"), "seq", "at", (F.col("seq") % 4).cast("string").alias("hash"))
+    out = L.fold_table(rows, "key", ["at", "seq"], L.replay(2 * 24 * 3600))
     split = F.split("key", "[|]")
-    return out.select("seq", split[0].cast("long").alias("key"), split[1].alias("event_type"), F.when(F.col("outcome") == "first", "first").otherwise("later").alias("outcome"))
+    return out.select("seq", split[0].cast("long").alias("key"), split[1].alias("event_type"), "outcome")
 
 
 # ---------------------------------------------------------------- lifecycle and metadata
