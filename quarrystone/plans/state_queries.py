@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions import formulas as M
 from quarrystone.operators import ingest as I
 from quarrystone.operators.vector import nearest
 from quarrystone.plans.catalogue import query
@@ -63,3 +64,15 @@ def guarded_streams(spark, d):
     grown = turns.select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text", F.explode(F.sequence(F.lit(1), n)).alias("i")).select("key", (F.col("i") - 1).cast("long").alias("seq"), F.substr("text", F.lit(1), F.col("i") * 40).alias("piece"))
     added = L.fold_table(grown, "key", ["seq"], L.deltas()).withColumnRenamed("delta", "segment")
     return L.fold_table(added, "key", ["seq"], L.guarded(GIVEN, "Try it yourself."))
+
+
+@query(r"""SELECT p_partkey, '$\mathrm{kg}_{' || p_size || '}^{-' || p_size || '}$ and $\frac{1.' || p_size || '}{' || p_brand || '}$' AS line,
+CASE WHEN p_size % 3 = 0 THEN [p_name, p_type, '1', CAST(p_size AS VARCHAR)] WHEN p_size % 3 = 1 THEN [p_name, '2.5', CAST(p_size AS VARCHAR)] ELSE ['1', '2', '3 ' || p_size] END AS cells FROM part""")
+def formulas_spaced(spark, d):
+    """Spaced formulas in a line, and rows of three kinds."""
+    size = F.col("p_size").cast("string")
+    wide = F.array_join(F.split(size, ""), " ")
+    line = F.concat(F.lit(r"$\mathrm { { k }  g } _ { "), wide, F.lit(" } ^ { - "), wide, F.lit(r" }$  and $ \frac { 1 . "), wide, F.lit(" } { "), F.col("p_brand"), F.lit(" }$"))
+    kind = F.col("p_size") % 3
+    cells = F.when(kind == 0, F.array(F.col("p_name"), F.col("p_type"), F.concat(F.lit("1 "), size))).when(kind == 1, F.array(F.col("p_name"), F.concat(F.lit("2.5 "), size), F.lit(""))).otherwise(F.array(F.lit("1"), F.lit("2"), F.concat(F.lit("3 "), size)))
+    return table(spark, d, "part").select("p_partkey", M.fragments_spaced(line).alias("line"), M.sparse_row(cells).alias("cells"))
