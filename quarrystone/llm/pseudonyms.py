@@ -88,19 +88,41 @@ def luhn(digits: str) -> int:
     return -total % 10
 
 
+# First digits of card networks, from and to, and the lengths of their numbers.
+NETWORKS = (
+    ("2221", "2720", (16,)),
+    ("300", "305", (14,)),
+    ("34", "34", (15,)),
+    ("3528", "3589", (16, 17, 18, 19)),
+    ("36", "36", (14,)),
+    ("37", "37", (15,)),
+    ("38", "39", (14,)),
+    ("4", "4", (13, 16, 19)),
+    ("5018", "5018", (13, 14, 15, 16, 17, 18, 19)),
+    ("5020", "5020", (13, 14, 15, 16, 17, 18, 19)),
+    ("5038", "5038", (13, 14, 15, 16, 17, 18, 19)),
+    ("51", "55", (16,)),
+    ("5893", "5893", (13, 14, 15, 16, 17, 18, 19)),
+    ("6011", "6011", (16, 17, 18, 19)),
+    ("62", "62", (16, 17, 18, 19)),
+    ("6304", "6304", (13, 14, 15, 16, 17, 18, 19)),
+    ("644", "659", (16, 17, 18, 19)),
+    ("6759", "6763", (13, 14, 15, 16, 17, 18, 19)),
+)
+
+
 def card(m: re.Match, f: Feistel) -> str | None:
-    """Numbers that begin with 3 to 6, and of 16 digits with 2221 to 2720."""
+    """Numbers of a card network, in its length, with a right check digit; they stay in the network."""
     d = only_digits(m[0])
     if luhn(d[:-1]) != int(d[-1]):
         return None
-    if d[0] in "3456":
-        body = d[0] + str(f.permute(f"card{len(d)}", int(d[1:-1]), 10 ** (len(d) - 2))).zfill(len(d) - 2)
-    elif len(d) == 16 and 2221 <= int(d[:4]) <= 2720:
-        low = 2221 * 10**11
-        body = str(low + f.permute("card2", int(d[:-1]) - low, 500 * 10**11))
-    else:
-        return None
-    return filled(m[0], body + str(luhn(body)))
+    for low, high, lengths in NETWORKS:
+        if len(d) in lengths and low <= d[: len(low)] <= high:
+            scale = 10 ** (len(d) - 1 - len(low))
+            first = int(low) * scale
+            body = str(first + f.permute(f"card{low}|{len(d)}", int(d[:-1]) - first, (int(high) - int(low) + 1) * scale))
+            return filled(m[0], body + str(luhn(body)))
+    return None
 
 
 def american(m: re.Match, f: Feistel) -> str | None:

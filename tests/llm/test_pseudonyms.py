@@ -4,7 +4,7 @@ from datetime import date
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quarrystone.llm.pseudonyms import Feistel, luhn, pseudonymise, rewritten
+from quarrystone.llm.pseudonyms import NETWORKS, Feistel, luhn, pseudonymise, rewritten
 
 F, BACK = Feistel(b"k"), Feistel(b"k", inverse=True)
 
@@ -60,6 +60,17 @@ def test_all_card_ranges():
     assert one("4111 1111 1111 1111") and one("5555555555554444")
 
 
+def test_cards_stay_in_their_network():
+    for low, high, lengths in NETWORKS:
+        for prefix in {low, high}:
+            for n in lengths:
+                body = prefix + "7" * (n - 1 - len(prefix))
+                new = one(body + str(luhn(body)))
+                assert len(new) == n and low <= new[: len(low)] <= high and luhn(new[:-1]) == int(new[-1])
+    for body in ("341731008686921", "640000000000000", "40000000000000", "3000000000000", "370000000000000", "675800000000000", "352700000000000", "800000000000000"):
+        assert rewritten(body + str(luhn(body)), F)[1] == []
+
+
 def test_accounts_before_other_tokens():
     tokens = ["BIC", "X", "1", "2024", "BIC CAIX", "BANK", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
     for iban in ("ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "BE68 5390 0754 7034", "SE45 5000 0000 0583 9825 7466", "PL61 1090 1014 0000 0712 1981 2874", "CZ65 0800 0000 1920 0014 5399", "LT12 1000 0111 0100 1000", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00", "ES9121000418450200051332"):
