@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Iterator, Sequence
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,45 +21,6 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(decode, "path string, text string")
 
 
-WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-
-
-def paragraphs(content: bytes) -> list[str]:
-    """Paragraphs and table rows (cells joined by bars) of a DOCX body, in order."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{WORD}body")
-
-    def said(node: ElementTree.Element) -> str:
-        marks = {f"{WORD}tab": "\t", f"{WORD}br": "\n"}
-        return "".join((n.text or "") if n.tag == f"{WORD}t" else marks.get(n.tag, "") for n in node.iter()).strip()
-
-    out = []
-    for node in body if body is not None else ():
-        if node.tag == f"{WORD}tbl":
-            out += [" | ".join(said(c) for c in row.findall(f"{WORD}tc")) for row in node.iter(f"{WORD}tr")]
-        elif node.tag == f"{WORD}p":
-            out.append(said(node))
-    return [t for t in out if t]
-
-
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
-    """path, block_no, text and error: a file that cannot be read is one row with its error."""
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows += [(name, i, t, None) for i, t in enumerate(paragraphs(content))]
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
-                    rows.append((name, None, None, type(e).__name__))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["path", "block_no", "text", "error"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(extract, "path string, block_no int, text string, error string")
-
-
 BLOCKS = "array<array<struct<type:string,text:string,level:int>>>"
 
 

@@ -1,5 +1,4 @@
 import json
-import zipfile
 
 from pyspark.sql import functions as F
 
@@ -18,18 +17,6 @@ def test_texts_and_csv(spark, tmp_path):
     assert back.columns == ["id", "name"] and sorted((r.id, r.name) for r in back.collect()) in ([("1", None), ("2", "x,y")], [("1", ""), ("2", "x,y")])
 
 
-def test_docx(spark, tmp_path):
-    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-    p = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>".format
-    body = p("one") + f"<w:tbl><w:tr><w:tc>{p('a')}</w:tc><w:tc>{p('b')}</w:tc></w:tr></w:tbl>" + p("") + p("two")
-    with zipfile.ZipFile(tmp_path / "x.docx", "w") as z:
-        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
-    (tmp_path / "y.docx").write_bytes(b"no zip")
-    rows = I.read_docx(spark, str(tmp_path / "*.docx")).collect()
-    assert [r.text for r in sorted(rows, key=lambda r: (r.path, r.block_no or 0)) if r.error is None] == ["one", "a | b", "two"]
-    assert [r.error for r in rows if r.error] == ["BadZipFile"]
-
-
 def test_blocks_and_writes(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps([[{"type": "text", "text": "a"}], [{"type": "title", "text": "b", "level": 1}, {"type": "text", "text": "c"}]]))
     rows = I.read_blocks(spark, str(tmp_path / "b.json")).orderBy("page_index", "block_no").collect()
