@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,19 +22,19 @@ SUBJECT_CUES: dict[str, list[str]] = {
     "历史": ["朝代", "改革", "战争", "制度", "史料", "近代史", "历史", "材料题"],
     "地理": ["气候", "洋流", "农业", "地形", "人口", "区域"],
 }
-# What is never admitted.
-BLOCKED = (
-    "天气|股价|彩票|恋爱|表白|游戏攻略|写代码|帮我写作文"
-    "|你是谁|讲个笑话|闲聊|角色扮演|扮演成|忽略之前|无视规则|系统提示词|开发者模式|管理员模式|DAN"
-    "|prompt|system prompt|越过限制|绕过过滤|不要遵守|泄露提示词"
-    "|知识库原文|检索片段|资料片段|向量库|RAG|完整输出资料"
-    "|身份证|银行卡|密码|越狱|翻墙|成人"
-)
+# What is never admitted, by kind.
+BLOCKED: dict[str, str] = {
+    "daily life": "天气|股价|彩票|恋爱|表白|游戏攻略|写代码|帮我写作文",
+    "roles": "你是谁|讲个笑话|闲聊|角色扮演|扮演成|忽略之前|无视规则|系统提示词|开发者模式|管理员模式|DAN",
+    "prompts": "prompt|system prompt|越过限制|绕过过滤|不要遵守|泄露提示词",
+    "sources": "知识库原文|检索片段|资料片段|向量库|RAG|完整输出资料",
+    "secrets": "身份证|银行卡|密码|越狱|翻墙|成人",
+}
 # Words that mark a question of study without any subject's cue.
 GENERAL_CUES = ["为什么", "如何", "怎么", "求", "分析", "解释", "评价", "概括"]
 # How an answer gives the result away, and how it owns up to an unclear image.
-GIVEN_AWAY = "最终答案[是为]|标准答案[是为]|答案[：:]\\s*[A-D0-9一二三四五六七八九十]|所以结果[是为]|正确结论[是为]"
-UNCERTAIN = "可能不准确|不一定准确|看得不太清|理解可能有误|识别失败|可能理解得不完全准确"
+GIVEN_AWAY = ["最终答案[是为]", "标准答案[是为]", "答案[：:]\\s*[A-D0-9一二三四五六七八九十]", "所以结果[是为]", "正确结论[是为]"]
+UNCERTAIN = ["可能不准确", "不一定准确", "看得不太清", "理解可能有误", "识别失败", "可能理解得不完全准确"]
 REFUSAL = "抱歉，我只能解答高中学科相关问题"
 IMAGE_NOTE = "这张图片我看得不太清，理解可能有误。请你帮我核对一下。"
 
@@ -42,6 +43,11 @@ def any_word(text: Column, words: Sequence[str]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
 
 
+def any_pattern(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether one of the patterns is found, whatever its case."""
+    return reduce(lambda a, b: a | b, [F.rlike(text, F.lit(f"(?iu){p}")) for p in patterns])
+
+
 def decision(question: Column, declared: Column, cues: Mapping[str, Sequence[str]] = SUBJECT_CUES) -> Column:
     """A struct of allowed, reason and subject, by the first rule that holds."""
     q = stripped(F.coalesce(question, F.lit("")))
@@ -53,7 +59,7 @@ def decision(question: Column, declared: Column, cues: Mapping[str, Sequence[str
 
     return (
         F.when(q == "", said(False, "empty_question", F.lit(None)))
-        .when(F.rlike(q, F.lit(f"(?iu){BLOCKED}")), said(False, "blocked_non_subject", F.lit(None)))
+        .when(any_pattern(q, BLOCKED.values()), said(False, "blocked_non_subject", F.lit(None)))
         .when(known, said(True, "declared_subject", declared))
         .when(matched.isNotNull(), said(True, "keyword_match", matched))
         .when((F.char_length(q) >= 6) & any_word(q, GENERAL_CUES), said(True, "generic_academic_pattern", declared))
@@ -64,11 +70,11 @@ def decision(question: Column, declared: Column, cues: Mapping[str, Sequence[str
 def answer_issues(answer: Column, image: bool = False) -> Column:
     """Names of what is wrong with an answer, in order; for one on an image also a missing note of doubt."""
     found = [
-        F.when(F.rlike(answer, F.lit(f"(?iu){GIVEN_AWAY}")), "direct_answer_detected"),
+        F.when(any_pattern(answer, GIVEN_AWAY), "direct_answer_detected"),
         F.when(F.contains(answer, F.lit(REFUSAL)) & (F.char_length(answer) > 30), "mixed_refusal"),
     ]
     if image:
-        found.append(F.when(~F.rlike(answer, F.lit(f"(?iu){UNCERTAIN}")), "missing_image_uncertainty_disclaimer"))
+        found.append(F.when(~any_pattern(answer, UNCERTAIN), "missing_image_uncertainty_disclaimer"))
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 

@@ -104,7 +104,7 @@ def portraits(activity: DataFrame, people: DataFrame, limit: int = 12) -> DataFr
 def classrooms(activity: DataFrame, people: DataFrame, groups: DataFrame, default: str = "unassigned") -> DataFrame:
     """Per group label: people, conversations, share resolved; groups without activity stay, with zeros."""
     per = activity.groupBy("person_id").agg(F.count("*").alias("n"), F.count_if("resolved").alias("ok"))
-    named = people.join(F.broadcast(groups), "group_id", "left").withColumn("group", F.coalesce("group", F.lit(default)))
+    named = people.join(groups, "group_id", "left").withColumn("group", F.coalesce("group", F.lit(default)))
     return (
         named.join(per, "person_id", "left")
         .groupBy("group")

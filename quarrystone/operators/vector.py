@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -18,6 +17,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _signs(pair: int) -> str:
+    """The characters of a pair's number."""
+    return chr(pair >> 32) + chr(pair & 0xFFFFFFFF) if pair >= 0 else chr(pair & 0xFFFFFFFF)
+
+
 def hashed_counts(docs: DataFrame, buckets: int = 128) -> DataFrame:
     """Counts of hashed character pairs per document: doc_id, bucket, n.
 
@@ -26,22 +30,21 @@ def hashed_counts(docs: DataFrame, buckets: int = 128) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[int, int] = {}
         for batch in batches:
-            rows: list[tuple[object, int, int]] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = (text or "").replace("\n", " ")
-                pairs = Counter(map(str.__add__, text, text[1:])) if len(text) > 1 else Counter(text)
-                found: Counter[int] = Counter()
-                for pair, n in pairs.items():
+            for doc, value in zip(batch.column(0), batch.column(1), strict=True):
+                text = (value.as_py() or "").replace("\n", " ")
+                signs = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+                # A pair of code points is one number; a text of one sign counts that sign alone.
+                pairs, n = np.unique(signs[:-1] << 32 | signs[1:] if len(signs) > 1 else signs | -1 << 53, return_counts=True)
+                for pair in pairs.tolist():
                     if pair not in known:
-                        if len(known) > 1 << 20:
-                            known.clear()
-                        known[pair] = int.from_bytes(hashlib.sha256(pair.encode()).digest()[:4], "big") % buckets
-                    found[known[pair]] += n
-                rows += [(doc, b, n) for b, n in found.items()]
-            columns = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], names=["doc_id", "bucket", "n"])
+                        known[pair] = int.from_bytes(hashlib.sha256(_signs(pair).encode()).digest()[:4], "big") % buckets
+                found = np.bincount([known[p] for p in pairs.tolist()], n, buckets).astype(np.int64) if len(pairs) else np.zeros(buckets, np.int64)
+                if len(known) > 1 << 20:
+                    known.clear()
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(at), batch.column(0).type), pa.array(at, pa.int32()), pa.array(found[at])], names=["doc_id", "bucket", "n"])
 
     counted = docs.select("doc_id", "text").mapInArrow(count, f"doc_id {dict(docs.dtypes)['doc_id']}, bucket int, n long")
     return counted.groupBy("doc_id", "bucket").agg(F.sum("n").alias("n"))
@@ -54,40 +57,54 @@ def hashed_embedding(docs: DataFrame, buckets: int = 128) -> DataFrame:
     return counts.select("doc_id", "bucket", F.round(F.col("n") / norm, 6).alias("weight"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = (), shard_rows: int = 16_384, block_rows: int = 4_096) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] = (), own: Sequence[str] = (), shard_rows: int = 131_072, block_rows: int = 32_768) -> DataFrame:
     """The k vectors with the greatest inner product (to six places) for each query of a stated set.
 
     ``queries``: query_id, q. ``vectors``: vec_id, v, and the columns ``by``,
-    each combination of which is ranked on its own. Shards of vectors meet
-    blocks of queries, a task scores one such cell as a product of matrices,
-    and only its best k go on to the ranking. Ties go to the smaller id.
-    Columns: query_id, vec_id, ``by``, score, rank.
+    each combination of which is ranked on its own. ``own`` are columns of both
+    in which a query and its vectors are equal (null meets nothing): cells are
+    made within their values, so no other vector is scored. Shards of vectors
+    meet blocks of queries, a task scores one such cell as a product of
+    matrices, some queries at a time, and only its best k go on to the ranking.
+    A query travels once to each shard and a vector once to each block, so both
+    are large; with little data there are as many shards as cores. Ties go to
+    the smaller id. Columns: query_id, vec_id, ``by``, ``own``, score, rank.
     """
-    shards = max(1, -(-vectors.count() // shard_rows))
+    rows, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-rows // shard_rows), min(cores, rows // 4_096))
     blocks = max(1, -(-queries.count() // block_rows))
-    left = queries.select("query_id", "q").withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-    right = vectors.select("vec_id", "v", *by).withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    cells = ["shard", "block", *own]
+    left = queries.select("query_id", "q", *own).withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    right = vectors.select("vec_id", "v", *dict.fromkeys([*by, *own])).withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    left, right = left.dropna(subset=list(own)) if own else left, right.dropna(subset=list(own)) if own else right
     kinds = dict(vectors.dtypes)
+    kept = list(dict.fromkeys([*by, *own]))
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return np.stack([np.asarray(x, dtype=np.float64) for x in column.to_pylist()])
 
     def cell(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("query_id", "vec_id", "score", *by)}
+        out: dict[str, list] = {c: [] for c in ("query_id", "vec_id", "score", *kept)}
         if a.num_rows and b.num_rows:
-            rows = b.to_pandas()
-            asked = np.stack([np.asarray(x, dtype=np.float64) for x in a.column("q").to_pylist()])
-            for key, part in rows.groupby(list(by)) if by else [((), rows)]:
-                ids = part["vec_id"].to_numpy()
-                scores = np.round(asked @ np.stack([np.asarray(x, dtype=np.float64) for x in part["v"]]).T, 6)
-                best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                out["query_id"] += np.repeat(a.column("query_id").to_numpy(), best.shape[1]).tolist()
-                out["vec_id"] += ids[best].ravel().tolist()
-                out["score"] += np.take_along_axis(scores, best, 1).ravel().tolist()
-                for c, value in zip(by, key, strict=True):
-                    out[c] += [value] * best.size
-        types = [pa.int64(), pa.int64(), pa.float64(), *(b.schema.field(c).type for c in by)]
-        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
-
-    schema = "query_id long, vec_id long, score double" + "".join(f", {c} {kinds[c]}" for c in by)
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(cell, schema)
+            asked, held = matrix(a.column("q")), matrix(b.column("v"))
+            all_ids, names = b.column("vec_id").to_numpy(), a.column("query_id").to_numpy()
+            groups = b.select(kept).to_pandas().groupby(kept, dropna=False).indices.items() if kept else [((), np.arange(b.num_rows))]
+            for key, part in groups:
+                ids, those = all_ids[part], held[part].T
+                step = max(1, (1 << 22) // len(part))
+                for at in range(0, len(asked), step):
+                    scores = np.round(asked[at : at + step] @ those, 6)
+                    best = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
+                    out["query_id"] += np.repeat(names[at : at + step], best.shape[1]).tolist()
+                    out["vec_id"] += ids[best].ravel().tolist()
+                    out["score"] += np.take_along_axis(scores, best, 1).ravel().tolist()
+                    for c, value in zip(kept, key if isinstance(key, tuple) else (key,), strict=True):
+                        out[c] += [value] * best.size
+        types = [pa.int64(), pa.int64(), pa.float64(), *(b.schema.field(c).type for c in kept)]
+        return pa.table({c: pa.array(v, t, from_pandas=True) for (c, v), t in zip(out.items(), types, strict=True)})
+
+    schema = "query_id long, vec_id long, score double" + "".join(f", {c} {kinds[c]}" for c in kept)
+    found = left.groupBy(*cells).cogroup(right.groupBy(*cells)).applyInArrow(cell, schema)
     best = Window.partitionBy("query_id", *by).orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

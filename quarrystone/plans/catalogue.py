@@ -505,8 +505,7 @@ SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id OR
 def knn_by_subject(spark, d):
     """Nearest of the query's own label."""
     queries, vectors = _asked(spark, d)
-    found = V.nearest(queries, vectors, 4, by=["label"])
-    return found.join(queries.select("query_id", F.col("own").alias("label")), ["query_id", "label"]).select("query_id", "vec_id", "score", "rank")
+    return V.nearest(queries.withColumnRenamed("own", "label"), vectors, 4, own=["label"]).select("query_id", "vec_id", "score", "rank")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, label AS ql, embedding AS q FROM embeddings WHERE vec_id % 20 = 0),
