@@ -7,7 +7,7 @@ per person or per group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -171,3 +171,42 @@ def group_counts(rows: DataFrame, *labels: str) -> DataFrame:
 def cube_overview(activity: DataFrame) -> DataFrame:
     """Extension: counts by subject and flag at every level of a cube."""
     return activity.cube("subject", "resolved").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+def bucketed(values: DataFrame, bounds: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """A histogram per key: how many values are at most each bound (``le``), and at most infinity.
+
+    Values are counted by the first bound that holds them, so that one row for
+    each key and bound is shuffled however many values there are; the sums over
+    lower bounds follow. Nulls and NaN are in no bucket. Columns: keys, le, n.
+    """
+    tops = [*sorted(bounds), float("inf")]
+    le = F.element_at(F.filter(F.array(*map(F.lit, tops)), lambda b: F.col("value") <= b), 1)
+    per = values.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy(*keys, le.alias("le")).agg(F.count("*").alias("m"))
+    known = F.map_from_entries(F.collect_list(F.struct("le", "m")))
+    whole = per.groupBy(*keys).agg(known.alias("at")).select(*keys, "at", F.explode(F.array(*map(F.lit, tops))).alias("le"))
+    below = F.aggregate(F.map_values(F.map_filter("at", lambda b, _: b <= F.col("le"))), F.lit(0).cast("long"), lambda s, m: s + m)
+    return whole.select(*keys, "le", below.alias("n"))
+
+
+def bucket_quantiles(histogram: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Quantiles of cumulative bucket counts (keys, le, n), which add up over sources of counts.
+
+    The bucket that a quantile falls in is taken to be evenly filled, from the
+    bound before it (zero before a first positive one). One in the bucket
+    without a top gives the greatest bound; no counts at all give null.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("le", "n")))
+    summed = histogram.groupBy(*keys, "le").agg(F.sum("n").alias("n")).groupBy(*keys).agg(rows.alias("b"))
+
+    def quantile(q: float) -> Column:
+        wanted = F.col("b")[F.size("b") - 1]["n"] * F.lit(q)
+        at = F.array_position(F.transform("b", lambda r: r["n"] >= wanted), True).cast("int")
+        top, before = F.get("b", at - 1), F.get("b", at - 2)
+        low = F.when(at > 1, before["le"]).otherwise(F.least(F.lit(0.0), top["le"]))
+        under = F.coalesce(before["n"], F.lit(0))
+        inner = low + (top["le"] - low) * (wanted - under) / F.nullif(top["n"] - under, F.lit(0))
+        first = F.when((at == 1) & (top["le"] <= 0), top["le"])
+        return F.when(F.col("b")[F.size("b") - 1]["n"] > 0, F.when(top["le"] == float("inf"), before["le"]).otherwise(F.coalesce(first, inner)))
+
+    return summed.select(*keys, *[F.round(quantile(q), 6).alias(name) for name, q in quantiles.items()])
