@@ -42,3 +42,42 @@ def test_stages_against_plain_python(spark, sf_dir):
 def test_run_has_the_last_stages_rows(spark, sf_dir):
     out = P.run(spark, sf_dir)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def odd(spark, docs):
+    """Rows of null, empty and very long texts, without or with repeated ids, and a column whose name an operator uses."""
+    from pyspark.sql import functions as F
+
+    long = "a plain line of good words that goes on\n" * 20_000
+    more = [(None, long, "en", "web", 1), (-1, None, None, None, None), (-2, "", "en", "web", 0), (-3, "Some good words of a fine day.", "en", "web", 30), (-3, "Some good words of a fine day.", "en", "web", 30)]
+    return docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("score", F.lit("own"))
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Each stage's defined result for each odd row; the other rows are as without them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(P.STAGES)
+    with_odd = odd(spark, docs)
+
+    def count(df, i):
+        return df.where("doc_id IS NULL" if i is None else f"doc_id = {i}").count()
+
+    kept = stages["quality_classifier"](spark, with_odd, sf_dir)
+    assert kept.columns == with_odd.columns
+    assert count(kept, -1) == count(kept, -2) and count(kept, -3) in (0, 2)
+    lines = stages["line_dedup"](spark, with_odd, sf_dir)
+    assert lines.columns == with_odd.columns and lines.count() == with_odd.count()
+    assert {(r.text, r.n_chars) for r in lines.where("doc_id IN (-1, -2)").collect()} == {("", 0)}
+    assert set(lines.select("score").distinct().toPandas()["score"]) == {"own"}
+    near = stages["ngram_jaccard_join"](spark, with_odd, sf_dir)
+    assert [count(near, i) for i in (None, -1, -2)] == [1, 1, 1] and count(near, -3) == 2
+    clean = stages["benchmark_decontamination"](spark, with_odd, sf_dir)
+    assert [count(clean, i) for i in (None, -1, -2, -3)] == [1, 1, 1, 2] and clean.columns == with_odd.columns
+    packed = stages["best_fit_packing"](spark, with_odd, sf_dir)
+    assert [count(packed, i) for i in (-1, -2, -3)] == [1, 1, 2] and count(packed, None) > 1
+    assert {r.length for r in packed.where("doc_id IN (-1, -2)").collect()} == {1}
+
+
+def test_stages_on_no_rows(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    assert [(name, stage(spark, docs, sf_dir).count()) for name, stage in P.STAGES] == [(name, 0) for name, _ in P.STAGES]

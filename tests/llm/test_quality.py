@@ -50,3 +50,48 @@ def test_odd_rows(spark):
     assert quality_scores(docs.limit(0), w).count() == 0
     none = train(docs, labels.limit(0), bits=10)
     assert {r.score for r in quality_scores(docs, none).collect()} == {0.5}
+
+
+def test_conflicting_labels_count_as_one(spark):
+    """Of an id's labels the greatest counts, however often it is there."""
+    docs = spark.createDataFrame([(i, f"{'good plain' if i % 2 else 'BAD!! |'} words {i}") for i in range(40)], "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(40)]
+    more = [(1, 0), (1, 0), (3, 0), (5, 1)]
+    one, other = (train(docs, spark.createDataFrame(rows, "doc_id long, label int"), bits=10) for rows in (labels, labels + more))
+    assert (one == other).all()
+
+
+def test_query_against_plain_python(spark, sf_dir):
+    """The whole query, written anew: features by dictionaries, one weight at a time, shards one after the other."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    bits, passes, alpha, beta, l1, l2, shards = 18, 10, 0.5, 1.0, 0.02, 1.0, 4
+    bias = 2**bits
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    hashed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.xxhash64("doc_id", "text").alias("place")).collect()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
+    rows = {r.doc_id: {**dict(zip(at.tolist(), value.tolist(), strict=True)), bias: 1.0} for r, (at, value) in zip(hashed, features(pa.array([r.text for r in hashed]), bits), strict=True)}
+
+    def weight(z, n):
+        return 0.0 if abs(z) <= l1 else -(z - math.copysign(l1, z)) / ((beta + math.sqrt(n)) / alpha + l2)
+
+    total = {}
+    for shard in range(shards):
+        own = sorted((r for r in hashed if r.shard == shard and r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 3 != 1), key=lambda r: r.place)
+        z, n = {}, {}
+        for _ in range(passes):
+            for r in own:
+                x = rows[r.doc_id]
+                w = {i: weight(z.get(i, 0.0), n.get(i, 0.0)) for i in x}
+                p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[i] * v for i, v in x.items())))))
+                for i, v in x.items():
+                    g = (p - labels[r.doc_id]) * v
+                    z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+                    n[i] = n.get(i, 0.0) + g * g
+        for i in z:
+            total[i] = total.get(i, 0.0) + weight(z[i], n[i]) / shards
+    want = {d: 1 / (1 + math.exp(-sum(total.get(i, 0.0) * v for i, v in x.items()))) for d, x in rows.items()}
+    got = {r.doc_id: r.score for r in op5_ftrl_quality(spark, sf_dir).collect()}
+    assert set(got) == set(want) and all(abs(got[d] - want[d]) < 1e-3 for d in want)
