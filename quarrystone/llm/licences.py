@@ -101,6 +101,27 @@ TEMPLATES: dict[str, list[str]] = {
         "Copyright. All rights reserved. No part of this publication may be reproduced without permission.",
     ],
 }
+#: The short forms in which people name a licence, with and without versions, by family.
+SHORT: dict[str, list[str]] = {
+    "agpl": ["Licensed under the AGPLv3", "AGPLv3 or later", "the GNU AGPL v3", "under the terms of the GNU AGPL"],
+    "apache": ["is Apache 2.0 licensed", "the Apache License 2.0", "under the Apache 2.0 license", "under the terms of the Apache License"],
+    "bsd": ["is BSD licensed", "the BSD 3-Clause License", "the BSD 2-Clause License", "under the terms of the BSD license"],
+    "cc-by": ["under CC BY 3.0", "under the Creative Commons Attribution License", "Creative Commons Attribution 3.0 Unported"],
+    "cc-by-nc": ["under CC BY-NC 3.0", "under the Creative Commons Attribution-NonCommercial License", "Creative Commons Attribution-NonCommercial 3.0 Unported"],
+    "cc-by-nc-nd": ["under CC BY-NC-ND 3.0", "under CC BY-NC-ND 4.0", "under the Creative Commons Attribution-NonCommercial-NoDerivatives License", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "cc-by-nc-sa": ["under CC BY-NC-SA 3.0", "under CC BY-NC-SA 4.0", "under the Creative Commons Attribution-NonCommercial-ShareAlike License", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nd": ["under CC BY-ND 3.0", "under CC BY-ND 4.0", "under the Creative Commons Attribution-NoDerivatives License", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-sa": ["under CC BY-SA 3.0", "under the Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution-ShareAlike 3.0 Unported"],
+    "gpl": ["Licensed under GPLv2", "Licensed under the GPLv3", "GPLv2 or later", "GPLv3 or later", "the GNU GPL v3", "the GNU GPL version 2", "under the terms of the GNU GPL", "under the terms of the GPL"],
+    "lgpl": ["Licensed under the LGPLv3", "LGPLv2.1 or later", "the GNU LGPL v3", "under the terms of the GNU LGPL"],
+    "mit": ["is MIT licensed", "the MIT License", "under the terms of the MIT license"],
+    "mpl": ["is MPL 2.0 licensed", "under the MPL 2.0", "the Mozilla Public License 2.0", "under the terms of the Mozilla Public License"],
+    "public-domain": ["placed in the public domain", "in the public domain under CC0", "under CC0 1.0", "donated to the public domain"],
+}
+#: Words of the short forms that name no licence.
+ORDINARY = ["under", "the", "terms", "of", "is", "or", "later", "in", "to", "licensed", "license", "version"]
+for _family, _forms in SHORT.items():
+    TEMPLATES[_family] = TEMPLATES.get(_family, []) + _forms
 #: Text that speaks of licences, rights and works but grants none.
 OTHER = [
     "A driving licence must be renewed every ten years at the general office.",
@@ -113,6 +134,10 @@ OTHER = [
     "The committee reserved all seats for members of the public.",
     "The terms of the agreement were published by the foundation.",
     "Creative work in common rooms is welcome.",
+    "Under the terms of the treaty the general may license the sale.",
+    "The licensed driver of MIT was under the age of twenty or later.",
+    "Available under the counter, version 2.0 of the game is distributed by a clause of the contract.",
+    "The attribution of the painting to the Mozilla of his time is uncommon.",
 ]
 FAMILIES = sorted(TEMPLATES)
 WINDOW, STEP = 64, 32
@@ -191,7 +216,7 @@ def variants(text: str, filler: list[str], rng: np.random.Generator) -> Iterator
     """A notice as it may stand: alone, cut, with words changed, or within other text."""
     own = text.split(" ")
     yield text
-    for _ in range(12):
+    for _ in range(12 if len(own) > 8 else 8):
         w = list(own)
         if len(w) > 6 and rng.random() < 0.5:
             w[int(rng.integers(len(w)))] = str(rng.choice(filler))
@@ -239,22 +264,25 @@ class Licences:
         used, number = np.unique(number, return_inverse=True)
         order = np.argsort(number, kind="stable")
         first = np.searchsorted(number[order], np.arange(len(used)))
-        by_unit = np.concatenate([[0], np.flatnonzero(np.diff(unit[np.argsort(unit, kind="stable")])) + 1])
         unit_order = np.argsort(unit, kind="stable")
+        by_unit = np.concatenate([[0], np.flatnonzero(np.diff(unit[unit_order])) + 1])
         has = np.unique(unit)
+        y, weight, value = (x.astype(np.float32) for x in (y, weight, value))
+        numbers, values = number[unit_order], value[unit_order, None]
+        units_by_number, values_by_number = unit[order], value[order, None]
 
         def scored(w: np.ndarray) -> np.ndarray:
             scores = np.zeros_like(y)
-            scores[has] = np.add.reduceat(w[number[unit_order]] * value[unit_order, None], by_unit, axis=0)
+            scores[has] = np.add.reduceat(w[numbers] * values, by_unit, axis=0)
             return scores
 
         def learnt(rows: np.ndarray) -> np.ndarray:
-            w, square = np.zeros((len(used), y.shape[1])), np.full((len(used), y.shape[1]), 1e-8)
+            w, square = np.zeros((len(used), y.shape[1]), np.float32), np.full((len(used), y.shape[1]), 1e-8, np.float32)
             for _ in range(rounds):
                 miss = (softmax(scored(w)) - y) * (rows * weight)[:, None]
-                slope = np.add.reduceat((miss[unit] * value[:, None])[order], first, axis=0) + 1e-3 * w
+                slope = np.add.reduceat(miss[units_by_number] * values_by_number, first, axis=0) + np.float32(1e-3) * w
                 square += slope**2
-                w -= 0.3 * slope / np.sqrt(square)
+                w -= np.float32(0.3) * slope / np.sqrt(square)
             return w
 
         # The temperature is set on templates that its weights have not seen; the weights in use are of all.
@@ -269,26 +297,38 @@ class Licences:
         return max(agreement(words_of(text).hashes(), f) for f in FAMILIES) >= 0.3
 
 
-_templates: dict[str, list[np.ndarray]] = {}
+_templates: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def pairs_of(family: str) -> list[np.ndarray]:
-    """Of each template of a family its distinct word pairs."""
+def pairs_of(family: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each template of a family its distinct word pairs, and of a short form those of them that name the licence: not of ordinary words alone, nor with a version's number."""
     if family not in _templates:
-        found = [words_of(t).hashes() for t in TEMPLATES[family]]
-        _templates[family] = [np.unique(grams(t, min(2, len(t)))) for t in found]
+        ordinary = np.concatenate([words_of(w).hashes() for w in ORDINARY])
+        made = []
+        for text in TEMPLATES[family]:
+            h = words_of(text).hashes()
+            pairs = grams(h, min(2, len(h)))
+            numbers = np.isin(h, np.concatenate([words_of(str(n)).hashes() for n in range(10)]))
+            plain = np.isin(h, ordinary)
+            names = ~(plain[:-1] & plain[1:] | numbers[:-1] | numbers[1:]) & (text in SHORT.get(family, ()))
+            made.append((np.unique(pairs), np.unique(pairs[: len(names)][names])))
+        _templates[family] = made
     return _templates[family]
 
 
 def agreement(h: np.ndarray, family: str) -> float:
-    """Share of a template's word pairs that a paragraph has, for the best of the family's templates."""
+    """Share of a template's word pairs that a paragraph has, and no more than its share of those that name the licence, for the best of the family's templates."""
     own = np.unique(grams(h, 2))
-    return max(len(np.intersect1d(own, t, assume_unique=True)) / len(t) for t in pairs_of(family))
+
+    def share(pairs: np.ndarray) -> float:
+        return len(np.intersect1d(own, pairs, assume_unique=True)) / len(pairs) if len(pairs) else 1.0
+
+    return max(min(share(pairs), share(names)) for pairs, names in pairs_of(family))
 
 
 def fewest(confirmed: float) -> tuple[np.ndarray, int]:
     """All word pairs of templates, sorted, and how many of them a paragraph must have to confirm any template."""
-    every = [t for f in FAMILIES for t in pairs_of(f)]
+    every = [pairs for f in FAMILIES for pairs, _ in pairs_of(f)]
     return np.unique(np.concatenate(every)), min(int(np.ceil(confirmed * len(t))) for t in every)
 
 

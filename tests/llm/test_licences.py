@@ -117,3 +117,49 @@ def test_sample_is_bounded_and_whole_tables_give_it(spark):
     got = paragraph_sample(docs, documents=40)
     assert len(got) == 40 == len(set(got)) and paragraph_sample(docs.limit(0)) == []
     assert set(paragraph_sample(docs.where("doc_id < 7"), documents=40)) == {"the same line", "line 1", "line 2", "line 4", "line 5"}
+
+
+# Notices as people word them; none of them is a template.
+WORDED = [
+    ("mit", "This project is MIT licensed, see LICENSE for details."),
+    ("mit", "The code in this repository is available under the MIT License (see COPYING)."),
+    ("gpl", "Licensed under GPLv2 or later."),
+    ("gpl", "Distributed under the terms of the GNU GPL v3."),
+    ("gpl", "This plugin may be used under the terms of the GPL version 2."),
+    ("gpl", "Copyright (C) 2009 Someone. License GPLv3 or later, see the file COPYING."),
+    ("apache", "Apache 2.0 licensed."),
+    ("apache", "Code is distributed under the Apache License 2.0, a copy of which is included."),
+    ("bsd", "This package is BSD licensed."),
+    ("bsd", "Copyright 2011 Jane Roe. The BSD 3-Clause License text follows."),
+    ("lgpl", "The library may be used under the terms of the GNU LGPL v2.1."),
+    ("agpl", "Our server is free software under the terms of the GNU AGPL, version 3 only."),
+    ("mpl", "These files are subject to the Mozilla Public License 2.0."),
+    ("cc-by", "Except where otherwise noted, content on this site is licensed under the Creative Commons Attribution 4.0 License."),
+    ("cc-by-sa", "Text is available under the Creative Commons Attribution-ShareAlike License"),
+    ("cc-by-nc", "Photos: published under the Creative Commons Attribution-NonCommercial 2.0 license."),
+    ("cc-by-nc-sa", "Content available under CC BY-NC-SA 3.0"),
+    ("cc-by-nd", "Reports may be shared under CC BY-ND 4.0 with credit."),
+    ("public-domain", "The author has placed this map in the public domain."),
+    ("public-domain", "Data are offered under CC0 1.0 without any warranty."),
+    ("reserved", "(c) 2004 Example Press, Ltd. All rights reserved."),
+]
+NO_NOTICES = [
+    "ISC License",
+    "Boost Software License - Version 1.0",
+    "He renewed the license of the general store under the terms of the lease.",
+    "The public domain of the king was large.",
+    "Students at MIT licensed their patent to a firm.",
+    "The common attribution of this poem to Homer is disputed.",
+    "The foundation published its terms or later gave them up.",
+    "Version 2.0 of the report is available under the heading of trade.",
+    "All rights of the child are reserved to the court.",
+    "A creative commons needs rules.",
+]
+
+
+def test_notices_of_other_wording(spark, model):
+    rows = [(i, t) for i, t in enumerate([t for _, t in WORDED] + NO_NOTICES)]
+    found = {r.doc_id: {x.family for x in r.licences} for r in scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    hits = sum(f in found[i] for i, (f, _) in enumerate(WORDED))
+    assert not {t for _, t in WORDED} & {t for f in FAMILIES for t in TEMPLATES[f]}
+    assert hits >= 0.9 * len(WORDED) and hits >= 0.9 * sum(map(len, found.values()))
