@@ -74,8 +74,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, by: Sequence[str] =
     shards = max(1, -(-rows // shard_rows), min(cores, rows // 4_096))
     blocks = max(1, -(-queries.count() // block_rows))
     cells = ["shard", "block", *own]
-    left = queries.select("query_id", "q", *own).withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
-    right = vectors.select("vec_id", "v", *dict.fromkeys([*by, *own])).withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    # A cell's numbers are ints on both sides: an int and a long of one value hash to different partitions, where the sides would not meet.
+    left = queries.select("query_id", "q", *own).withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
+    right = vectors.select("vec_id", "v", *dict.fromkeys([*by, *own])).withColumns({"shard": F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+    for c in own:
+        left = left.withColumn(c, F.col(c).cast(dict(right.dtypes)[c]))
     left, right = left.dropna(subset=list(own)) if own else left, right.dropna(subset=list(own)) if own else right
     kinds = dict(vectors.dtypes)
     kept = list(dict.fromkeys([*by, *own]))

@@ -96,3 +96,25 @@ def test_every_blocked_kind(spark):
     asked = [p.split("|")[-1] + "函数" for p in P.BLOCKED.values()] + ["今天 Prompt 函数", "函数"]
     rows = spark.createDataFrame([(q,) for q in asked], "q string").select(P.decision(F.col("q"), F.lit(None).cast("string")).alias("d")).collect()
     assert [r.d.reason for r in rows] == ["blocked_non_subject"] * 6 + ["keyword_match"]
+
+
+def test_nearest_whatever_the_partitions(spark):
+    """Each cell's two sides meet however many partitions they are dealt over; ids of queries' own values may be of another width."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(120, 4)).round(3)
+    rows = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(data)], "vec_id long, v array<double>, label long")
+    asked = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("label").cast("int").alias("label"))
+    want = lambda q, ids: sorted(ids, key=lambda i: (-round(float(data[q] @ data[i]), 6), i))[:3]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for own in ([], ["label"]):
+            found = {}
+            for r in V.nearest(asked, rows, 3, own=own, shard_rows=50, block_rows=5).orderBy("query_id", "rank").collect():
+                found.setdefault(r.query_id, []).append(r.vec_id)
+            assert found == {q: want(q, [i for i in range(120) if not own or i % 3 == q % 3]) for q in range(0, 120, 10)}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
