@@ -55,7 +55,7 @@ def looks_like_cover(text: Column) -> Column:
 def noisy_line(line: Column) -> Column:
     """Short lines of a page that are remains of drawings or formulas."""
     n = F.char_length(line)
-    return ((n > 0) & (n <= 10) & F.contains(line, F.lit("~"))) | ((n > 0) & (n <= 8) & F.rlike(line, F.lit(r"[A-Za-z]{2,}.*[^\w\s一-鿿]")))
+    return ((n > 0) & (n <= 10) & F.contains(line, F.lit("~"))) | ((n > 0) & (n <= 8) & F.rlike(line, F.lit(r"[A-Za-z]{2,}.*[^\w\s\p{L}\p{N}一-鿿]")))
 
 
 def page_text(text: Column) -> Column:

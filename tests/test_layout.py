@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quarrystone.functions import banks as K
+from quarrystone.functions.answers import page_text
 from quarrystone.functions.markdown import normalised_markdown
 from quarrystone.operators import layout as L
 from quarrystone.sources.formulas import with_latex
@@ -236,3 +237,8 @@ def test_segments_follow_headings_and_page_maps(spark):
         ("第二章 热", "other", "f", 6, 6, []),
     ]
     assert L.structured_segments(blocks).count() == 4
+
+
+def test_page_text_keeps_short_words_of_any_script(spark):
+    rows = spark.createDataFrame([("Adoó\nEinöge\nabc中\nAB²\nab×\nabc.",)], "text string")
+    assert rows.select(page_text(F.col("text")).alias("t")).first().t == "Adoó\nEinöge\nabc中\nAB²"
