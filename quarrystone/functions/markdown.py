@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from quarrystone.functions.banks import let
 from quarrystone.functions.text import stripped
 
 # What begins a block of its own, and signs that need no backslash in a formula.
 BLOCK_START = r"^(?:#{1,6}\s|[*+-]\s|[0-9]{1,2}(?:\\?\.)\s|[0-9]{1,2}[)）]\s|>\s|```|~~~|\|)"
+BLOCK_STARTS = re.compile(BLOCK_START.replace(r"\s", r"[^\S\x1c-\x1f]"))
 PLAIN_SIGNS = r"\\([_=.#])"
-#: Not behind an odd number of backslashes.
-FREE = r"(?<!(?<!\\)(?:\\\\){0,12}\\)"
+#: Not behind an odd number of backslashes; looked at only where a formula may begin or end, as looking back costs much at every place.
+FREE = r"(?=[$\\])(?<!(?<!\\)(?:\\\\){0,12}\\)"
 CODE = r"```.*?```"
 FORMULAS = (("$$", r"\$\$", r"\$\$"), (r"\[", r"\\\[", r"\\\]"), (r"\(", r"\\\(", r"\\\)"), ("$", r"\$(?!\$)", r"\$"))
 SPAN = "|".join([CODE, *[f"{FREE}{begin}.*?{FREE}{end}" for _, begin, end in FORMULAS]])
@@ -36,27 +40,35 @@ def formula(token: Column) -> Column:
     return out
 
 
-def soft_breaks_joined(text: Column) -> Column:
-    """Lines of a paragraph as one; empty lines, fences and what stands in them, lists, headings, quotes and tables begin anew."""
-
-    def flushed(acc: Column) -> Column:
-        return F.when(acc["now"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(stripped(acc["now"]))))
-
-    def step(acc: Column, raw: Column) -> Column:
-        return let(stripped(raw), lambda line: let(flushed(acc), lambda out: added(acc, line, out)))
-
-    def added(acc: Column, line: Column, out: Column) -> Column:
-        fence = F.startswith(line, F.lit("```")) | F.startswith(line, F.lit("~~~"))
-        own = fence | acc["fence"]
-        begins = ~own & F.rlike(line, F.lit(f"(?U){BLOCK_START}"))
-        goes_on = (line != "") & ~own & ~begins
-        again = F.coalesce(F.try_element_at(out, F.lit(-1)) == "", F.lit(True))
-        next_out = F.when(line == "", F.when(again, out).otherwise(F.concat(out, F.array(F.lit(""))))).when(own, F.concat(out, F.array(line))).when(begins, out).otherwise(acc["out"])
-        now = F.when(begins, line).when(goes_on, F.when(acc["now"] == "", line).otherwise(F.concat(acc["now"], F.lit(" "), line))).otherwise("")
-        return F.struct(next_out.alias("out"), now.alias("now"), F.when((line != "") & fence, ~acc["fence"]).otherwise(acc["fence"]).alias("fence"))
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("now"), F.lit(False).alias("fence"))
-    return F.array_join(F.aggregate(F.split(text, "\n"), start, step, flushed), "\n")
+def joined_lines(text: str) -> str:
+    """See ``soft_breaks_joined``."""
+    out: list[str] = []
+    now: list[str] = []
+    fenced = False
+    for line in map(str.strip, text.split("\n")):
+        fence = line.startswith(("```", "~~~"))
+        begins = not (fence or fenced) and BLOCK_STARTS.match(line) is not None
+        if line and not (fence or fenced or begins):
+            now.append(line)
+            continue
+        if now:
+            out.append(" ".join(now))
+        now = [line] if begins else []
+        if line and not begins:
+            out.append(line)
+        elif not line and out and out[-1]:
+            out.append("")
+        fenced ^= fence
+    return "\n".join([*out, " ".join(now)] if now else out)
+
+
+@F.pandas_udf(StringType())
+def soft_breaks_joined(texts: pd.Series) -> pd.Series:
+    """Lines of a paragraph as one; empty lines, fences and what stands in them, lists, headings, quotes and tables begin anew.
+
+    A line is looked at once: a column of arrays would be copied for each of its lines.
+    """
+    return texts.map(joined_lines)
 
 
 def normalised_markdown(text: Column) -> Column:

@@ -242,3 +242,16 @@ def test_segments_follow_headings_and_page_maps(spark):
 def test_page_text_keeps_short_words_of_any_script(spark):
     rows = spark.createDataFrame([("Adoó\nEinöge\nabc中\nAB²\nab×\nabc.",)], "text string")
     assert rows.select(page_text(F.col("text")).alias("t")).first().t == "Adoó\nEinöge\nabc中\nAB²"
+
+
+def test_places_are_looked_behind_only_where_formulas_may_be(spark):
+    from quarrystone.functions.markdown import FREE
+    from quarrystone.functions.sections import numbered_entries
+
+    assert FREE.startswith(r"(?=[$\\])")
+    text = "word " * 4000 + r"$a  \_b$ \$ \\$c  d$ \(e  f\)"
+    rows = spark.createDataFrame([(text,)], "text string")
+    assert rows.select(normalised_markdown(F.col("text")).alias("t")).first().t == "word " * 4000 + r"$a _b$ \$ \\$c d$ \(e f\)"
+    # The dynamic pattern of a bank stands in the plan once, not in each number's entry.
+    plan = rows.select(numbered_entries(F.lit("1. a 2. b"), F.array(F.lit("1"), F.lit("2"))).alias("e"))
+    assert [tuple(x) for x in plan.first().e] == [("1", "a"), ("2", "b")]
