@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrystone.functions.answers import looks_like_answer
 from quarrystone.functions.sections import ANSWER_HEAD, EXPLANATION_HEAD, OTHER_HEAD, QUESTION_START
-from quarrystone.functions.text import stripped
+from quarrystone.functions.text import let, stripped
 
 # How an entry within a line begins, and the mark of an explanation in the normal form.
 ENTRY_START = r"(?:第\s*\d+\s*题|\d{1,3}\s*[.．、)])"
@@ -18,11 +16,6 @@ EXPLAINED = "解析："
 FIRST_NUMBER = r"(?U)^\D*(\d+)"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def filled(text: Column) -> Column:
     return F.nullif(stripped(text), F.lit(""))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrystone.functions.policy import any_word
-from quarrystone.functions.text import stripped, structure_key
+from quarrystone.functions.text import let, stripped, structure_key
 
 # Heads of sections in answer banks, and lines of banks that belong to neither section.
 ANSWER_HEAD = r"【?(?:参考)?答案】?\s*(?:[:：]\s*)?"
@@ -27,7 +27,7 @@ STRUCTURED_KINDS = ["knowledge_note", "textbook", "exercise", "question_set"]
 
 def _filled(text: Column) -> Column:
     """Stripped; null where nothing is left."""
-    return F.nullif(stripped(text), F.lit(""))
+    return let(stripped(text), lambda t: F.when(t != "", t))
 
 
 def _lines(text: Column) -> Column:
@@ -56,7 +56,9 @@ def answer_sections(text: Column) -> Column:
     start = F.struct(F.lit(False).alias("why"), none.alias("a"), none.alias("e"))
 
     def whole(acc: Column) -> Column:
-        answer, why = _filled(F.array_join(acc["a"], "\n")), _filled(F.array_join(acc["e"], "\n"))
+        return let(_filled(F.array_join(acc["a"], "\n")), lambda answer: let(_filled(F.array_join(acc["e"], "\n")), lambda why: told(answer, why)))
+
+    def told(answer: Column, why: Column) -> Column:
         after = f"(?dU)^(.*?)\\s+({EXPLANATION_HEAD}.+)$"
         marked = why.isNull() & F.rlike(answer, F.lit(f"(?U){EXPLANATION_MARK}"))
         spaced = why.isNull() & ~marked & F.rlike(answer, F.lit(after.replace(".*?", ".+?")))
@@ -81,17 +83,20 @@ def numbered_entries(text: Column, numbers: Column) -> Column:
     next beginning of any expected number.
     """
     wanted = F.filter(F.array_distinct(F.transform(numbers, stripped)), lambda n: n != "")
-    longest_first = F.array_sort(wanted, lambda a, b: F.char_length(b) - F.char_length(a))
-    any_number = F.array_join(F.transform(longest_first, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
-    begin = F.concat(F.lit("(?U)(?:("), any_number, F.lit(r")\s*[.．、)]|(?<![^\s；;。])第\s*("), any_number, F.lit(r")\s*题)"))
-    parts = F.split(F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), begin, F.lit("\x1e$1$2\x1f")), "\x1e")
-    cells = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("\x1f"))), lambda p: F.split(p, "\x1f"))
-    filled = F.filter(cells, lambda c: stripped(c[1]) != "")
 
-    def entry(n: Column) -> Column:
-        return F.struct(n.alias("number"), stripped(F.try_element_at(F.filter(filled, lambda c: c[0] == n), F.lit(-1))[1]).alias("entry"))
+    def filled(wanted: Column) -> Column:
+        longest_first = F.array_sort(wanted, lambda a, b: F.char_length(b) - F.char_length(a))
+        any_number = F.array_join(F.transform(longest_first, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+        begin = F.concat(F.lit("(?U)(?:("), any_number, F.lit(r")\s*[.．、)]|(?<![^\s；;。])第\s*("), any_number, F.lit(r")\s*题)"))
+        parts = F.split(F.regexp_replace(stripped(F.coalesce(text, F.lit(""))), begin, F.lit("\x1e$1$2\x1f")), "\x1e")
+        cells = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("\x1f"))), lambda p: F.split(p, "\x1f"))
+        return F.filter(cells, lambda c: stripped(c[1]) != "")
+
+    def entry(n: Column, cells: Column) -> Column:
+        return F.struct(n.alias("number"), stripped(F.try_element_at(F.filter(cells, lambda c: c[0] == n), F.lit(-1))[1]).alias("entry"))
 
-    return F.transform(wanted, entry)
+    # The text is searched once, not anew for each number.
+    return let(wanted, lambda ns: let(filled(ns), lambda cells: F.transform(ns, lambda n: entry(n, cells))))
 
 
 def readable(text: Column) -> Column:
