@@ -162,8 +162,9 @@ def quota_remaining(spark, d):
 
 def cut_in_pieces(turns, size=7):
     """Turns as streams of pieces of so many characters."""
-    n = F.greatest(F.ceil(F.char_length("text") / size), F.lit(1)).cast("int")
-    cut = turns.select(F.concat_ws("-", "conv_id", "turn").alias("key"), n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.substr("text", (i - 1) * size + 1, F.lit(size)))).alias("seq", "piece"))
+    # In one pass: a place in a string is only found by reading it from its start.
+    pieces = F.when(F.char_length("text") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).otherwise(F.array("text"))
+    cut = turns.select(F.concat_ws("-", "conv_id", "turn").alias("key"), pieces.alias("pieces")).select("key", F.size("pieces").alias("n"), F.posexplode("pieces").alias("seq", "piece"))
     return cut.select("key", F.col("seq").cast("long").alias("seq"), "piece", (F.col("seq") == F.col("n") - 1).alias("done"))
 
 

@@ -235,7 +235,14 @@ def hidden_spans(opening: str = "<think>", closing: str = "</think>") -> Fold:
     """key, seq, piece, done: what lies between the tags goes, wherever pieces cut a tag."""
 
     def tail(text: str, *tags: str) -> int:
-        return max((n for tag in tags for n in range(1, len(tag)) if text.endswith(tag[:n])), default=0)
+        most = 0
+        for tag in tags:
+            # A tag that is cut at the end begins at one of its first characters there.
+            at = text.find(tag[0], max(0, len(text) - len(tag) + 1))
+            while at >= 0 and not tag.startswith(text[at:]):
+                at = text.find(tag[0], at + 1)
+            most = max(most, len(text) - at if at >= 0 else 0)
+        return most
 
     def step(state: dict, row: Row) -> list[Row]:
         text, shown = state["rest"] + (row["piece"] or ""), ""
