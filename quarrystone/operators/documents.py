@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,6 +134,44 @@ QUESTION_START = r"^\s*(?:第\s*(\d{1,3})\s*题[.、:：]?|(\d{1,3})\s*[.、．]
 ANSWER_HEADING = r"(?i)^\s*(?:参考答案|答案|answers?|answer key)(?:与解析)?\s*[:：]?\s*$"
 EXPLANATION_HEADING = r"(?i)^\s*(?:解析|试题解析|explanations?)\s*[:：]?\s*$"
 CATEGORY_HEADING = r"(?i)^\s*(?:[一二三四五六七八九十]+\s*[、.]\s*\S{0,12}题.*|part\s+\w+.*)$"
+HEADINGS = [(kind, re.compile(p, re.ASCII)) for kind, p in (("answer", ANSWER_HEADING), ("explanation", EXPLANATION_HEADING), ("question", CATEGORY_HEADING))]
+NUMBERED = re.compile(QUESTION_START, re.ASCII)
+
+
+def slices_of(text: str) -> list[tuple]:
+    """The questions of one text: group, number, question, answer, explanation, suffix."""
+    mode, grp = "question", 0
+    greatest: dict[tuple, int] = {}
+    blocks: dict[tuple, list] = {}
+    for line in re.split("\r?\n", text):
+        if not line.strip(" "):
+            continue
+        heading = next((kind for kind, pattern in HEADINGS if pattern.search(line)), None)
+        if heading:
+            grp += heading == "question" and mode != "question"
+            mode = heading
+            continue
+        own = blocks.setdefault((grp, mode), [])
+        begin = NUMBERED.match(line)
+        number = int(next(g for g in begin.groups() if g)) if begin else 0
+        if number > greatest.get((grp, mode), 0):
+            own.append((number, [line[begin.end() :].strip(" ")]))
+            greatest[grp, mode] = number
+        elif own:
+            own[-1][1].append(line.strip(" "))
+    near: dict[tuple, str] = {}
+    bank: dict[tuple, str] = {}
+    for (group, kind), own in sorted(blocks.items()):
+        for number, said in own:
+            near[kind, group, number] = bank[kind, number] = "\n".join(said)
+    asked = [(group, number) for kind, group, number in near if kind == "question"]
+    of, seen = Counter(number for _, number in asked), Counter()
+    out = []
+    for group, number in asked:
+        seen[number] += 1
+        told = (near.get((kind, group, number), bank.get((kind, number))) for kind in ("answer", "explanation"))
+        out.append((group, number, near["question", group, number], *told, f"v:{seen[number]}" if of[number] > 1 else ""))
+    return out
 
 
 def question_slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,40 +181,22 @@ def question_slices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     and into modes (question, answer, explanation) by the last heading before
     them; a numbered line begins a block unless its number is no greater than
     the last question's. Answers and explanations join by number within their
-    group, else within the document's last group.
+    group, else within the document's last group. A document is sliced where it
+    is read: nothing is shuffled, and no more than its own lines are held.
     """
-    line = F.col("line")
-    lines = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\r?\n")).alias("no", "line")).where(F.trim(line) != "")
-    order = Window.partitionBy("doc").orderBy("no")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    heading = F.when(line.rlike(ANSWER_HEADING), "answer").when(line.rlike(EXPLANATION_HEADING), "explanation").when(line.rlike(CATEGORY_HEADING), "question")
-    marked = lines.withColumn("heading", heading).withColumn("mode", F.coalesce(F.last("heading", True).over(so_far), F.lit("question")))
-    turns = F.when((F.col("heading") == "question") & F.lag("mode").over(order).isin("answer", "explanation"), 1).otherwise(0)
-    marked = marked.withColumn("turn", turns).withColumn("grp", F.sum("turn").over(so_far)).where(F.col("heading").isNull())
-    number = F.coalesce(*[F.expr(f"nullif(regexp_extract(line, r'{QUESTION_START}', {k}), '')") for k in (1, 2, 3)]).cast("int")
-    within = Window.partitionBy("doc", "grp", "mode").orderBy("no")
-    before = within.rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("number", number)
-    greatest = F.coalesce(F.max("number").over(before), F.lit(0))
-    starts = F.col("number").isNotNull() & (F.col("number") > greatest)
-    blocks = marked.withColumn("block", F.sum(F.when(starts, 1).otherwise(0)).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    said = F.when(starts, F.regexp_replace("line", QUESTION_START, "")).otherwise(F.col("line"))
-    whole = (
-        blocks.withColumns({"said": F.trim(said), "start": F.when(starts, F.col("number"))})
-        .where("block > 0")
-        .groupBy("doc", "grp", "mode", "block")
-        .agg(F.max("start").alias("number"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "said"))), lambda s: s["said"]), "\n").alias("text"))
-    )
-    questions = whole.where("mode = 'question'").select("doc", "grp", "number", F.col("text").alias("question"))
-    out = questions
-    for mode in ("answer", "explanation"):
-        own = whole.where(F.col("mode") == mode)
-        bank = own.groupBy("doc", "number").agg(F.max_by("text", "grp").alias(f"{mode}_bank"))
-        near = own.groupBy("doc", "grp", "number").agg(F.max("text").alias(f"{mode}_near"))
-        out = out.join(near, ["doc", "grp", "number"], "left").join(bank, ["doc", "number"], "left").withColumn(mode, F.coalesce(f"{mode}_near", f"{mode}_bank")).drop(f"{mode}_near", f"{mode}_bank")
-    alike = Window.partitionBy("doc", "number")
-    suffix = F.when(F.count("*").over(alike) > 1, F.concat(F.lit("v:"), F.row_number().over(alike.orderBy("grp")))).otherwise("")
-    return out.select(F.col("doc").alias(id_col), F.col("grp").cast("int").alias("group_no"), "number", "question", "answer", "explanation", suffix.alias("suffix"))
+    fields = [("group_no", pa.int32()), ("number", pa.int32()), *((c, pa.string()) for c in ("question", "answer", "explanation", "suffix"))]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1024):
+                part = batch.slice(start, 1024)
+                found = [(i, *s) for i, text in enumerate(part.column(1).to_pylist()) if text is not None for s in slices_of(text)]
+                at, *columns = zip(*found, strict=True) if found else [()] * (len(fields) + 1)
+                arrays = [part.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, *(c for c, _ in fields)])
+
+    schema = f"`{id_col}` {dict(docs.dtypes)[id_col]}, group_no int, number int, question string, answer string, explanation string, suffix string"
+    return docs.select(id_col, text_col).mapInArrow(cut, schema)
 
 
 def slice_audit(slices: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -198,21 +220,73 @@ def slice_audit(slices: DataFrame, id_col: str = "doc_id") -> DataFrame:
 # ---------------------------------------------------------------- tags and titles
 
 
+#: Bits that tell which strings may be tags; with more tags they tell less, and change no result.
+TAG_BITS = 1 << 24
+#: Shares of the titles that meet each tag, so that a tag of very many titles is no single task's.
+TAG_SHARES = 16
+
+
+def run_hashes(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For n = 1, 2 ... the number of a bit of each run of n characters."""
+    h = np.zeros(len(codes) + 1, dtype=np.uint64)
+    for n in range(1, min(longest, len(codes)) + 1):
+        h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :]
+        x = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield n, (x >> np.uint64(40)) & np.uint64(TAG_BITS - 1)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+
+
+def tag_bits(vocabulary: DataFrame) -> np.ndarray:
+    """A bit of each key is set."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([int(found[0]) for key in batch.column(0).to_pylist() for n, found in run_hashes(code_points(key), len(key)) if n == len(key)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(bits)], names=["bit"])
+
+    marks = vocabulary.select("key").mapInArrow(mark, "bit long").groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("bits")).toArrow()
+    words = np.zeros(TAG_BITS // 64, dtype=np.uint64)
+    words[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view(np.uint64)
+    return words
+
+
 def contained_tags(titles: DataFrame, tags: DataFrame) -> DataFrame:
     """Tags that stand anywhere in titles, longest first, without those inside another that was taken: title_id, tags.
 
-    Runs of white space in a title count as one space. Of each title the
-    substrings of just the lengths that tags have meet the tags by equality;
-    no title is paired with tags that it does not have.
+    Runs of white space in a title count as one space. Of each title only the
+    substrings of just the lengths that tags have go on, and of these those
+    that a bounded number of bits does not rule out; they meet the tags by
+    equality. No title is paired with tags that it does not have.
     """
     vocabulary = tags.select(F.lower(F.trim("tag")).alias("key")).where("key <> ''").distinct()
-    lengths = vocabulary.select(F.char_length("key").alias("n")).distinct()
-    whole = titles.select("title_id", F.regexp_replace(F.lower(F.trim("title")), r"\s+", " ").alias("whole"))
-    sized = whole.join(F.broadcast(lengths), F.char_length("whole") >= F.col("n"))
-    starts = F.sequence(F.lit(1), F.char_length("whole") - F.col("n") + 1)
-    grams = sized.select("title_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("whole", i, F.col("n"))))).alias("key")).distinct()
-    hits = grams.join(vocabulary, "key")
-    listed = hits.groupBy("title_id").agg(F.array_sort(F.collect_list(F.struct((-F.char_length("key")).alias("n"), "key"))).alias("hits"))
+    lengths = {r.n for r in vocabulary.select(F.char_length("key").alias("n")).distinct().collect()}
+    told = titles.sparkSession.sparkContext.broadcast((lengths, tag_bits(vocabulary)))
+    whole = titles.select("title_id", F.regexp_replace(F.lower(F.trim("title")), r"\s+", " ").alias("whole")).where("whole <> ''")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, words = told.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            one = "".join(texts)
+            ends = np.cumsum([len(t) for t in texts])
+            row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+            left = ends[row] - np.arange(len(one))
+            at, keys = [], []
+            for n, bit in run_hashes(code_points(one), max(wanted, default=0)):
+                if n in wanted:
+                    may = (words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    hits = np.flatnonzero(may & (left[: len(bit)] >= n))
+                    at.append(row[hits])
+                    keys += [one[i : i + n] for i in hits.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate([*at, np.zeros(0, np.int64)]).astype(np.int64))), pa.array(keys, pa.string())], names=["title_id", "key"])
+
+    kind = dict(titles.dtypes)["title_id"]
+    grams = whole.mapInArrow(found, f"title_id {kind}, key string").withColumn("share", F.pmod(F.xxhash64("title_id"), F.lit(TAG_SHARES)).cast("int"))
+    hits = grams.join(vocabulary.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(TAG_SHARES - 1)))), ["key", "share"])
+    listed = hits.groupBy("title_id").agg(F.array_sort(F.collect_set(F.struct((-F.char_length("key")).alias("n"), "key"))).alias("hits"))
     none = F.array().cast("array<string>")
     taken = F.aggregate("hits.key", none, lambda kept, t: F.when(F.exists(kept, lambda k: F.contains(k, t)), kept).otherwise(F.concat(kept, F.array(t))))
     return listed.select("title_id", taken.alias("tags"))

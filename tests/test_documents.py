@@ -139,3 +139,27 @@ def test_reconcile_and_missing(spark):
     assert {r.n for r in C.missing(rows, known, "name").collect()} == {1, 2, 4, 5}
     page = C.page_with_total(rows, ["n"], 2, 2).collect()
     assert [(r.n, r.total) for r in page] == [(3, 5), (4, 5)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_slices_and_tags_without_large_shuffles(spark):
+    docs = spark.createDataFrame([(7, "1. a?\n2. b\r\nmore\nAnswers\n2. x\nPart 2\n1. c\nanswers:\n1. y\n3. z"), (8, None), (9, "")], "doc_id int, text string")
+    cut = D.question_slices(docs)
+    assert [tuple(r) for r in cut.collect()] == [(7, 0, 1, "a?", "y", None, "v:1"), (7, 0, 2, "b\nmore", "x", None, ""), (7, 1, 1, "c", "y", None, "v:2")]
+    assert "Window" not in plan_of(cut) and "Join" not in plan_of(cut)
+    titles = spark.createDataFrame([(i, "a common title") for i in range(50)], "title_id long, title string")
+    found = D.contained_tags(titles, spark.createDataFrame([("common",), ("mm",), ("none of them",)], "tag string"))
+    assert {tuple(r.tags) for r in found.collect()} == {("common",)}
+    assert "Generate explode(array_distinct" not in plan_of(found)
+
+
+def test_pieces_in_one_pass(spark):
+    from quarrystone.plans.document_queries import cut_in_pieces
+
+    rows = [(1, 1, "abc\n😀fgh😀"), (1, 2, ""), (1, 3, None), (1, 4, "1234567")]
+    cut = cut_in_pieces(spark.createDataFrame(rows, "conv_id long, turn int, text string"))
+    assert sorted(map(tuple, cut.collect()), key=str) == [("1-1", 0, "abc\n😀fg", False), ("1-1", 1, "h😀", True), ("1-2", 0, "", True), ("1-3", 0, None, True), ("1-4", 0, "1234567", True)]
+    assert "substr" not in plan_of(cut)
