@@ -37,7 +37,8 @@ def office_files(docs):
 
         shown = '<w:p><w:r><w:drawing><a:blip r:embed="p"/></w:drawing></w:r></w:p>'
         for batch in batches:
-            for row in batch.to_pylist():
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
                 power = f"<w:p><m:oMath><m:sSup><m:e><m:r><m:t>x</m:t></m:r></m:e><m:sup><m:r><m:t>{row['n_chars']}</m:t></m:r></m:sup></m:sSup></m:oMath></w:p>"
                 body = "".join(map(said, (row["text"] or "").split("\n"))) + grid([said(row["lang"] or ""), said(row["source"] or "") + grid([said(row["doc_id"]), shown])], [said(""), power]) + shown
                 out = io.BytesIO()
