@@ -1,10 +1,12 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
 import pytest
 
 from quarrystone.llm.repeats import remove_repeats
+from quarrystone.llm.shared import shared_dir
 
 
 def brute(texts, length):
@@ -88,3 +90,13 @@ def test_query(spark, sf_dir):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     names = ("kept_sha256", "n_bytes", "n_removed", "n_spans")
     assert {r["doc_id"]: tuple(r[c] for c in names) for r in con.sql(ORACLE).to_arrow_table().to_pylist()} == out
+
+
+def test_only_the_starts_stay_saved(spark):
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    docs = spark.createDataFrame([(i, f"{i} " + "some words that stand in each text " * 20) for i in range(4)], "doc_id long, text string")
+    done = remove_repeats(docs)
+    left = set(os.listdir(folder)) - before
+    assert {p.rsplit("-", 1)[0] for p in left} == {"repeated-starts"}
+    assert all(r.n_removed > 600 for r in done.collect())
