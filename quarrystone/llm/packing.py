@@ -49,7 +49,7 @@ class Ids(dict):
     a token that ends a word tells so by its suffix. A full table starts anew.
     """
 
-    MOST = 1_200_000
+    MOST = 800_000
 
     def __init__(self, path: str):
         super().__init__()
@@ -94,32 +94,33 @@ KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 1
 
 
 class Table:
-    """Ids of words by the words' hashes, so that whole buffers are looked up at once."""
+    """Ids of words by the words' hashes, so that whole buffers are looked up at once.
+
+    Sorted arrays, of some 40 bytes a word: a dict takes several times that, in
+    every worker. A full table starts anew.
+    """
+
+    #: Ids of all words together: long words have many.
+    MOST_IDS = 1 << 22
 
     def __init__(self, path: str):
         self.words = Ids(path)
         self.clear()
 
     def clear(self) -> None:
-        self.places: dict[int, int] = {}
-        self.flat, self.start, self.size = np.zeros(1 << 16, dtype="<u4"), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
+        self.keys, self.flat = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype="<u4")
+        self.start, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Words that are not known yet, by ascending hashes."""
         self.words.clear()
         self.words.learn(words)
-        raw = [np.frombuffer(self.words[w], dtype="<u4") for w in words]
-        n, m = len(self.places), sum(map(len, raw))
-        while n + len(raw) > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-        while self.used + m > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        sizes = np.array([len(r) for r in raw], dtype=np.int64)
-        self.size[n : n + len(raw)] = sizes
-        self.start[n : n + len(raw)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + m] = np.concatenate(raw)
-        self.used += m
-        self.places.update(zip(hashes, range(n, n + len(raw)), strict=True))
+        raw = [self.words[w] for w in words]
+        size = np.array([len(r) // 4 for r in raw], dtype=np.int64)
+        start = len(self.flat) + np.cumsum(size) - size
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(raw), dtype="<u4")])
+        at = np.searchsorted(self.keys, hashes)
+        self.keys, self.start, self.size = np.insert(self.keys, at, hashes), np.insert(self.start, at, start), np.insert(self.size, at, size)
 
     def of(self, column: pa.Array) -> Iterator[bytes]:
         """The ids of whole texts."""
@@ -136,6 +137,7 @@ class Table:
             bounds, ids = self.looked_up(low, kind, at)
             for i, plain in enumerate((~odd).tolist()):
                 yield ids[bounds[i] : bounds[i + 1]].tobytes() if plain else next(self.words.of([column[lo + i].as_py()]))
+            self.words.clear()
 
     def looked_up(self, low: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bounds of each text's ids, and the ids of all."""
@@ -152,16 +154,18 @@ class Table:
         np.cumsum(VALUES[low] * up[:n], out=sums[1:])
         hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
         keys, first, where = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.places) > Ids.MOST:
+        if len(self.keys) > Ids.MOST or len(self.flat) > self.MOST_IDS:
             self.clear()
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.places]
-        if new:
+        at_key = np.searchsorted(self.keys, keys)
+        known = at_key < len(self.keys)
+        known[known] = self.keys[at_key[known]] == keys[known]
+        new = np.flatnonzero(~known)
+        if len(new):
             raw = low.tobytes()
             at_first = first[new]
             words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at_first].tolist(), ends[at_first].tolist(), strict=True)]
-            self.learn([keys[i] for i in new], words)
-        place = np.array([self.places[k] for k in keys], dtype=np.int64)[where]
+            self.learn(keys[new], words)
+        place = np.searchsorted(self.keys, keys)[where]
         size = self.size[place]
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
@@ -350,6 +354,9 @@ def one_plan(histogram: dict[int, int], cap: int, groups: int, large: float) ->
 
 # ---------------------------------------------------------------- Spark
 
+#: Bytes of the batches of texts that a task gets at once (a longer text is a batch of its own).
+BATCH = 4 << 20
+
 
 def pack(docs: DataFrame, tokenizer: str, cap: int = 2048, end_id: int = 0, groups: int = 48, large: tuple[float, ...] = (1 / 8, 1 / 3, 1 / 2), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents of ``docs`` into sequences of at most ``cap`` tokens.
@@ -362,7 +369,7 @@ def pack(docs: DataFrame, tokenizer: str, cap: int = 2048, end_id: int = 0, grou
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    cut = saved(pieces(rows, tokenizer, cap, end_id, with_ids), "pieces")
+    cut = saved(pieces(rows, tokenizer, cap, end_id, with_ids), "pieces", BATCH)
     # At most cap rows, whatever the corpus.
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = plan(histogram, cap, groups, large)

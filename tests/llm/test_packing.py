@@ -41,6 +41,53 @@ def test_table_equals_the_tokenizer(tokenizer, spark, sf_dir, monkeypatch):
     assert list(table.of(K.text_array(pa.array([], pa.string())))) == []
 
 
+def test_a_table_of_many_words_is_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    dice, n = random.Random(3), 60_000
+    words = ["".join(dice.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(n)]
+    texts = K.text_array(pa.array([" ".join(words[k : k + 2000]) for k in range(0, n, 2000)]))
+    table = K.Table(PATH)
+    K.powers(1 << 20)  # kept for all tables
+    tracemalloc.start()
+    assert sum(map(len, table.of(texts))) > 4 * n
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 80 * n
+
+
+def test_a_table_of_long_words_starts_anew(tokenizer, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(K.Table, "MOST_IDS", 1000, raising=False)
+    dice = random.Random(4)
+    texts = ["".join(dice.choices("bcdfghjklmnpqrstvwxz", k=4000)) for _ in range(6)]
+    table = K.Table(PATH)
+    for t in texts:
+        assert list(table.of(K.text_array(pa.array([t])))) == [exact(tokenizer, t)]
+        assert len(table.flat) < 5000
+
+
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            rest = [pa.array([x] * b.num_rows, t) for x, t in ((0, pa.int32()), (0, pa.int64()), (1, pa.int64()), (b.nbytes, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *rest], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(K, "BATCH", 100_000)
+    monkeypatch.setattr(K, "pieces", lambda rows, *_: rows.mapInArrow(sizes, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    docs = spark.createDataFrame([(i, "word " * 2000) for i in range(100)], "doc_id long, text string").coalesce(1)
+    seen = [r.ids_crc32 for r in K.pack(docs, PATH).collect()]
+    assert len(seen) == 100 and max(seen) < 200_000
+    assert spark.conf.get(key) == before
+
+
 def places(histogram, slots, cap):
     ranks, sequences = defaultdict(list), defaultdict(list)
     for length, first, n, per, s, offset in slots.tolist():
