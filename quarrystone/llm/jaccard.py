@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.components import components
-from quarrystone.llm.shared import saved
+from quarrystone.llm.shared import BATCH, arrow_batches, saved
 from quarrystone.llm.words import NONSPACE, Words, grams, mixed, pieces
 from quarrystone.sources.tables import table
 
@@ -272,6 +272,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75, id_col: s
     ways a bucket's first member is found, never what is found.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, size, percent, hot)
+
+
+def _near_duplicates(docs: DataFrame, size: int, percent: int, hot: int) -> DataFrame:
+    """Of doc_id and text. All that runs in Python is run here; what is returned joins saved tables."""
     sets = saved(prefixes(docs, counts_of(docs, size), size, percent, hot), "prefixes")
 
     full = sets.where("doc_id IS NOT NULL AND n > 0")

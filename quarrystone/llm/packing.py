@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.shared import partitions, saved
+from quarrystone.llm.shared import BATCH, partitions, saved
 from quarrystone.llm.words import VALUES, mixed, powers, text_array
 from quarrystone.llm.words import pieces as pieces_of
 from quarrystone.sources.tables import table
@@ -354,9 +354,6 @@ def one_plan(histogram: dict[int, int], cap: int, groups: int, large: float) ->
 
 # ---------------------------------------------------------------- Spark
 
-#: Bytes of the batches of texts that a task gets at once (a longer text is a batch of its own).
-BATCH = 4 << 20
-
 
 def pack(docs: DataFrame, tokenizer: str, cap: int = 2048, end_id: int = 0, groups: int = 48, large: tuple[float, ...] = (1 / 8, 1 / 3, 1 / 2), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all documents of ``docs`` into sequences of at most ``cap`` tokens.

@@ -81,3 +81,43 @@ def test_stages_on_odd_rows(spark, sf_dir):
 def test_stages_on_no_rows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     assert [(name, stage(spark, docs, sf_dir).count()) for name, stage in P.STAGES] == [(name, 0) for name, _ in P.STAGES]
+
+
+def test_stages_take_small_arrow_batches(spark, sf_dir):
+    """Neither the JVM nor a worker holds many texts at once: a batch has about 4 MB, be the rows of a task 20 MB."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = F.transform(F.sequence(F.lit(1), F.lit(1500)), lambda i: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", i), F.lit(999)).cast("string")))
+    rows = spark.range(2000, numPartitions=1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"))
+    rows = saved(rows.select(*[c if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in docs.dtypes]).coalesce(1), "long-texts")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes]), pa.array([b.num_rows])], names=["size", "rows"])
+
+    stages = dict(P.STAGES)
+    for name in ("quality_classifier", "benchmark_decontamination"):
+        spark.conf.set(key, before)
+        out = stages[name](spark, rows, sf_dir).mapInArrow(sizes, "size long, rows long")
+        seen = out.agg(F.max("size").alias("most"), F.sum("rows").alias("rows")).first()
+        assert seen.rows is None or seen.most < 6 << 20, (name, seen)
+    assert seen.rows == 2000
+    spark.conf.set(key, before)
+
+
+def test_near_duplicates_take_small_arrow_batches(spark, monkeypatch):
+    from quarrystone.llm import components, jaccard
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(key)
+    for module in (jaccard, components):
+        monkeypatch.setattr(module, "saved", lambda df, *a, **b: seen.append(int(df.sparkSession.conf.get(key).rstrip("b"))) or saved(df, *a, **b))
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, "other words")], "doc_id long, text string")
+    assert {tuple(r)[::2] for r in jaccard.near_duplicates(docs).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert seen and max(seen) <= 4 << 20
+    assert spark.conf.get(key) == before
