@@ -7,6 +7,9 @@ by the names of their pairs and count these; a name that is frequent over the
 whole corpus gets its row by joins with its two parents, from which it takes
 the counts of all its beginnings and ends. So the parents serve to cut a phrase
 at any place, and to look up what a longer phrase stands for.
+
+Names are shuffled in blocks: a task's names of one range of hashes, sorted, as
+the gaps between them, which are two bytes shorter than the names.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.frequent import MOST_BITS, Frequent
-from quarrystone.llm.shared import saved
+from quarrystone.llm.shared import BATCH, partitions, saved
 from quarrystone.llm.words import GRAM, Words, mixed, pieces, unmixed
 from quarrystone.sources.tables import table
 
@@ -35,6 +39,11 @@ WORD[list(b" \t")] = False
 #: Names that a task gathers before it counts them, and words that it remembers to have told.
 GATHER = 1 << 22
 TOLD = 1 << 19
+#: A block of names with their counts.
+BLOCKS = pa.schema([("part", pa.int32()), ("many", pa.int32()), ("names", pa.binary()), ("counts", pa.binary())])
+#: A block of names with what they stand for: the names' left parents, or the words of a language, a line each.
+ENTRIES = pa.schema([("level", pa.int32()), ("part", pa.int32()), ("many", pa.int32()), ("names", pa.binary()), ("lefts", pa.binary()), ("lang", pa.string()), ("words", pa.string())])
+
 
 def levels(w: Words, of_text: np.ndarray, known: list[Frequent]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For 1, 2 ... words, up to one more than is known: the name of the phrase at each word, and whether there is one whose parents are frequent."""
@@ -62,10 +71,48 @@ def read(batch: pa.RecordBatch) -> Iterator[tuple[Words, np.ndarray, list[str]]]
         yield Words(raw, at, WORD), np.array([seeds[x] for x in langs[i:j]], dtype=np.uint64), langs[i:j]
 
 
+def range_bits(spark: SparkSession) -> int:
+    """Names are dealt out by so many of their first bits: at least four ranges for each shuffle partition.
+
+    A task makes a block for each, so that more would make blocks of few names.
+    """
+    return max(10, (4 * partitions(spark)).bit_length())
+
+
+def packed(names: np.ndarray, bits: int) -> Iterator[tuple[int, slice, bytes]]:
+    """Sorted distinct names by range: its number, their places, and the gaps between them in as few bytes each as hold the largest."""
+    if not len(names):
+        return
+    number = (names >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1])
+    gaps = names.astype("<u8")
+    gaps[1:] -= names[:-1]
+    gaps[first] = names[first] & np.uint64((1 << (64 - bits)) - 1)
+    raw = gaps.view(np.uint8).reshape(-1, 8)
+    ends = [*first[1:].tolist(), len(names)]
+    for a, b, k, most in zip(first.tolist(), ends, number[first].tolist(), np.maximum.reduceat(gaps, first).tolist(), strict=True):
+        yield k, slice(a, b), raw[a:b, : max(1, (most.bit_length() + 7) // 8)].tobytes()
+
+
+def unpacked(number: int, many: int, raw: bytes, bits: int) -> np.ndarray:
+    """The names of one range."""
+    wide = np.zeros((many, 8), dtype=np.uint8)
+    wide[:, : len(raw) // many] = np.frombuffer(raw, dtype=np.uint8).reshape(many, -1)
+    return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64) + (np.uint64(number) << np.uint64(64 - bits))
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows that agree in their first ``keys`` columns and follow each other."""
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    for key, own in groupby(rows, lambda r: r[:keys]):
+        yield key, [r[keys:] for r in own]
+
+
 def counts(docs: DataFrame, known: list[Frequent], label: str, min_count: int) -> DataFrame:
     """name, n (and for single words lang) of all phrases one word longer than is known; but for words only those of ``min_count``."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     words = not known
+    bits = range_bits(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -74,7 +121,14 @@ def counts(docs: DataFrame, known: list[Frequent], label: str, min_count: int) -
         def flushed() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
                 found, n = np.unique(np.concatenate(parts), return_counts=True)
-                columns = [pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([lang] * len(found) if words else np.full(len(found), None), pa.string())]
+                if not words:
+                    # Counts by the place of their bytes: all but the first are mostly zero.
+                    by_byte = n.astype("<u4").view(np.uint8).reshape(-1, 4)
+                    rows = [(k, own.stop - own.start, raw, by_byte[own].T.tobytes()) for k, own, raw in packed(found, bits)]
+                    for k in range(0, len(rows), 256):
+                        yield pa.RecordBatch.from_pylist([dict(zip(BLOCKS.names, r, strict=True)) for r in rows[k : k + 256]], BLOCKS)
+                    continue
+                columns = [pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), pa.array([lang] * len(found), pa.string())]
                 for k in range(0, len(found), 1 << 16):
                     yield pa.RecordBatch.from_arrays([c.slice(k, 1 << 16) for c in columns], names=["name", "n", "lang"])
 
@@ -94,36 +148,55 @@ def counts(docs: DataFrame, known: list[Frequent], label: str, min_count: int) -
                     held, size = {}, 0
         yield from flushed()
 
-    rows = docs.mapInArrow(count, "name long, n long, lang string")
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (k,), rows in runs(batches, 1):
+            names = np.concatenate([unpacked(k, many, raw, bits) for many, raw, _ in rows])
+            n = np.concatenate([np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4")[:, 0] for _, _, raw in rows])
+            found, at = np.unique(names, return_inverse=True)
+            total = np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
+            often = total >= min_count
+            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(total[often])], names=["name", "n"])
+
     if words:
+        rows = docs.mapInArrow(count, "name long, n long, lang string")
         return saved(rows.groupBy("lang", "name").agg(F.sum("n").alias("n")), label)
-    return saved(rows.groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), label)
+    rows = docs.mapInArrow(count, "part int, many int, names binary, counts binary").repartition("part").sortWithinPartitions("part")
+    return saved(rows.mapInArrow(added, "name long, n long"), label, BATCH)
 
 
 def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
     """level, name and either lang and word or the names of both parents, of all names that may be frequent."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
-    def batch_of(level: int, found: np.ndarray, left: np.ndarray | None, lang: list | None, word: list | None) -> pa.RecordBatch:
-        n = len(found)
-        sides = [pa.nulls(n, pa.int64()) if left is None else pa.array(left.view(np.int64))]
-        texts = [pa.nulls(n, pa.string()) if x is None else pa.array(x, pa.string()) for x in (lang, word)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, level, dtype=np.int32)), pa.array(found.view(np.int64)), *sides, *texts], names=["level", "name", "left", "lang", "word"])
+    bits = range_bits(docs.sparkSession)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
-        held: list[list[np.ndarray]] = [[] for _ in known]
+        held: list[list[tuple]] = [[] for _ in known]
+        held_words: dict[str, dict[int, str]] = {}
         size = 0
 
-        def flushed() -> Iterator[pa.RecordBatch]:
+        def blocks() -> Iterator[tuple]:
+            for lang, words in held_words.items():
+                name = np.array(list(words), dtype=np.uint64)
+                order = np.argsort(name)
+                text = np.array(list(words.values()), dtype=object)[order]
+                for k, own, raw in packed(name[order], bits):
+                    yield 1, k, own.stop - own.start, raw, None, lang, "\n".join(text[own])
             for level, rows in enumerate(held, 1):
                 if rows:
                     name, left = (np.concatenate(x) for x in zip(*rows, strict=True))
                     found, at = np.unique(name, return_index=True)
-                    for k in range(0, len(found), 1 << 16):
-                        some = at[k : k + (1 << 16)]
-                        yield batch_of(level, name[some], left[some], None, None)
+                    left = left[at].astype("<u8")
+                    for k, own, raw in packed(found, bits):
+                        yield level, k, own.stop - own.start, raw, left[own].tobytes(), None, None
                     rows.clear()
+            held_words.clear()
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            rows = list(blocks())
+            for k in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_pylist([dict(zip(ENTRIES.names, r, strict=True)) for r in rows[k : k + 256]], ENTRIES)
 
         for batch in batches:
             for w, seeds, langs in read(batch):
@@ -140,25 +213,36 @@ def dictionary(docs: DataFrame, known: list[Frequent]) -> DataFrame:
                         found, at = found[new], at[new]
                         told.update(found.tolist())
                         low, doc = w.buf + (32 * ((w.buf >= 65) & (w.buf <= 90))).astype(np.uint8), w.doc()
-                        words = [low[a:b].tobytes().decode("utf-8") for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-                        if len(found):
-                            yield batch_of(1, found, None, [langs[i] for i in doc[at].tolist()], words)
+                        for name, i, a, b in zip(found.tolist(), doc[at].tolist(), w.starts[at].tolist(), w.ends[at].tolist(), strict=True):
+                            held_words.setdefault(langs[i], {})[name] = low[a:b].tobytes().decode("utf-8")
+                        # A word takes some ten times the room of a name.
+                        size += 10 * len(found)
                         if len(told) >= TOLD:
                             told = set()
                     before = names
-                if size >= GATHER // 2:
+                if size >= GATHER:
                     yield from flushed()
                     size = 0
         yield from flushed()
 
-    def with_right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name, left = (batch.column(c).fill_null(0).to_numpy().view(np.uint64) for c in ("name", "left"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((unmixed(name) - left * GRAM).view(np.int64))], names=[*batch.schema.names, "right"])
-
-    # A name gives the right parent of the left one, so that rows travel without it.
-    rows = docs.mapInArrow(looked_up, "level int, name long, left long, lang string, word string").dropDuplicates(["level", "name"])
-    return saved(rows.mapInArrow(with_right, "level int, name long, left long, lang string, word string, right long"), "names")
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each name once. It gives the right parent of the left one, so that rows travel without it."""
+        for (level, k), rows in runs(batches, 2):
+            name, at = np.unique(np.concatenate([unpacked(k, many, raw, bits) for many, raw, *_ in rows]), return_index=True)
+            left = right = lang = word = None
+            if level == 1:
+                lang = np.array([x for many, _, _, x, _ in rows for _ in range(many)], dtype=object)[at]
+                word = np.array([x for r in rows for x in r[4].split("\n")], dtype=object)[at]
+            else:
+                left = np.concatenate([np.frombuffer(r[2], dtype="<u8") for r in rows])[at]
+                right = (unmixed(name) - left * GRAM).view(np.int64)
+                left = left.view(np.int64)
+            columns = [pa.nulls(len(name), t) if x is None else pa.array(x, t) for x, t in ((left, pa.int64()), (lang, pa.string()), (word, pa.string()), (right, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(name), level, dtype=np.int32)), pa.array(name.view(np.int64)), *columns], names=["level", "name", "left", "lang", "word", "right"])
+
+    rows = docs.mapInArrow(looked_up, "level int, part int, many int, names binary, lefts binary, lang string, words string")
+    rows = rows.repartition("part").sortWithinPartitions("level", "part")
+    return saved(rows.mapInArrow(once, "level int, name long, left long, lang string, word string, right long"), "names", BATCH)
 
 
 def phrases(docs: DataFrame, most_words: int, min_count: int, most_bits: int = MOST_BITS) -> tuple[list[DataFrame], DataFrame]:

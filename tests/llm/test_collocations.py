@@ -94,3 +94,29 @@ def test_query_and_oracle(spark, sf_dir):
     names = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
     assert {tuple(r[c] for c in names) for r in con.sql(ORACLE).to_arrow_table().to_pylist()} == out
     assert len(docs)
+
+
+def test_names_travel_in_blocks_of_short_gaps():
+    import numpy as np
+
+    from quarrystone.llm.collocations import packed, unpacked
+
+    names = np.unique(np.random.default_rng(5).integers(0, 2**64, 1 << 20, dtype=np.uint64))
+    blocks = [(k, own.stop - own.start, raw) for k, own, raw in packed(names, 10)]
+    assert sum(len(raw) for _, _, raw in blocks) <= 6 * len(names)
+    assert (np.concatenate([unpacked(*b, 10) for b in blocks]) == names).all()
+    for few in ([], [0], [2**64 - 1], [0, 1, 2**63, 2**64 - 1]):
+        own = np.array(few, dtype=np.uint64)
+        assert [x for k, at, raw in packed(own, 10) for x in unpacked(k, at.stop - at.start, raw, 10).tolist()] == few
+
+
+def test_counts_of_pairs_add_up(spark):
+    from pyspark.sql import functions as F
+
+    from quarrystone.llm import collocations as C
+
+    docs = spark.range(4000, numPartitions=2).select(F.lit("en").alias("lang"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(i)), F.lit(300)).cast("string")) for i in range(20)]).alias("text"))
+    words = C.counts(docs, [], "words", 2)
+    known = [C.Frequent(words.select("name"), words.count(), C.MOST_BITS)]
+    pairs = C.counts(docs, known, "pairs", 1)
+    assert pairs.agg(F.sum("n")).first()[0] == 4000 * 19 and pairs.count() > 30_000
