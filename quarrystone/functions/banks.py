@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrystone.functions.answers import looks_like_answer
-from quarrystone.functions.sections import ANSWER_HEAD, EXPLANATION_HEAD, OTHER_HEAD, QUESTION_START
-from quarrystone.functions.text import let, stripped
+from quarrystone.functions.sections import ANSWER_HEAD, EXPLANATION_HEAD, OTHER_HEAD, QUESTION_START, any_line
+from quarrystone.functions.text import let, squeezed, stripped
 
 # How an entry within a line begins, and the mark of an explanation in the normal form.
 ENTRY_START = r"(?:第\s*\d+\s*题|\d{1,3}\s*[.．、)])"
 EXPLAINED = "解析："
+# White space, and such that ends no line.
+SPACE, LINE_SPACE = r"\s", r"[\s&&[^\n]]"
 #: The number in QUESTION_START, whichever form it has.
 FIRST_NUMBER = r"(?U)^\D*(\d+)"
 
@@ -41,6 +45,16 @@ def headed(line: Column) -> Column:
     return F.struct(answer.alias("answer"), why.alias("why"), body.alias("body"))
 
 
+def halves(text: Column, head: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use`` of a squeezed text before its first line with this head, and from there on without the heads, null if empty."""
+
+    def of(before: Column) -> Column:
+        rest = squeezed(F.regexp_replace(F.substr(text, F.char_length(before) + 1), f"(?dmU)^{head.replace(SPACE, LINE_SPACE)}", ""))
+        return use(F.rtrim(before, F.lit("\n")), let(rest, lambda t: F.when(t != "", t)))
+
+    return let(F.regexp_replace(text, rf"(?dmU)^(?:{head})[\s\S]*", ""), of)
+
+
 def question_sections(text: Column) -> Column:
     """(question, answer, explanation) of a question's lines: each line belongs to the last head before it.
 
@@ -56,14 +70,21 @@ def question_sections(text: Column) -> Column:
 
     none = F.array().cast("array<string>")
     start = F.struct(F.lit(0).alias("now"), *[none.alias(c) for c in "qae"])
-    kept = F.filter(lines_of(text), lambda t: ~begins(t, OTHER_HEAD))
+    null = F.lit(None).cast("string")
+    parts = lambda q, a, e: F.struct(q.alias("question"), a.alias("answer"), e.alias("explanation"))
     joined = lambda acc, c: stripped(F.array_join(acc[c], "\n"))
-    return F.aggregate(
-        kept,
-        start,
-        step,
-        lambda acc: F.struct(joined(acc, "q").alias("question"), F.nullif(joined(acc, "a"), F.lit("")).alias("answer"), F.nullif(joined(acc, "e"), F.lit("")).alias("explanation")),
-    )
+    whole = lambda acc: parts(joined(acc, "q"), F.nullif(joined(acc, "a"), F.lit("")), F.nullif(joined(acc, "e"), F.lit("")))
+
+    def of(t: Column) -> Column:
+        # Line by line only where heads of several kinds take turns.
+        kept = F.filter(lines_of(t), lambda x: ~begins(x, OTHER_HEAD))
+        return (
+            F.when(~any_line(t, ANSWER_HEAD, EXPLANATION_HEAD, OTHER_HEAD), parts(t, null, null))
+            .when(~any_line(t, EXPLANATION_HEAD, OTHER_HEAD), halves(t, ANSWER_HEAD, lambda asked, answer: parts(asked, answer, null)))
+            .otherwise(F.aggregate(kept, start, step, whole))
+        )
+
+    return let(squeezed(text), of)
 
 
 def entries_of(line: Column) -> Column:
@@ -107,7 +128,13 @@ def normalised_bank(text: Column) -> Column:
         return F.struct(now.alias("why"), new.alias("out"))
 
     start = F.struct(F.lit(False).alias("why"), F.array().cast("array<string>").alias("out"))
-    return F.array_join(F.aggregate(lines_of(text), start, step, lambda acc: acc["out"]), "\n")
+
+    def of(t: Column) -> Column:
+        # Without heads and without entries within lines it has that form.
+        inner = F.rlike(t, F.lit(f"(?U){LINE_SPACE}(?:{ENTRY_START})"))
+        return F.when(any_line(t, ANSWER_HEAD, EXPLANATION_HEAD) | inner, F.array_join(F.aggregate(lines_of(t), start, step, lambda acc: acc["out"]), "\n")).otherwise(t)
+
+    return let(squeezed(text), of)
 
 
 def at_mark(text: Column, why: Column) -> Column:

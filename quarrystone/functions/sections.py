@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrystone.functions.policy import any_word
-from quarrystone.functions.text import let, stripped, structure_key
+from quarrystone.functions.text import let, squeezed, stripped, structure_key
 
 # Heads of sections in answer banks, and lines of banks that belong to neither section.
 ANSWER_HEAD = r"【?(?:参考)?答案】?\s*(?:[:：]\s*)?"
@@ -19,12 +21,19 @@ JUDGEMENTS = ["正确", "错误", "对", "错", "√", "×", "T", "F"]
 NUMERAL = "[一二三四五六七八九十百零两0-9]+"
 CHAPTER_HEADINGS = [rf"第{NUMERAL}(?:章|单元|编|部分)(?:\s*[-—－:：]?\s*\S.*)?", rf"专题{NUMERAL}.*", r"(?i:Unit)\s+\d+.*"]
 SECTION_HEADINGS = [rf"第{NUMERAL}(?:节|课)(?:\s*[-—－:：]?\s*\S.*)?", r"[0-9]{1,2}(?:\.[0-9]{1,2})+\s*\S.*", r"[0-9]{1,2}[.．、]\s*\S.*", rf"[（(]{NUMERAL}[)）]\s*\S.*", r"[A-Za-z][.、]\s*\S.*"]
+#: How each of these headings and of BACK_MATTER begins.
+MAY_BE_HEADING = r"(?U)^[\s\x1c-\x1f]*(?:第|专题|(?i:Unit)|[0-9]{1,2}[.．、]|[（(]|[A-Za-z][.、]|课题研究|学生实验|索引|后记|附录)"
 QUESTION_HINTS = ["？", "?", "求", "多少", "下列", "正确", "错误", "判断", "计算", "解答", "写出", "指出", "求出"]
 BACK_MATTER = ["课题研究", "学生实验", "索引", "后记", "附录"]
 SENTENCE_SIGNS = ["，", "；", "。", "！", "？", ",", ";", "!", "?", "“", "”", '"', "‘", "’"]
 STRUCTURED_KINDS = ["knowledge_note", "textbook", "exercise", "question_set"]
 
 
+def any_line(text: Column, *heads: str) -> Column:
+    """Whether a line of a squeezed text begins with one of the heads."""
+    return F.rlike(text, F.lit(f"(?dmU)^(?:{'|'.join(heads)})"))
+
+
 def _filled(text: Column) -> Column:
     """Stripped; null where nothing is left."""
     return let(stripped(text), lambda t: F.when(t != "", t))
@@ -71,8 +80,13 @@ def answer_sections(text: Column) -> Column:
             F.when(marked, rest(second)).when(spaced, rest(F.regexp_extract(answer, inline, 2))).otherwise(why).alias("explanation"),
         )
 
-    kept = F.filter(_lines(text), lambda t: ~begins(t, OTHER_HEAD))
-    return F.aggregate(kept, start, step, whole)
+    def of(t: Column) -> Column:
+        kept = F.filter(_lines(t), lambda x: ~begins(x, OTHER_HEAD))
+        # Without heads, and explanations within lines, the whole text is the answer.
+        headed = F.rlike(t, F.lit(f"(?dmU)^(?:{ANSWER_HEAD}|{OTHER_HEAD})|{EXPLANATION_HEAD}"))
+        return F.when(headed, F.aggregate(kept, start, step, whole)).otherwise(F.struct(F.nullif(t, F.lit("")).alias("answer"), F.lit(None).cast("string").alias("explanation")))
+
+    return let(squeezed(text), of)
 
 
 def numbered_entries(text: Column, numbers: Column) -> Column:
@@ -143,6 +157,7 @@ def sentence_like(line: Column) -> Column:
 def heading(text: Column, kind: Column) -> Column:
     """The chapter or section that a chunk's first three lines open: (chapter, section), at most one of them filled."""
     textbook = kind == "textbook"
+    hints = F.lit("|".join(map(re.escape, QUESTION_HINTS)))
     matches = lambda t, patterns: F.rlike(t, F.lit(r"(?U)^(?:" + "|".join(patterns) + ")$"))
     part = lambda chapter, section: F.struct(chapter.alias("chapter"), section.alias("section"))
     null = F.lit(None).cast("string")
@@ -150,11 +165,13 @@ def heading(text: Column, kind: Column) -> Column:
     def of_line(t: Column) -> Column:
         possible = ~F.endswith(t, F.lit("。")) & (F.char_length(t) <= 48)
         chapter = possible & ((textbook & t.isin(*BACK_MATTER)) | matches(t, CHAPTER_HEADINGS))
-        section = possible & ~any_word(t, QUESTION_HINTS) & ~(textbook & sentence_like(t)) & matches(t, SECTION_HEADINGS)
+        section = possible & matches(t, SECTION_HEADINGS) & ~F.rlike(t, hints) & ~(textbook & sentence_like(t))
         return F.when(chapter, part(t, null)).when(section, part(null, t))
 
     found = F.filter(F.transform(F.slice(_lines(text), 1, 3), of_line), lambda x: x.isNotNull())
-    return F.when(kind.isin(*STRUCTURED_KINDS), F.try_element_at(found, F.lit(1)))
+    # One line needs no list of lines, and most begin like no heading.
+    first = F.when(F.contains(text, F.lit("\n")), F.try_element_at(found, F.lit(1))).when(F.rlike(text, F.lit(MAY_BE_HEADING)), let(stripped(text), of_line))
+    return F.when(kind.isin(*STRUCTURED_KINDS), first)
 
 
 def title_key(title: Column) -> Column:

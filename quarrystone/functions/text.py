@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "\\u4e00-\\u9fff"
+#: White space of any script, and the separators of ASCII.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -17,7 +19,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without outer white space of any script."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def squeezed(text: Column) -> Column:
+    """Lines without outer white space and without empty ones; empty for null."""
+    t = F.coalesce(text, F.lit(""))
+    # Each run of white space is looked at once, from its beginning.
+    return stripped(F.when(F.contains(t, F.lit("\n")), F.regexp_replace(t, r"(?U)(?<![\s\x1c-\x1f])[\s\x1c-\x1f&&[^\n]]*+\n[\s\x1c-\x1f]*", "\n")).otherwise(t))
 
 
 def collapsed(text: Column) -> Column:

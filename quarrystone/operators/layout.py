@@ -83,28 +83,32 @@ def question_blocks(blocks: DataFrame, kind: str = "question_set") -> DataFrame:
     opens = ~F.col("is_head") & F.rlike("text", F.lit(BANK_HEADING))
     rows = rows.withColumn("opens", opens).withColumn("in_bank", F.max("opens").over(so_far))
     start = ~F.col("is_head") & ~F.col("in_bank") & F.rlike("text", F.lit(f"(?U)^{S.QUESTION_START}"))
-    rows = rows.withColumn("start", start).withColumn("part", F.sum((F.col("start") | F.col("is_head") | F.col("opens")).cast("int")).over(so_far))
-    rows = rows.withColumn("number", F.when(F.col("start"), F.regexp_extract("text", K.FIRST_NUMBER, 1)))
-    bank = rows.where(F.col("in_bank") & ~F.col("opens")).groupBy("doc_id").agg(F.collect_list(F.struct("page", "block_no", "text")).alias("b"))
-    bank = bank.select("doc_id", K.normalised_bank(F.array_join(in_order(F.col("b"), "text"), "\n")).alias("bank"))
-
-    body = F.when(F.col("start"), K.behind(F.col("text"), S.QUESTION_START)).otherwise(F.col("text"))
-    each = F.collect_list(F.struct("page", "block_no", F.nullif(body, F.lit("")).alias("line"), "asset_id"))
-    asked = rows.where(~F.col("in_bank") & ~F.col("is_head")).groupBy("doc_id", "part").agg(
-        F.max("number").alias("number"), each.alias("b"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
-        F.array_sort(F.collect_set("type")).alias("block_types"), F.max("chapter").alias("chapter"), F.max("section").alias("section"),
-    )
-    asked = asked.where("number IS NOT NULL").withColumn("sections", K.question_sections(F.array_join(in_order(F.col("b"), "line"), "\n")))
-    asked = asked.where((F.col("sections.question") != "") | F.col("sections.answer").isNotNull() | F.col("sections.explanation").isNotNull())
-    numbers = asked.groupBy("doc_id").agg(F.collect_set("number").alias("numbers"))
-    given = bank.join(numbers, "doc_id").select("doc_id", F.inline(S.numbered_entries(F.col("bank"), F.col("numbers"))))
-    given = given.select("doc_id", "number", S.answer_sections(F.col("entry")).alias("given"))
-    no = F.row_number().over(Window.partitionBy("doc_id").orderBy("part"))
-    return asked.withColumn("question_no", no).join(given, ["doc_id", "number"], "left").select(
-        "doc_id", "question_no", "number", "chapter", "section", "sections.question",
-        F.coalesce("sections.answer", "given.answer").alias("answer"), F.coalesce("sections.explanation", "given.explanation").alias("explanation"),
-        "page_start", "page_end", "block_types", F.array_distinct(in_order(F.col("b"), "asset_id")).alias("assets"),
+    rows = rows.withColumn("start", start).withColumn("part", F.sum((F.col("start") | F.col("is_head")).cast("int")).over(so_far))
+
+    # Blocks are read once: a document's bank is one more part, without a number.
+    line = F.when(F.col("start"), K.behind(F.col("text"), S.QUESTION_START)).otherwise(F.col("text"))
+    number = F.when(F.col("start"), F.regexp_extract("text", K.FIRST_NUMBER, 1))
+    rows = rows.where(F.when(F.col("in_bank"), ~F.col("opens")).otherwise(~F.col("is_head"))).withColumn("part", F.when(~F.col("in_bank"), F.col("part")))
+    each = F.collect_list(F.struct("page", "block_no", F.nullif(line, F.lit("")).alias("line"), "asset_id"))
+    parts = rows.groupBy("doc_id", "part").agg(
+        F.max(number).alias("number"), F.sort_array(each).alias("b"), F.min("page").alias("page_start"), F.max("page").alias("page_end"),
+        F.sort_array(F.collect_set("type")).alias("block_types"), F.max("chapter").alias("chapter"), F.max("section").alias("section"),
     )
+    parts = parts.where("part IS NULL OR number IS NOT NULL").withColumn("text", F.array_join("b.line", "\n"))
+    asked = F.col("part").isNotNull()
+    parts = parts.withColumn("said", F.when(asked, K.question_sections(F.col("text")))).withColumn("bank", F.when(~asked, K.normalised_bank(F.col("text"))))
+    some = (F.col("said.question") != "") | F.col("said.answer").isNotNull() | F.col("said.explanation").isNotNull()
+    item = F.struct("part", "number", "chapter", "section", "said", "page_start", "page_end", "block_types", F.array_distinct(F.array_compact("b.asset_id")).alias("assets"))
+    docs = parts.groupBy("doc_id").agg(F.max("bank").alias("bank"), F.sort_array(F.collect_list(F.when(some, item))).alias("asked"))
+    entries = F.transform(S.numbered_entries(F.col("bank"), F.col("asked.number")), lambda e: F.struct(e["number"], S.answer_sections(e["entry"])))
+    docs = docs.withColumn("given", F.when(F.col("bank").isNotNull(), F.map_from_entries(entries)))
+
+    def filled(item: Column, i: Column) -> Column:
+        given = F.try_element_at(F.col("given"), item["number"])
+        said = [item["said"]["question"], *[F.coalesce(item["said"][c], given[c]).alias(c) for c in ("answer", "explanation")]]
+        return F.struct((i + 1).alias("question_no"), item["number"], item["chapter"], item["section"], *said, *[item[c] for c in ("page_start", "page_end", "block_types", "assets")])
+
+    return docs.select("doc_id", F.inline(F.transform("asked", filled)))
 
 
 def repeated_banks_merged(blocks: DataFrame) -> DataFrame:

@@ -255,3 +255,51 @@ def test_places_are_looked_behind_only_where_formulas_may_be(spark):
     # The dynamic pattern of a bank stands in the plan once, not in each number's entry.
     plan = rows.select(numbered_entries(F.lit("1. a 2. b"), F.array(F.lit("1"), F.lit("2"))).alias("e"))
     assert [tuple(x) for x in plan.first().e] == [("1", "a"), ("2", "b")]
+
+
+def test_question_blocks_read_their_blocks_once(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 0, "text", "1. q?", None), (1, 1, 0, "text", "答案", None), (1, 1, 1, "text", "1. A", None)], BLOCKS).write.parquet(str(tmp_path / "b"))
+    out = L.question_blocks(spark.read.parquet(str(tmp_path / "b")))
+    assert [(r.question, r.answer) for r in out.collect()] == [("q?", "A")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan
+
+
+def test_sections_equal_a_fold_over_lines(spark):
+    heads = {"答案：": 1, "【参考答案】": 1, "解析": 2, "点拨:": 2, "难度": 3, "": 0}
+    rng = random.Random(4)
+    texts, want = [], []
+    for _ in range(400):
+        now, parts, lines = 0, ([], [], []), []
+        for _ in range(rng.randint(0, 5)):
+            head = rng.choice(list(heads) if rng.random() < 0.3 else ["", "答案："] if len(texts) % 2 else [""])
+            body = rng.choice(["a", "：b", "1. c", "\u3000", "", "d 答案 e", "\x1cf"])
+            lines.append(rng.choice(["", " ", "\r"]) + head + body + rng.choice(["", "\t", "\u2028"]))
+            if heads[head] != 3:
+                now = heads[head] or now
+                body = body.strip()
+                body = body.removeprefix("：").strip() if head in ("【参考答案】", "解析") else body
+                parts[now].extend([body] if body else [])
+        texts.append("\n".join(lines))
+        want.append(("\n".join(parts[0]), "\n".join(parts[1]) or None, "\n".join(parts[2]) or None))
+    for text, got, expected in zip(texts, each(spark, K.question_sections(F.col("t")), texts), want, strict=True):
+        assert tuple(got) == expected, text
+
+
+def test_stripped_knows_the_white_space_of_all_scripts(spark):
+    from quarrystone.functions.text import squeezed, stripped
+
+    c = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    rows = spark.range(1, 0x3100).where("id NOT BETWEEN 55296 AND 57343").select(c.alias("c")).withColumn("t", F.concat("c", F.lit("a"), "c", F.lit("b"), "c"))
+    old = F.regexp_replace("t", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    assert rows.where(stripped(F.col("t")) != old).count() == 0
+    assert rows.where(stripped(F.col("c")) == "").count() == 29
+    assert each(spark, squeezed(F.col("t")), [None, "", " \n ", "a b", " a \n\n\u3000b c\t\n"]) == ["", "", "", "a b", "a\nb c"]
+
+
+def test_headings_begin_as_they_may(spark):
+    from quarrystone.functions.sections import BACK_MATTER, heading
+
+    heads = ["第一章 a", "第二单元", "专题三 b", "UNIT 3 c", "第一节", "1.2 d", "12、e", "（一） f", "(3)g", "A. h", "b、i"]
+    for kind, texts in (("exercise", heads), ("textbook", BACK_MATTER)):
+        assert [(r.chapter or r.section) for r in each(spark, heading(F.col("t"), F.lit(kind)), [f"\x1c {t}" for t in texts])] == texts
