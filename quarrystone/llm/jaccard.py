@@ -44,6 +44,12 @@ PARITIES = 8
 BITS = 1 << 23
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     """Of each text the sorted hashes of its distinct shingles (all its words where they are fewer)."""
     for _, _, raw, at in pieces(column):
@@ -52,22 +58,32 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
         whole = grams(h, size)
         for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
             if b - a >= size:
-                yield np.unique(whole[a : b - size + 1])
+                yield distinct(whole[a : b - size + 1])
             else:
                 yield grams(h[a:b], b - a) if b > a else np.zeros(0, dtype=np.uint64)
 
 
+def shingles(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """The hashes of the shingles of all texts, in arrays of whole runs of texts and of single short ones."""
+    for _, _, raw, at in pieces(column):
+        w = Words(raw, at, NONSPACE)
+        h = w.hashes()
+        whole = grams(h, size)
+        yield whole[w.room()[: len(whole)] >= size]
+        n = np.diff(w.first)
+        for i in np.flatnonzero((n > 0) & (n < size)).tolist():
+            yield grams(h[w.first[i] : w.first[i + 1]], int(n[i]))
+
+
 def counts_of(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents' shingles fall to each counter, over all documents."""
+    """How many shingles of all documents fall to each counter, repeated ones included: whole runs of texts are counted at once."""
     counters = 1 << min(max(docs.count().bit_length(), COUNTERS[0].bit_length() - 1), COUNTERS[1].bit_length() - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(counters, dtype=np.int64)
         for batch in batches:
-            for s in shingle_sets(batch.column(0), size):
-                total += np.bincount((s & np.uint64(counters - 1)).astype(np.int64), minlength=counters) if len(s) > counters // 8 else 0
-                if len(s) <= counters // 8:
-                    np.add.at(total, (s & np.uint64(counters - 1)).astype(np.int64), 1)
+            for h in shingles(batch.column(0), size):
+                np.add.at(total, (h & np.uint64(counters - 1)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["counter", "n"])
 

@@ -86,6 +86,29 @@ def test_odd_rows(spark):
     assert run(spark, []) == []
 
 
+def test_shingles_are_those_of_plain_words():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [None, "", " ", "a", "a b c d", "A  b c d\u3000e f"] + [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    sets = list(jaccard.shingle_sets(pa.array(texts), 5))
+    words = [(t or "").lower().split(" ") for t in texts]
+    words = [[w for w in ws if w] for ws in words]
+    assert [len(s) for s in sets] == [len({tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}) if ws else 0 for ws in words]
+    assert all((np.diff(s.view(np.int64).astype(object) % (1 << 64)) > 0).all() for s in sets)
+    found = np.concatenate(list(jaccard.shingles(pa.array(texts), 5)))
+    assert len(found) == sum(max(1, len(ws) - 4) for ws in words if ws) and set(found.tolist()) == {h for s in sets for h in s.tolist()}
+    # What a task counts is not looked at text by text.
+    calls = []
+    grams, jaccard.grams = jaccard.grams, lambda h, k: calls.append(k) or grams(h, k)
+    try:
+        list(jaccard.shingles(pa.array(["a b c d e f g"] * 500), 5))
+    finally:
+        jaccard.grams = grams
+    assert calls == [5]
+
+
 def test_suffix_filter_drops_nothing():
     import numpy as np
 
